@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
-NOT_WS = r"[^\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+WS_INNER = r"\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}"
+WS = f"[{WS_INNER}]"
+NOT_WS = f"[^{WS_INNER}]"
 WORD = r"[\p{L}\p{N}_]"
 URL = rf"http{NOT_WS}+|www{NOT_WS}+"
 MAX_TEXT = 10_000
@@ -58,13 +59,13 @@ def preprocess(c) -> Column:
     x = F.regexp_replace(x, rf"/u/{WORD}+", "")
     x = F.regexp_replace(x, rf"u/{WORD}+", "")
     x = F.regexp_replace(x, rf"&{WORD}+;", "")
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}_\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}!?.,'\-]", "")
+    x = F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}_{WS_INNER}!?.,'\-]", "")
     return F.coalesce(collapse_ws(x), F.lit(""))
 
 
 def keyword_tokens(cleaned) -> Column:
     """Lower-cased word tokens: every non-word, non-space character becomes a space."""
-    x = F.regexp_replace(F.lower(_c(cleaned)), r"[^\p{L}\p{N}_\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]", " ")
+    x = F.regexp_replace(F.lower(_c(cleaned)), rf"[^\p{{L}}\p{{N}}_{WS_INNER}]", " ")
     return F.filter(F.split(collapse_ws(x), " "), lambda w: F.length(w) > 0)
 
 

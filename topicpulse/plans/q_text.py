@@ -1 +1,248 @@
-"""Registered queries."""
+"""Registered queries: the text layer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import wordlists as W
+from ..functions.labels import class_probs_score
+from ..operators import aggregates as A
+from ..operators.keywords import by_post, derive_lemmas, lemma_tokens, post_keywords, post_keywords_lemma, \
+    top_keywords
+from ..operators.lexicon import lexicon_scores
+from ..sources import tables as TB
+from ..sources.testdata import comments_from_conversations, html_texts, logits_from_embeddings, \
+    posts_from_documents
+from .catalog import register
+from .scoring import score_posts
+from .sql import AVG_E4, with_
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(ws) -> str:
+    return "[" + ", ".join(q(w) for w in ws) + "]"
+
+
+WS, NOT_WS, WSI = T.WS, T.NOT_WS, T.WS_INNER
+KW_STOP = sql_list(W.words(W.KEYWORD_STOPWORDS_TEXT))
+EN_STOP = sql_list(W.words(W.ENGLISH_STOPWORDS_TEXT + " " + W.SITE_STOPWORDS_TEXT))
+
+
+def collapse_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, {q(WS + '+')}, ' ', 'g'))"
+
+
+def strip_urls_sql(x: str) -> str:
+    return collapse_sql(f"regexp_replace({x}, {q(T.URL)}, '', 'g')")
+
+
+def preprocess_sql(x: str) -> str:
+    y = f"lower({x})"
+    y = f"regexp_replace({y}, {q(f'http{NOT_WS}+|www{NOT_WS}+|https{NOT_WS}+')}, '', 'g')"
+    for pat in (rf"/r/{T.WORD}+", rf"/u/{T.WORD}+", rf"u/{T.WORD}+", rf"&{T.WORD}+;"):
+        y = f"regexp_replace({y}, {q(pat)}, '', 'g')"
+    y = f"regexp_replace({y}, {q(rf'[^\p{{L}}\p{{N}}_{WSI}!?.,' + chr(39) + r'\-]')}, '', 'g')"
+    return f"coalesce({collapse_sql(y)}, '')"
+
+
+DOCS = f"""
+docs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS post_id, lang AS topic, source AS subreddit, text AS content,
+         concat_ws(' ', '', coalesce(text, '')) AS full_text
+  FROM documents),
+clean AS (SELECT *, {strip_urls_sql('full_text')} AS cleaned FROM docs)
+"""
+
+KW_TOKENS = f"""
+ktoks AS (
+  SELECT post_id, list_filter(string_split({collapse_sql(
+      f"regexp_replace(lower(cleaned), {q(rf'[^\p{{L}}\p{{N}}_{WSI}]')}, ' ', 'g')")}, ' '), lambda w: length(w) > 0) AS toks
+  FROM clean),
+ktok AS (SELECT post_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM ktoks)
+"""
+
+KEYWORDS = f"""
+kcnt AS (
+  SELECT post_id, word, count(*) AS cnt, min(pos) AS first_pos FROM ktok
+  WHERE length(word) >= 4 AND NOT list_contains({KW_STOP}, word) GROUP BY 1, 2),
+krk AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY cnt DESC, first_pos) AS rank FROM kcnt),
+kw AS (SELECT post_id, list(word ORDER BY rank) AS kwl FROM krk WHERE rank <= 5 GROUP BY 1),
+post_kw AS (SELECT c.post_id, c.topic, coalesce(kw.kwl, []) AS keywords FROM clean c LEFT JOIN kw USING (post_id))
+"""
+
+
+def _docs(spark, base):
+    return posts_from_documents(spark, base)
+
+
+def _clean_docs(spark, base):
+    d = _docs(spark, base)
+    return d.select("post_id", "topic", T.strip_urls(T.full_text("title", "content")).alias("cleaned_text"))
+
+
+# ------------------------------------------------------------------ C1, C2, C3, B1
+@register("full_text", with_(DOCS) + "SELECT post_id, full_text, length(full_text) AS n FROM docs")
+def q_full_text(spark, base):
+    d = _docs(spark, base).select("post_id", T.full_text("title", "content").alias("full_text"))
+    return d.select("post_id", "full_text", F.length("full_text").alias("n"))
+
+
+@register("strip_urls", f"""
+SELECT page_id, {strip_urls_sql('html')} AS cleaned_text, substring({strip_urls_sql('html')}, 1, 500) AS display_text
+FROM pages""")
+def q_strip_urls(spark, base):
+    h = html_texts(spark, base)
+    return h.select("page_id", T.strip_urls("text").alias("cleaned_text"), T.display_text("text").alias("display_text"))
+
+
+@register("preprocess", f"SELECT page_id, {preprocess_sql('html')} AS pre_text FROM pages")
+def q_preprocess(spark, base):
+    return html_texts(spark, base).select("page_id", T.preprocess("text").alias("pre_text"))
+
+
+@register("normalise_text", f"""
+SELECT CAST(doc_id AS VARCHAR) AS post_id, coalesce(substring({collapse_sql('text')}, 1, 10000), '') AS content,
+       length(coalesce(substring({collapse_sql('text')}, 1, 10000), '')) AS n
+FROM documents""")
+def q_normalise_text(spark, base):
+    d = _docs(spark, base).select("post_id", T.normalise_text("content").alias("content"))
+    return d.select("post_id", "content", F.length("content").alias("n"))
+
+
+@register("split_list", f"""
+SELECT conv_id, turn,
+       array_to_string(list_filter(list_transform(string_split(text, ','), lambda s: trim(s)), lambda s: length(s) > 0), '|')
+         AS parts,
+       length(list_filter(list_transform(string_split(text, ','), lambda s: trim(s)), lambda s: length(s) > 0)) AS n_parts
+FROM conversations""")
+def q_split_list(spark, base):
+    c = TB.read_table(spark, base, "conversations").select("conv_id", "turn", T.split_list("text").alias("p"))
+    return c.select("conv_id", "turn", F.array_join("p", "|").alias("parts"), F.size("p").alias("n_parts"))
+
+
+# ------------------------------------------------------------------------- C9
+@register("class_probs_score", """
+WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings),
+ex AS (SELECT vec_id, list_transform(logits, lambda x: exp(x)) AS ex FROM e),
+pr AS (SELECT vec_id, list_transform(ex, lambda x: x / list_reduce(ex, lambda a, b: a + b)) AS probs FROM ex),
+sc AS (SELECT vec_id, probs,
+              list_reduce(list_transform(probs, lambda p, i: p * [-1.0, -0.5, 0.0, 0.5, 1.0][i]), lambda a, b: a + b) AS s,
+              list_max(probs) AS c FROM pr)
+SELECT vec_id, round(s, 4) AS score, round(c, 4) AS confidence,
+       CAST(list_position(probs, c) - 1 AS INTEGER) AS predicted_class,
+       CASE WHEN s <= -0.6 THEN 'very_negative' WHEN s <= -0.2 THEN 'negative' WHEN s <= 0.2 THEN 'neutral'
+            WHEN s <= 0.6 THEN 'positive' ELSE 'very_positive' END AS label
+FROM sc""")
+def q_class_probs_score(spark, base):
+    return logits_from_embeddings(spark, base).select("vec_id", class_probs_score("logits").alias("r")) \
+        .select("vec_id", "r.*")
+
+
+# ------------------------------------------------------------------------ C10, D4, H2
+@register("post_keywords", with_(DOCS, KW_TOKENS, KEYWORDS) +
+          "SELECT post_id, array_to_string(keywords, ' ') AS keywords FROM post_kw")
+def q_post_keywords(spark, base):
+    kw = post_keywords(by_post(_clean_docs(spark, base)), TB.keyword_stopwords(spark))
+    return kw.select("post_id", F.array_join("keywords", " ").alias("keywords"))
+
+
+@register("top_keywords", with_(DOCS, KW_TOKENS, KEYWORDS) + """
+SELECT * FROM (
+  SELECT topic, keyword, count(*) AS "count",
+         row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, keyword) AS rank
+  FROM (SELECT topic, unnest(keywords) AS keyword FROM post_kw) GROUP BY 1, 2)
+WHERE rank <= 20""")
+def q_top_keywords(spark, base):
+    d = by_post(_clean_docs(spark, base))
+    kw = post_keywords(d, TB.keyword_stopwords(spark))
+    return top_keywords(d.select("post_id", "topic").join(kw, "post_id"), 20)
+
+
+# -------------------------------------------------------------------------- C11
+LEMMA_RULES_SQL = "(VALUES " + ", ".join(f"({i}, {q(s)}, {q(r)})" for i, (s, r) in enumerate(
+    __import__("topicpulse.operators.keywords", fromlist=["NOUN_RULES"]).NOUN_RULES)) + ") r(rule, suf, rep)"
+LEMMA_TOKENS = f"""
+pre AS (SELECT post_id, {preprocess_sql('full_text')} AS pre_text FROM docs),
+ltoks AS (
+  SELECT post_id, list_filter(list_transform(string_split(regexp_replace(lower(pre_text), '[!?.,\\s]+', ' ', 'g'), ' '),
+                                             lambda t: regexp_extract(t, {q(__import__('topicpulse.operators.keywords',
+                                                                                  fromlist=['x']).CONTRACTION)}, 1)),
+                              lambda t: length(t) > 0) AS toks
+  FROM pre),
+ltok AS (SELECT post_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM ltoks),
+vocab AS (SELECT DISTINCT word FROM ltok),
+cand AS (
+  SELECT v.word, r.rule, left(v.word, length(v.word) - length(r.suf)) || r.rep AS base
+  FROM vocab v JOIN {LEMMA_RULES_SQL} ON suffix(v.word, r.suf) AND length(v.word) > length(r.suf)),
+lemmas AS (
+  SELECT word, base FROM (
+    SELECT word, arg_min(base, length(base) * 100 + rule) AS base FROM cand
+    WHERE base IN (SELECT word FROM vocab) GROUP BY word)
+  WHERE length(base) < length(word))
+"""
+
+
+@register("lemma_table", with_(DOCS, LEMMA_TOKENS) + "SELECT * FROM lemmas")
+def q_lemma_table(spark, base):
+    d = _docs(spark, base).select("post_id", T.preprocess(T.full_text("title", "content")).alias("pre_text"))
+    return derive_lemmas(lemma_tokens(d).select("word"))
+
+
+@register("post_keywords_lemma", with_(DOCS, LEMMA_TOKENS) + f""",
+lt AS (SELECT post_id, word, pos FROM ltok WHERE length(word) >= 3 AND NOT list_contains({EN_STOP}, word)),
+lw AS (SELECT lt.post_id, lt.pos, coalesce(l.base, lt.word) AS word FROM lt LEFT JOIN lemmas l USING (word)),
+lc AS (SELECT post_id, word, count(*) AS cnt, min(pos) AS first_pos FROM lw GROUP BY 1, 2),
+lr AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY cnt DESC, first_pos) AS rank FROM lc),
+lk AS (SELECT post_id, string_agg(word, ' ' ORDER BY rank) AS keywords FROM lr WHERE rank <= 10 GROUP BY 1)
+SELECT d.post_id, coalesce(lk.keywords, '') AS keywords FROM docs d LEFT JOIN lk USING (post_id)""")
+def q_post_keywords_lemma(spark, base):
+    d = by_post(_docs(spark, base).select("post_id",
+                                          T.preprocess(T.full_text("title", "content")).alias("pre_text")))
+    kw = post_keywords_lemma(d, TB.english_stopwords(spark))
+    return kw.select("post_id", F.array_join("keywords", " ").alias("keywords"))
+
+
+# -------------------------------------------------------------------------- C12
+@register("entities")
+def q_entities(spark, base):
+    stop = W.words(W.ENGLISH_STOPWORDS_TEXT + " " + W.SITE_STOPWORDS_TEXT)
+    d = _docs(spark, base).select("post_id", T.full_text("title", "content").alias("t"))
+    e = d.select("post_id", T.entities("t", stop).alias("entities"))
+    return e.select("post_id", T.entities_flat("entities").alias("entities"), F.size("entities").alias("n"))
+
+
+# ---------------------------------------------------------------------- C4, C13
+@register("lexicon_score")
+def q_lexicon_score(spark, base):
+    d = by_post(_clean_docs(spark, base))
+    return lexicon_scores(d, TB.seed_lexicon(spark))
+
+
+def _scored_docs(spark, base):
+    from ..operators.ingest import unify
+    posts = unify(_docs(spark, base), comments_from_conversations(spark, base))
+    stop = W.words(W.ENGLISH_STOPWORDS_TEXT + " " + W.SITE_STOPWORDS_TEXT)
+    return score_posts(posts, TB.seed_lexicon(spark), TB.keyword_stopwords(spark), stop,
+                       processed_at=TB.AS_OF)
+
+
+@register("scored_posts")
+def q_scored_posts(spark, base):
+    s = _scored_docs(spark, base)
+    return s.select("post_id", "topic", "is_comment", "sentiment_score", "sentiment_label", "confidence",
+                    F.array_join("keywords", " ").alias("keywords"), F.size("entities").alias("n_entities"),
+                    F.length("cleaned_text").alias("cleaned_chars"))
+
+
+@register("word_cloud", with_(DOCS, KW_TOKENS, KEYWORDS) + """
+SELECT topic, word, count(*) AS "count", 0.0 AS avg_sentiment
+FROM (SELECT DISTINCT post_id, topic, unnest(keywords) AS word FROM post_kw) GROUP BY 1, 2""")
+def q_word_cloud(spark, base):
+    d = by_post(_clean_docs(spark, base))
+    kw = post_keywords(d, TB.keyword_stopwords(spark))
+    s = d.select("post_id", "topic", F.lit(0).cast("bigint").alias("sentiment_e4")).join(kw, "post_id")
+    return A.word_cloud(s)
