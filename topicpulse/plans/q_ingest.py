@@ -1 +1,234 @@
-"""Registered queries."""
+"""Registered queries: sources, sinks and ingest jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import aggregates as A
+from ..operators import ingest as I
+from ..operators import validate as V
+from ..sources import bus as B
+from ..sources.tables import AS_OF, scan_lookback
+from ..sources.testdata import comments_from_conversations, posts_from_documents, scored_from_events, \
+    topics_from_documents
+from ..streaming.sinks import insert_new_only, upsert_latest
+from .catalog import register
+from .sql import AVG_E4, SCORED, with_
+
+SPLIT = "TIMESTAMP '2024-01-16 00:00:00'"
+OVERLAP = "TIMESTAMP '2024-01-14 00:00:00'"
+SPLIT_TS, OVERLAP_TS = "2024-01-16 00:00:00", "2024-01-14 00:00:00"
+
+
+def _batches(spark, base):
+    """Two crawl batches of the event posts that overlap by two days: batch 0 before
+    the 16th, batch 1 from the 14th on (re-crawled posts appear in both)."""
+    s = scored_from_events(spark, base)
+    b0 = s.where(F.col("processed_at") < F.to_timestamp(F.lit(SPLIT_TS)))
+    b1 = s.where(F.col("processed_at") >= F.to_timestamp(F.lit(OVERLAP_TS)))
+    return b0, b1
+
+
+# ------------------------------------------------------------------------- A2, A3
+BUS_SQL = """
+bus AS (
+  SELECT topic || ':' || post_id AS kafka_key, processed_at AS kafka_timestamp,
+         CASE WHEN topic = 'error' THEN NULL ELSE post_id END AS post_id,
+         CASE WHEN topic = 'error' THEN NULL ELSE topic END AS topic,
+         CASE WHEN topic = 'error' THEN NULL ELSE subreddit END AS subreddit,
+         CASE WHEN topic = 'error' THEN NULL ELSE author END AS author,
+         CASE WHEN topic = 'error' THEN NULL ELSE score END AS score,
+         CASE WHEN topic = 'error' THEN NULL ELSE epoch_us(processed_at) / 1e6 END AS created_utc
+  FROM scored)
+"""
+
+
+def bus_records(spark, base):
+    """Bus records built from the event posts; records of type 'error' are cut after
+    20 bytes, so they are not JSON (malformed input for the decoder)."""
+    s = scored_from_events(spark, base).withColumn("created_utc", F.unix_micros("processed_at") / 1e6)
+    enc = B.encode_records(s.select("post_id", "topic", "subreddit", "author", "score", "created_utc",
+                                    "processed_at"), ["topic", "post_id"], "processed_at")
+    bad = F.col("key").cast("string").startswith("error:")
+    return enc.withColumn("value", F.when(bad, F.substring("value", 1, 20)).otherwise(F.col("value")))
+
+
+@register("decode_posts", with_(SCORED, BUS_SQL) + """
+SELECT kafka_key, post_id, topic, subreddit, author, CAST(score AS DOUBLE) AS score, created_utc, kafka_timestamp,
+       post_id IS NOT NULL AND topic IS NOT NULL AS valid
+FROM bus""")
+def q_decode_posts(spark, base):
+    d = B.decode_posts(bus_records(spark, base))
+    return d.select("kafka_key", "post_id", "topic", "subreddit", "author", F.col("score").cast("double").alias("score"),
+                    "created_utc", "kafka_timestamp", "valid")
+
+
+@register("encode_posts", with_(SCORED) + """
+SELECT topic || ':' || post_id AS key, post_id, topic, score, sentiment_e4 FROM scored""")
+def q_encode_posts(spark, base):
+    s = scored_from_events(spark, base).select("post_id", "topic", "score", "sentiment_e4", "processed_at")
+    e = B.encode_posts(s)
+    v = F.col("value").cast("string")
+    return e.select(F.col("key").cast("string").alias("key"),
+                    F.get_json_object(v, "$.post_id").alias("post_id"),
+                    F.get_json_object(v, "$.topic").alias("topic"),
+                    F.get_json_object(v, "$.score").cast("int").alias("score"),
+                    F.get_json_object(v, "$.sentiment_e4").cast("bigint").alias("sentiment_e4"))
+
+
+# ----------------------------------------------------------------------------- A4
+@register("scan_lookback", with_(SCORED) + """
+SELECT post_id, topic, sentiment_e4, processed_at FROM scored
+WHERE processed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR""")
+def q_scan_lookback(spark, base):
+    s = scored_from_events(spark, base)
+    return scan_lookback(s, as_of=AS_OF, hours=24).select("post_id", "topic", "sentiment_e4", "processed_at")
+
+
+# ------------------------------------------------------------------------- A7, A8
+@register("insert_new_only", with_(SCORED) + f""",
+b1 AS (SELECT * FROM scored WHERE processed_at >= {OVERLAP}
+       UNION ALL SELECT * FROM scored WHERE processed_at >= {OVERLAP} AND topic = 'view'),
+d1 AS (SELECT * FROM b1 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY processed_at, post_id) = 1)
+SELECT post_id, topic, processed_at, processed_at AS "timestamp", CAST(1 AS BIGINT) AS batch_id FROM d1
+WHERE post_id NOT IN (SELECT post_id FROM scored WHERE processed_at < {SPLIT})""")
+def q_insert_new_only(spark, base):
+    b0, b1 = _batches(spark, base)
+    stored = b0.select("post_id", F.lit(0).cast("bigint").alias("batch_id"))
+    incoming = b1.unionByName(b1.where(F.col("topic") == "view"))  # same ids twice inside the batch
+    return insert_new_only(stored, incoming, 1).select("post_id", "topic", "processed_at", "timestamp", "batch_id")
+
+
+def _daily(df, created_shift: str):
+    agg = A.topic_aggregates(df.withColumn("period_start", F.date_trunc("day", "processed_at")),
+                             by=["topic", "period_start"])
+    return agg.select("topic", "period_start", "total_posts", "avg_sentiment",
+                      (F.col("period_start") + F.expr("INTERVAL 1 DAY") + F.expr(created_shift)).alias("created_at"))
+
+
+@register("upsert_latest", with_(SCORED) + f""",
+ex AS (SELECT topic, date_trunc('day', processed_at) AS period_start, count(*) AS total_posts,
+              {AVG_E4.format(c='sentiment_e4')} AS avg_sentiment,
+              date_trunc('day', processed_at) + INTERVAL 1 DAY AS created_at
+       FROM scored GROUP BY 1, 2),
+inc AS (SELECT topic, date_trunc('day', processed_at) AS period_start, count(*) AS total_posts,
+               {AVG_E4.format(c='sentiment_e4')} AS avg_sentiment,
+               date_trunc('day', processed_at) + INTERVAL 1 DAY + INTERVAL 1 HOUR AS created_at
+        FROM scored WHERE processed_at >= TIMESTAMP '2024-01-16 06:00:00' GROUP BY 1, 2)
+SELECT * FROM (SELECT * FROM ex UNION ALL SELECT * FROM inc)
+QUALIFY row_number() OVER (PARTITION BY topic, period_start ORDER BY created_at DESC) = 1""")
+def q_upsert_latest(spark, base):
+    s = scored_from_events(spark, base)
+    existing = _daily(s, "INTERVAL 0 HOURS")
+    rerun = _daily(s.where(F.col("processed_at") >= F.to_timestamp(F.lit("2024-01-16 06:00:00"))), "INTERVAL 1 HOUR")
+    return upsert_latest(existing, rerun, ["topic", "period_start"], "created_at")
+
+
+# ------------------------------------------------------------------------ A12, A13
+DOC_POSTS = """
+uni AS (
+  SELECT CAST(doc_id AS VARCHAR) AS post_id, lang AS topic, source AS subreddit, '' AS title, text AS content,
+         '[deleted]' AS author, CAST(NULL AS INTEGER) AS score, 0 AS num_comments, CAST(NULL AS VARCHAR) AS url,
+         CAST(NULL AS DOUBLE) AS created_utc, false AS is_comment, CAST(NULL AS VARCHAR) AS parent_id
+  FROM documents
+  UNION ALL
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+         '', text, coalesce(role, '[deleted]'), CAST(NULL AS INTEGER), 0, '', CAST(NULL AS DOUBLE), true,
+         CAST(conv_id AS VARCHAR)
+  FROM conversations)
+"""
+
+
+def _unified(spark, base):
+    return I.unify(posts_from_documents(spark, base), comments_from_conversations(spark, base))
+
+
+@register("unify", with_(DOC_POSTS) + "SELECT * FROM uni")
+def q_unify(spark, base):
+    return _unified(spark, base)
+
+
+@register("validate_results", with_(DOC_POSTS) + """
+SELECT post_id, array_to_string(reasons, ',') AS reasons, length(reasons) = 0 AS valid FROM (
+  SELECT post_id, list_filter([
+      CASE WHEN post_id IS NULL THEN 'post_id_required' END,
+      CASE WHEN topic IS NULL THEN 'topic_required' END,
+      CASE WHEN subreddit IS NULL THEN 'subreddit_required' END,
+      CASE WHEN NOT (length(coalesce(content, '')) > 0) THEN 'content_non_empty' END,
+      CASE WHEN author IS NULL THEN 'author_required' END], lambda x: x IS NOT NULL) AS reasons
+  FROM uni)""")
+def q_validate_results(spark, base):
+    v = V.validate(_unified(spark, base), V.POST_RULES)
+    return v.select("post_id", F.array_join("reasons", ",").alias("reasons"), "valid")
+
+
+@register("enforce_unique", with_(SCORED) + """
+SELECT author, post_id, processed_at FROM scored
+QUALIFY row_number() OVER (PARTITION BY author ORDER BY processed_at DESC, post_id DESC, author) = 1""")
+def q_enforce_unique(spark, base):
+    s = scored_from_events(spark, base)
+    u = V.enforce_unique(s, "author", [F.desc("processed_at"), F.desc("post_id")])
+    return u.select("author", "post_id", "processed_at")
+
+
+# ------------------------------------------------------------------------- B4, B6, B7, B9
+@register("cap_comments", """
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS comment_id, CAST(conv_id AS VARCHAR) AS post_id,
+       CAST(turn AS INTEGER) AS position, role AS author, text AS content
+FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10 AND length(coalesce(text, '')) > 0""")
+def q_cap_comments(spark, base):
+    return I.cap_per_parent(comments_from_conversations(spark, base), 10)
+
+
+@register("dedupe_posts", with_(SCORED) + f"""
+SELECT post_id, topic, batch FROM (
+  SELECT post_id, topic, 0 AS batch FROM scored WHERE processed_at < {SPLIT}
+  UNION ALL SELECT post_id, topic, 1 FROM scored WHERE processed_at >= {OVERLAP})
+QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY batch, post_id) = 1""")
+def q_dedupe_posts(spark, base):
+    b0, b1 = _batches(spark, base)
+    both = b0.select("post_id", "topic", F.lit(0).alias("batch")) \
+        .unionByName(b1.select("post_id", "topic", F.lit(1).alias("batch")))
+    return I.dedupe(both, "post_id", [F.col("batch")])
+
+
+REGISTRY_SQL = """
+cnts AS (SELECT lang AS name, source, count(*) AS n FROM documents GROUP BY 1, 2),
+rtop AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, source) AS rn FROM cnts),
+reg0 AS (SELECT name, list(source ORDER BY rn) AS subreddits, sum(n) AS docs FROM rtop WHERE rn <= 8 GROUP BY name),
+registry AS (
+  SELECT name, subreddits, CAST([] AS VARCHAR[]) AS keywords,
+         row_number() OVER (ORDER BY docs, name DESC) > 1 AS active,
+         TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(row_number() OVER (ORDER BY docs DESC, name) + 30 AS INTEGER))
+           AS created_at,
+         TIMESTAMP '2024-01-31 00:00:00' AS updated_at
+  FROM reg0),
+src_topic AS (
+  SELECT subreddit, topic FROM (
+    SELECT name AS topic, created_at, unnest(subreddits) AS subreddit, generate_subscripts(subreddits, 1) AS pos
+    FROM registry WHERE active)
+  QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY created_at, topic, pos) = 1)
+"""
+
+
+@register("topic_registry_derived", with_(REGISTRY_SQL) + "SELECT * FROM registry")
+def q_topic_registry_derived(spark, base):
+    return topics_from_documents(spark, base)
+
+
+@register("assign_topics", with_(REGISTRY_SQL) + """
+SELECT CAST(d.doc_id AS VARCHAR) AS post_id, d.source AS subreddit, s.topic
+FROM documents d JOIN src_topic s ON d.source = s.subreddit""")
+def q_assign_topics(spark, base):
+    posts = posts_from_documents(spark, base).select("post_id", "subreddit")
+    return I.assign_topics(posts, topics_from_documents(spark, base)).select("post_id", "subreddit", "topic")
+
+
+@register("cap_per_source", with_(SCORED) + """
+SELECT subreddit, post_id, score, rank FROM (
+  SELECT subreddit, post_id, score, row_number() OVER (PARTITION BY subreddit ORDER BY score DESC, post_id) AS rank
+  FROM scored) WHERE rank <= 25""")
+def q_cap_per_source(spark, base):
+    s = scored_from_events(spark, base)
+    return I.cap_per_source(s, 25).select("subreddit", "post_id", "score", F.col("rank").cast("bigint").alias("rank"))
