@@ -68,18 +68,18 @@ def html_texts(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base, "pages").select("page_id", F.col("html").alias("text"))
 
 
-def topics_from_documents(spark: SparkSession, base: str, per_topic: int = 8) -> DataFrame:
-    """Registry: one topic per language; subreddits = its ``per_topic`` largest sources
-    (ties by name), so sources are shared between topics; the language with the fewest
-    documents is inactive. Created in order of size (largest first)."""
-    d = read_table(spark, base, "documents")
-    counts = d.groupBy(F.col("lang").alias("name"), F.col("source")).agg(F.count(F.lit(1)).alias("n"))
+def registry_from(df: DataFrame, topic_col: str, source_col: str, per_topic: int = 8) -> DataFrame:
+    """Registry rule: one topic per distinct ``topic_col``; its subreddits are its
+    ``per_topic`` largest sources (ties by name), so sources are shared between
+    topics; the smallest topic is inactive; topics are created largest first."""
+    counts = df.groupBy(F.col(topic_col).alias("name"), F.col(source_col).alias("source")) \
+        .agg(F.count(F.lit(1)).alias("n"))
     rn = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "source"))
     top = counts.withColumn("rn", rn).where(F.col("rn") <= per_topic)
     reg = top.groupBy("name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "source"))), lambda s: s["source"]).alias("subreddits"),
         F.sum("n").alias("docs"))
-    # the registry has one row per language: a global window over it is tiny
+    # the registry has one row per topic: a global window over it is registry-sized
     order = Window.orderBy(F.desc("docs"), "name")
     last = Window.orderBy("docs", F.desc("name"))
     return reg.select(
@@ -89,3 +89,13 @@ def topics_from_documents(spark: SparkSession, base: str, per_topic: int = 8) ->
         (F.lit(AS_OF).cast("timestamp") - F.make_interval(days=F.row_number().over(order).cast("int") + 30))
         .alias("created_at"),
         F.lit(AS_OF).cast("timestamp").alias("updated_at"))
+
+
+def topics_from_documents(spark: SparkSession, base: str, per_topic: int = 8) -> DataFrame:
+    """Registry over documents: one topic per language, sources = document sources."""
+    return registry_from(read_table(spark, base, "documents"), "lang", "source", per_topic)
+
+
+def topics_from_events(spark: SparkSession, base: str, per_topic: int = 8) -> DataFrame:
+    """Registry over the event posts: one topic per event type, sources = 's' + user_id % 20."""
+    return registry_from(scored_from_events(spark, base), "topic", "subreddit", per_topic)
