@@ -25,30 +25,33 @@ def one_of(c: str, values: list[str]) -> Column:
     return F.col(c).isNull() | F.col(c).isin(values)
 
 
-POST_RULES = [
-    ("post_id_required", required("post_id")),
-    ("topic_required", required("topic")),
-    ("subreddit_required", required("subreddit")),
-    ("content_non_empty", non_empty("content")),
-    ("author_required", required("author")),
-]
-
-RESULT_RULES = [
-    ("post_id_required", required("post_id")),
-    ("topic_required", required("topic")),
-    ("sentiment_score_required", required("sentiment_score")),
-    ("sentiment_score_range", between("sentiment_score", -1.0, 1.0)),
-    ("sentiment_label_known", one_of("sentiment_label", LABELS5)),
-    ("confidence_range", between("confidence", 0.0, 1.0)),
-    ("processed_at_required", required("processed_at")),
-]
-
-ALERT_RULES = [
-    ("topic_required", required("topic")),
-    ("alert_type_required", required("alert_type")),
-    ("severity_known", one_of("severity", ["info", "warning", "critical"])),
-    ("timestamp_required", required("timestamp")),
-]
+def post_rules() -> list[tuple[str, Column]]:
+    return [
+        ("post_id_required", required("post_id")),
+        ("topic_required", required("topic")),
+        ("subreddit_required", required("subreddit")),
+        ("content_non_empty", non_empty("content")),
+        ("author_required", required("author")),
+    ]
+
+def result_rules() -> list[tuple[str, Column]]:
+    return [
+        ("post_id_required", required("post_id")),
+        ("topic_required", required("topic")),
+        ("sentiment_score_required", required("sentiment_score")),
+        ("sentiment_score_range", between("sentiment_score", -1.0, 1.0)),
+        ("sentiment_label_known", one_of("sentiment_label", LABELS5)),
+        ("confidence_range", between("confidence", 0.0, 1.0)),
+        ("processed_at_required", required("processed_at")),
+    ]
+
+def alert_rules() -> list[tuple[str, Column]]:
+    return [
+        ("topic_required", required("topic")),
+        ("alert_type_required", required("alert_type")),
+        ("severity_known", one_of("severity", ["info", "warning", "critical"])),
+        ("timestamp_required", required("timestamp")),
+    ]
 
 
 def validate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:

@@ -158,7 +158,7 @@ SELECT post_id, array_to_string(reasons, ',') AS reasons, length(reasons) = 0 AS
       CASE WHEN author IS NULL THEN 'author_required' END], lambda x: x IS NOT NULL) AS reasons
   FROM uni)""")
 def q_validate_results(spark, base):
-    v = V.validate(_unified(spark, base), V.POST_RULES)
+    v = V.validate(_unified(spark, base), V.post_rules())
     return v.select("post_id", F.array_join("reasons", ",").alias("reasons"), "valid")
 
 

@@ -82,8 +82,8 @@ recent10 AS (
 """
 COMBINED_SQL = """
 combined AS (
-  SELECT r.name AS topic, s.avg_sentiment AS realtime_avg, s."count" AS realtime_count,
-         s.updated_at AS realtime_updated_at, b.avg_sentiment AS batch_avg, b.total_posts AS batch_total,
+  SELECT r.name AS topic, s.avg_sentiment AS realtime_avg, CAST(s."count" AS DOUBLE) AS realtime_count,
+         s.updated_at AS realtime_updated_at, b.avg_sentiment AS batch_avg, CAST(b.total_posts AS DOUBLE) AS batch_total,
          b.period_start AS batch_period_start, coalesce(st.average_score, 0.0) AS average_score,
          CAST(coalesce(st.post_count, 0) AS BIGINT) AS post_count,
          st.positive_share AS dist_positive, st.negative_share AS dist_negative, st.neutral_share AS dist_neutral,
@@ -117,8 +117,9 @@ def _views(spark, base):
 
 def flat_combined(c):
     return c.select(
-        "topic", "realtime_avg", "realtime_count", "realtime_updated_at", "batch_avg", "batch_total",
-        "batch_period_start", "average_score", "post_count",
+        "topic", "realtime_avg", F.col("realtime_count").cast("double").alias("realtime_count"), "realtime_updated_at",
+        "batch_avg", F.col("batch_total").cast("double").alias("batch_total"), "batch_period_start", "average_score",
+        "post_count",
         F.col("distribution.positive").alias("dist_positive"), F.col("distribution.negative").alias("dist_negative"),
         F.col("distribution.neutral").alias("dist_neutral"), "score_0_100",
         F.array_join(F.transform("recent_posts", lambda r: r["post_id"]), ",").alias("recent_ids"))
