@@ -59,10 +59,12 @@ def _in(words: tuple, c: Column) -> Column:
 
 
 def token_modifiers(posts: DataFrame, p: Params, text_col: str, key: str) -> DataFrame:
-    """One row per token: (key, pos, lc, cap, boost, negated, but_w)."""
+    """One row per token: (key, bangs, pos, lc, cap, boost, negated, but_w); ``bangs`` is the
+    post's count of "!" (capped), carried on every token row so no join is needed."""
     toks = score_tokens(F.col(text_col))
-    t = posts.select(key, toks.alias("toks"))
-    t = t.select(key, "toks", F.transform("toks", lambda x: F.lower(x)).alias("lcs"))
+    bangs = F.least(F.length(F.regexp_replace(F.col(text_col), "[^!]", "")), F.lit(p.exclamation_max))
+    t = posts.select(key, toks.alias("toks"), bangs.alias("bangs"))
+    t = t.select(key, "toks", "bangs", F.transform("toks", lambda x: F.lower(x)).alias("lcs"))
     is_cap = lambda x: (x == F.upper(x)) & (x != F.lower(x))
     t = t.withColumn("cap_diff", F.exists("toks", is_cap) & ~F.forall("toks", is_cap)) \
          .withColumn("but_at", F.array_position("lcs", "but"))
@@ -82,7 +84,7 @@ def token_modifiers(posts: DataFrame, p: Params, text_col: str, key: str) -> Dat
         return F.struct((i + 1).alias("pos"), lc.alias("lc"), (is_cap(x) & F.col("cap_diff")).alias("cap"),
                         boost.alias("boost"), neg.alias("negated"), but_w.alias("but_w"))
 
-    return t.select(key, F.explode(F.transform("toks", per_token)).alias("t")).select(key, "t.*")
+    return t.select(key, "bangs", F.explode(F.transform("toks", per_token)).alias("t")).select(key, "bangs", "t.*")
 
 
 def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None = None,
@@ -104,10 +106,9 @@ def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None =
         F.sum("v").alias("s"),
         F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("pos_sum"),
         F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("neg_sum"),
-        F.count_if(F.col("v") == 0).alias("neu_n"))
-    marks = posts.select(key, F.least(F.length(F.regexp_replace(text_col, "[^!]", "")),
-                                      F.lit(p.exclamation_max)).alias("bangs"))
-    a = agg.join(marks, key, "left")
+        F.count_if(F.col("v") == 0).alias("neu_n"),
+        F.max("bangs").alias("bangs"))
+    a = agg
     amp = F.coalesce(F.col("bangs"), F.lit(0)) * p.exclamation
     s = F.col("s") + F.when(F.col("s") > 0, amp).when(F.col("s") < 0, -amp).otherwise(0.0)
     compound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + p.alpha)))
