@@ -216,7 +216,7 @@ def q_entities(spark, base):
 
 
 # ---------------------------------------------------------------------- C4, C13
-@register("lexicon_score")
+@register("lexicon_score", None)
 def q_lexicon_score(spark, base):
     d = by_post(_clean_docs(spark, base))
     return lexicon_scores(d, TB.seed_lexicon(spark))
@@ -234,8 +234,7 @@ def _scored_docs(spark, base):
 def q_scored_posts(spark, base):
     s = _scored_docs(spark, base)
     return s.select("post_id", "topic", "is_comment", "sentiment_score", "sentiment_label", "confidence",
-                    F.array_join("keywords", " ").alias("keywords"), F.size("entities").alias("n_entities"),
-                    F.length("cleaned_text").alias("cleaned_chars"))
+                    F.array_join("keywords", " ").alias("keywords"), F.length("cleaned_text").alias("cleaned_chars"))
 
 
 @register("word_cloud", with_(DOCS, KW_TOKENS, KEYWORDS) + """
@@ -246,3 +245,128 @@ def q_word_cloud(spark, base):
     kw = post_keywords(d, TB.keyword_stopwords(spark))
     s = d.select("post_id", "topic", F.lit(0).cast("bigint").alias("sentiment_e4")).join(kw, "post_id")
     return A.word_cloud(s)
+
+
+# ---------------------------------------------------------- C4 oracle (SQL form)
+def lexicon_sql(src: str, text: str) -> str:
+    """SQL of ``lexicon_scores`` over CTE ``src`` with columns (post_id, ``text``); needs a
+    ``lexicon(lc, valence)`` CTE. Produces CTE ``lex_scores``."""
+    from ..operators.lexicon import EDGE_PUNCT, Params
+    p = Params()
+    up, down, neg = sql_list(p.boosters_up), sql_list(p.boosters_down), sql_list(p.negators)
+    edge = q(EDGE_PUNCT)
+    is_cap = "(x = upper(x) AND x <> lower(x))"
+
+    def prev(k):
+        return f"(CASE WHEN i - 1 - {k} >= 0 THEN lcs[i - {k}] END)"
+
+    def b(k):
+        return (f"(CASE WHEN coalesce(list_contains({up}, {prev(k)}), false) THEN {p.boost_up}::DOUBLE "
+                f"WHEN coalesce(list_contains({down}, {prev(k)}), false) THEN {p.boost_down}::DOUBLE "
+                f"ELSE 0.0::DOUBLE END) * {p.decay[k - 1]}::DOUBLE")
+    negated = " OR ".join(f"coalesce(list_contains({neg}, {prev(k)}), false)" for k in (1, 2, 3)) + \
+        f" OR coalesce(suffix({prev(1)}, 'n''t'), false)"
+    return f"""
+lt0 AS (
+  SELECT post_id, least(length(regexp_replace({text}, '[^!]', '', 'g')), {p.exclamation_max}) AS bangs,
+         list_filter(list_transform(string_split({text}, ' '), lambda t:
+             CASE WHEN length(regexp_replace(t, {edge}, '', 'g')) > 2 THEN regexp_replace(t, {edge}, '', 'g') ELSE t END),
+           lambda t: length(t) > 1) AS toks
+  FROM {src}),
+lt1 AS (
+  SELECT post_id, bangs, toks, list_transform(toks, lambda x: lower(x)) AS lcs,
+         len(list_filter(toks, lambda x: {is_cap})) > 0 AND len(list_filter(toks, lambda x: {is_cap})) < len(toks)
+           AS cap_diff
+  FROM lt0),
+lt2 AS (
+  SELECT post_id, bangs, coalesce(list_position(lcs, 'but'), 0) AS but_at, cap_diff, toks, lcs FROM lt1),
+lt3 AS (
+  SELECT post_id, bangs, unnest(list_transform(toks, lambda x, i: {{
+      'pos': i, 'lc': lcs[i], 'cap': {is_cap} AND cap_diff,
+      'boost': 0 + {b(1)} + {b(2)} + {b(3)},
+      'negated': {negated},
+      'but_w': CASE WHEN but_at = 0 THEN 1.0::DOUBLE WHEN i < but_at THEN {p.but_before}::DOUBLE
+                    WHEN i > but_at THEN {p.but_after}::DOUBLE ELSE 1.0::DOUBLE END}})) AS t
+  FROM lt2),
+lt4 AS (
+  SELECT post_id, bangs, t.*, lx.valence, CAST(sign(lx.valence) AS DOUBLE) AS sg
+  FROM lt3 LEFT JOIN lexicon lx ON lx.lc = t.lc),
+lt5 AS (
+  SELECT post_id, bangs,
+         coalesce((CASE WHEN negated
+                        THEN (valence + CASE WHEN cap THEN sg * {p.caps}::DOUBLE ELSE 0.0 END + boost * sg) * {p.negation}::DOUBLE
+                        ELSE valence + CASE WHEN cap THEN sg * {p.caps}::DOUBLE ELSE 0.0 END + boost * sg END) * but_w,
+                  0.0) AS v
+  FROM lt4),
+lt6 AS (
+  SELECT post_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0.0 END) AS pos_sum,
+         sum(CASE WHEN v < 0 THEN v - 1 ELSE 0.0 END) AS neg_sum, count(*) FILTER (WHERE v = 0) AS neu_n,
+         max(bangs) * {p.exclamation}::DOUBLE AS amp
+  FROM lt5 GROUP BY post_id),
+lt7 AS (
+  SELECT post_id, s + CASE WHEN s > 0 THEN amp WHEN s < 0 THEN -amp ELSE 0.0 END AS s2,
+         pos_sum + CASE WHEN pos_sum > abs(neg_sum) THEN amp ELSE 0.0 END AS ps,
+         neg_sum - CASE WHEN pos_sum < abs(neg_sum) THEN amp ELSE 0.0 END AS ns, neu_n
+  FROM lt6),
+lex_scores AS (
+  SELECT post_id, round(greatest(-1.0, least(1.0, s2 / sqrt(s2 * s2 + {p.alpha}::DOUBLE))), 4) AS compound,
+         round(abs(ps / (ps + abs(ns) + neu_n)), 3) AS pos, round(abs(ns / (ps + abs(ns) + neu_n)), 3) AS neg,
+         round(abs(CAST(neu_n AS DOUBLE) / (ps + abs(ns) + neu_n)), 3) AS neu
+  FROM lt7)
+"""
+
+
+SEED_LEXICON_SQL = "lexicon AS (SELECT lower(w) AS lc, CAST(v AS DOUBLE) AS valence FROM (VALUES " + ", ".join(
+    f"({q(w)}, {v})" for w, v in W.seed_lexicon()) + ") x(w, v))"
+ORACLE_LEXICON = with_(DOCS, SEED_LEXICON_SQL, "dclean AS (SELECT post_id, cleaned FROM clean)",
+                       lexicon_sql("dclean", "cleaned")) + "SELECT * FROM lex_scores"
+
+UNI_CLEAN = f"""
+uposts AS (
+  SELECT CAST(doc_id AS VARCHAR) AS post_id, lang AS topic, false AS is_comment, concat_ws(' ', '', coalesce(text, ''))
+           AS full_text FROM documents
+  UNION ALL
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), CAST(NULL AS VARCHAR), true,
+         concat_ws(' ', '', coalesce(text, '')) FROM conversations),
+clean AS (SELECT *, {strip_urls_sql('full_text')} AS cleaned FROM uposts)
+"""
+ORACLE_SCORED = with_(UNI_CLEAN, SEED_LEXICON_SQL, "dclean AS (SELECT post_id, cleaned FROM clean)",
+                      lexicon_sql("dclean", "cleaned"), KW_TOKENS, KEYWORDS) + """
+SELECT c.post_id, c.topic, c.is_comment,
+       CASE WHEN length(c.cleaned) = 0 THEN 0.0 ELSE coalesce(l.compound, 0.0) END AS sentiment_score,
+       CASE WHEN (CASE WHEN length(c.cleaned) = 0 THEN 0.0 ELSE coalesce(l.compound, 0.0) END) >= 0.05 THEN 'positive'
+            WHEN (CASE WHEN length(c.cleaned) = 0 THEN 0.0 ELSE coalesce(l.compound, 0.0) END) <= -0.05 THEN 'negative'
+            ELSE 'neutral' END AS sentiment_label,
+       round(CASE WHEN length(c.cleaned) = 0 THEN 0.5 ELSE coalesce(greatest(l.pos, l.neg, l.neu), 0.5) END, 4)
+         AS confidence,
+       CASE WHEN length(c.cleaned) = 0 THEN '' ELSE array_to_string(k.keywords, ' ') END AS keywords,
+       length(substring(c.cleaned, 1, 500)) AS cleaned_chars
+FROM clean c LEFT JOIN lex_scores l USING (post_id) LEFT JOIN post_kw k USING (post_id)"""
+
+from .catalog import ORACLE as _ORACLE  # noqa: E402
+
+_ORACLE["lexicon_score"] = ORACLE_LEXICON.strip()
+_ORACLE["scored_posts"] = ORACLE_SCORED.strip()
+
+
+def entities_sql(text: str) -> str:
+    """SQL form of ``functions.text.entities`` for an engine whose ``\\b`` is ASCII-only:
+    every non-word character is doubled so a consumed boundary character still leaves
+    one for the next match; explicit boundary classes replace ``\\b``; the doubled
+    whitespace inside a match is then halved."""
+    nw = r"[^\p{L}\p{N}_]"
+    doubled = f"regexp_replace(coalesce({text}, ''), {q('(' + nw + ')')}, '\\1\\1', 'g')"
+    org = rf"(?:^|{nw})([A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*)(?:$|{nw})"
+    halve = q(f"({WS}){WS}")
+    orgs = (f"list_transform(regexp_extract_all({doubled}, {q(org)}, 1)[1:{T.ORG_CAP}], "
+            f"lambda m: regexp_replace(m, {halve}, '\\1', 'g'))")
+    orgs = f"list_filter({orgs}, lambda m: length(m) > 2 AND NOT list_contains({EN_STOP}, lower(m)))"
+    money = f"regexp_extract_all(coalesce({text}, ''), {q(T.MONEY_PATTERN)}, 0)[1:{T.MONEY_CAP}]"
+    pct = f"regexp_extract_all(coalesce({text}, ''), {q(T.PERCENT_PATTERN)}, 0)[1:{T.PERCENT_CAP}]"
+    return (f"list_concat(list_transform({orgs}, lambda m: 'ORG_OR_PERSON:' || m), "
+            f"list_transform({money}, lambda m: 'MONEY:' || m), list_transform({pct}, lambda m: 'PERCENT:' || m))")
+
+
+_ORACLE["entities"] = (with_(DOCS) + f"""
+SELECT post_id, array_to_string(e, '|') AS entities, len(e) AS n
+FROM (SELECT post_id, {entities_sql('full_text')} AS e FROM docs)""").strip()
