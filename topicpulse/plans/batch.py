@@ -34,6 +34,14 @@ def compute_views(df: DataFrame, as_of, lookback_hours: int = 24, top_n: int = 2
     return views
 
 
+def _read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The published table; an empty view writes no data files, so it reads as empty."""
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # no data files: nothing was published for this view
+        return spark.createDataFrame([], like.schema)
+
+
 def run_batch(spark: SparkSession, sources: list[str], out: str, as_of, lookback_hours: int = 24) -> dict | None:
     """Run one batch: returns the computed views (already written under ``out``), or
     None when no source has rows in the look-back window."""
@@ -45,6 +53,6 @@ def run_batch(spark: SparkSession, sources: list[str], out: str, as_of, lookback
     try:
         views = compute_views(df, as_of, lookback_hours)
         publish_views(views, out, as_of)
-        return {k: spark.read.parquet(os.path.join(out, k)) for k in views}
+        return {k: _read_back(spark, os.path.join(out, k), v) for k, v in views.items()}
     finally:
         df.unpersist()
