@@ -9,6 +9,7 @@ network once. Stop words are fixed-size dictionaries and are broadcast.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +21,13 @@ def by_post(df: DataFrame, key: str = "post_id") -> DataFrame:
     return df.repartition(key)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000, keep: bool = False) -> DataFrame:
     """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows (the check
-    reads at most ``max_rows + 1`` rows); larger tables are joined by shuffle."""
+    reads at most ``max_rows + 1`` rows); larger tables are joined by shuffle. With
+    ``keep`` the table is persisted first, so the check and the join share one
+    computation (for derived dictionaries that are expensive to build)."""
+    if keep:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
@@ -101,7 +106,7 @@ def post_keywords_lemma(posts: DataFrame, stopwords: DataFrame, lemmas: DataFram
         .join(F.broadcast(stopwords.select("word")), "word", "left_anti")
     if lemmas is None:
         lemmas = derive_lemmas(lemma_tokens(posts, text_col, key).select("word"))
-    lem = broadcast_if_small(lemmas.select("word", "base"))
+    lem = broadcast_if_small(lemmas.select("word", "base"), keep=True)
     t = toks.join(lem, "word", "left").select(key, "pos", F.coalesce("base", "word").alias("word"))
     kw = _top_words(t, n, key)
     return posts.select(key).join(kw, key, "left") \

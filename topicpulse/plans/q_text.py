@@ -237,16 +237,6 @@ def q_scored_posts(spark, base):
                     F.array_join("keywords", " ").alias("keywords"), F.length("cleaned_text").alias("cleaned_chars"))
 
 
-@register("word_cloud", with_(DOCS, KW_TOKENS, KEYWORDS) + """
-SELECT topic, word, count(*) AS "count", 0.0 AS avg_sentiment
-FROM (SELECT DISTINCT post_id, topic, unnest(keywords) AS word FROM post_kw) GROUP BY 1, 2""")
-def q_word_cloud(spark, base):
-    d = by_post(_clean_docs(spark, base))
-    kw = post_keywords(d, TB.keyword_stopwords(spark))
-    s = d.select("post_id", "topic", F.lit(0).cast("bigint").alias("sentiment_e4")).join(kw, "post_id")
-    return A.word_cloud(s)
-
-
 # ---------------------------------------------------------- C4 oracle (SQL form)
 def lexicon_sql(src: str, text: str) -> str:
     """SQL of ``lexicon_scores`` over CTE ``src`` with columns (post_id, ``text``); needs a
@@ -370,3 +360,71 @@ def entities_sql(text: str) -> str:
 _ORACLE["entities"] = (with_(DOCS) + f"""
 SELECT post_id, array_to_string(e, '|') AS entities, len(e) AS n
 FROM (SELECT post_id, {entities_sql('full_text')} AS e FROM docs)""").strip()
+
+
+# ------------------------------------------------------ H2, H4 over scored documents
+SDOCS = """
+sdocs AS (
+  SELECT c.post_id, c.topic, c.subreddit,
+         CAST(round((CASE WHEN length(c.cleaned) = 0 THEN 0.0 ELSE coalesce(l.compound, 0.0) END) * 10000) AS BIGINT)
+           AS sentiment_e4,
+         CASE WHEN (CASE WHEN length(c.cleaned) = 0 THEN 0.0 ELSE coalesce(l.compound, 0.0) END) >= 0.05 THEN 'positive'
+              WHEN (CASE WHEN length(c.cleaned) = 0 THEN 0.0 ELSE coalesce(l.compound, 0.0) END) <= -0.05 THEN 'negative'
+              ELSE 'neutral' END AS sentiment_label,
+         k.keywords
+  FROM clean c LEFT JOIN lex_scores l USING (post_id) LEFT JOIN post_kw k USING (post_id))
+"""
+SCORED_DOCS_CTES = (DOCS, SEED_LEXICON_SQL, "dclean AS (SELECT post_id, cleaned FROM clean)",
+                    lexicon_sql("dclean", "cleaned"), KW_TOKENS, KEYWORDS, SDOCS)
+
+
+def scored_documents(spark, base):
+    """Documents scored by the per-post plan (lexicon score, keywords, labels)."""
+    stop = W.words(W.ENGLISH_STOPWORDS_TEXT + " " + W.SITE_STOPWORDS_TEXT)
+    return score_posts(_docs(spark, base), TB.seed_lexicon(spark), TB.keyword_stopwords(spark), stop,
+                       processed_at=TB.AS_OF, with_entities=False)
+
+
+@register("word_cloud", with_(*SCORED_DOCS_CTES) + f"""
+SELECT topic, word, count(*) AS "count", {AVG_E4.format(c='sentiment_e4')} AS avg_sentiment
+FROM (SELECT topic, sentiment_e4, unnest(list_distinct(keywords)) AS word FROM sdocs) GROUP BY 1, 2""")
+def q_word_cloud(spark, base):
+    return A.word_cloud(scored_documents(spark, base))
+
+
+@register("nested_aggregates", with_(*SCORED_DOCS_CTES) + f"""
+, agg AS (
+  SELECT topic, {AVG_E4.format(c='sentiment_e4')} AS avg_sentiment, count(*) AS total_posts,
+         count(*) FILTER (WHERE sentiment_label = 'positive') AS positive_count,
+         count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral_count,
+         count(*) FILTER (WHERE sentiment_label = 'negative') AS negative_count
+  FROM sdocs GROUP BY topic),
+kc AS (
+  SELECT topic, keyword, count(*) AS cnt FROM (SELECT topic, unnest(keywords) AS keyword FROM sdocs) GROUP BY 1, 2),
+kr AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cnt DESC, keyword) AS rank FROM kc),
+tk AS (
+  SELECT topic, string_agg(keyword, ',' ORDER BY rank) AS top_keywords,
+         string_agg(CAST(cnt AS VARCHAR), ',' ORDER BY rank) AS top_keyword_counts
+  FROM kr WHERE rank <= 10 GROUP BY topic),
+src AS (
+  SELECT topic, string_agg(subreddit, ',' ORDER BY subreddit) AS sources, CAST(sum(n) AS BIGINT) AS source_posts FROM (
+    SELECT topic, subreddit, count(*) AS n FROM sdocs GROUP BY 1, 2) GROUP BY topic)
+SELECT a.topic, a.avg_sentiment, a.total_posts, t.top_keywords, t.top_keyword_counts,
+       CAST(a.positive_count AS DOUBLE) / CAST(a.total_posts AS DOUBLE) AS dist_positive,
+       CAST(a.neutral_count AS DOUBLE) / CAST(a.total_posts AS DOUBLE) AS dist_neutral,
+       CAST(a.negative_count AS DOUBLE) / CAST(a.total_posts AS DOUBLE) AS dist_negative,
+       s.sources, s.source_posts
+FROM agg a LEFT JOIN tk t USING (topic) LEFT JOIN src s USING (topic)""")
+def q_nested_aggregates(spark, base):
+    sd = scored_documents(spark, base)
+    n = A.nested_aggregates(sd, top_keywords(sd, 20), 10)
+    return n.select(
+        "topic", "avg_sentiment", "total_posts",
+        F.array_join(F.transform("top_keywords", lambda k: k["keyword"]), ",").alias("top_keywords"),
+        F.array_join(F.transform("top_keywords", lambda k: k["count"].cast("string")), ",").alias("top_keyword_counts"),
+        F.element_at("sentiment_distribution", F.lit("positive")).alias("dist_positive"),
+        F.element_at("sentiment_distribution", F.lit("neutral")).alias("dist_neutral"),
+        F.element_at("sentiment_distribution", F.lit("negative")).alias("dist_negative"),
+        F.array_join(F.array_sort(F.map_keys("subreddit_breakdown")), ",").alias("sources"),
+        F.aggregate(F.map_values("subreddit_breakdown"), F.lit(0).cast("bigint"),
+                    lambda acc, v: acc + v["post_count"]).alias("source_posts"))
