@@ -99,6 +99,21 @@ def q_insert_new_only(spark, base):
     return insert_new_only(stored, incoming, 1).select("post_id", "topic", "processed_at", "timestamp", "batch_id")
 
 
+@register("insert_new_only_bucketed", with_(SCORED) + f""",
+b1 AS (SELECT * FROM scored WHERE processed_at >= {OVERLAP}
+       UNION ALL SELECT * FROM scored WHERE processed_at >= {OVERLAP} AND topic = 'view'),
+d1 AS (SELECT * FROM b1 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY processed_at, post_id) = 1)
+SELECT post_id, topic, processed_at, CAST(1 AS BIGINT) AS batch_id FROM d1
+WHERE post_id NOT IN (SELECT post_id FROM scored WHERE processed_at < {SPLIT})""")
+def q_insert_new_only_bucketed(spark, base):
+    """A7 against a store keyed by id bucket: only the buckets of the batch's ids are read."""
+    from ..streaming.sinks import id_bucket
+    b0, b1 = _batches(spark, base)
+    stored = b0.select("post_id", id_bucket().alias("id_bucket"), F.lit(0).cast("bigint").alias("batch_id"))
+    incoming = b1.unionByName(b1.where(F.col("topic") == "view"))
+    return insert_new_only(stored, incoming, 1).select("post_id", "topic", "processed_at", "batch_id")
+
+
 def _daily(df, created_shift: str):
     agg = A.topic_aggregates(df.withColumn("period_start", F.date_trunc("day", "processed_at")),
                              by=["topic", "period_start"])

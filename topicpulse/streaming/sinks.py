@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 
 DEFAULT_TTL_SECONDS = 300
 DEFAULT_HISTORY = 1001
+ID_BUCKETS = 1024
+
+
+def id_bucket(key: str = "post_id", buckets: int = ID_BUCKETS):
+    """Hash bucket of an id: the result store is partitioned by it, so a lookup of a
+    batch's ids reads only the buckets those ids fall in."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
 # ------------------------------------------------------------- read-side helpers
@@ -53,24 +60,36 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str],
 
 
 def insert_new_only(stored: DataFrame, batch_df: DataFrame, batch_id: int, key: str = "post_id",
-                    order: list | None = None) -> DataFrame:
+                    order: list | None = None, buckets: int = ID_BUCKETS) -> DataFrame:
     """Rows of micro-batch ``batch_id`` to insert: duplicates inside the batch dropped
     (first by ``order`` wins), ids already stored by *other* batches dropped. Stored rows
-    of the same batch id are ignored, so a replay recomputes the same partition."""
+    of the same batch id are ignored, so a replay recomputes the same partition.
+
+    When the store is partitioned by ``id_bucket`` only the buckets of this batch's ids
+    are read: their set has at most ``buckets`` small integers, so it is collected and
+    becomes a partition filter (static pruning of the ever-growing store)."""
     order = order or [F.col("processed_at"), F.col(key)]
-    dedup = latest_per_key(batch_df, [key], order)
-    others = stored.where(F.col("batch_id") != batch_id).select(key)
-    return (dedup.join(others, key, "left_anti")
+    dedup = latest_per_key(batch_df, [key], order).withColumn("id_bucket", id_bucket(key, buckets))
+    others = stored.where(F.col("batch_id") != batch_id)
+    if "id_bucket" in stored.columns:
+        touched = [r[0] for r in dedup.select("id_bucket").distinct().collect()]  # <= buckets values
+        others = others.where(F.col("id_bucket").isin(touched))
+        cond = [key, "id_bucket"]
+    else:
+        cond = [key]
+    return (dedup.join(others.select(*cond), cond, "left_anti")
             .withColumn("timestamp", F.col("processed_at"))
             .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
 
 
 # ------------------------------------------------------------------ write side
 def write_batch_partition(df: DataFrame, path: str, batch_id: int) -> None:
-    """Overwrite exactly the ``batch_id=N`` partition (dynamic partition overwrite)."""
+    """Overwrite exactly the ``batch_id=N`` partition(s) (dynamic partition overwrite);
+    a table carrying ``id_bucket`` is partitioned by (id_bucket, batch_id)."""
+    parts = ["id_bucket", "batch_id"] if "id_bucket" in df.columns else ["batch_id"]
     (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write
      .mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
+     .partitionBy(*parts).parquet(path))
 
 
 def read_or_empty(spark, path: str, schema: str) -> DataFrame:
@@ -85,7 +104,7 @@ def read_or_empty(spark, path: str, schema: str) -> DataFrame:
 def sink_results(batch_df: DataFrame, batch_id: int, path: str) -> DataFrame:
     """A7 write: append this batch's new rows to the result store at ``path``."""
     spark = batch_df.sparkSession
-    stored = read_or_empty(spark, path, "post_id string, batch_id bigint")
+    stored = read_or_empty(spark, path, "post_id string, id_bucket int, batch_id bigint")
     new = insert_new_only(stored, batch_df, batch_id).drop("batch_id")
     write_batch_partition(new, path, batch_id)
     return new

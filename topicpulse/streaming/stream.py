@@ -43,7 +43,7 @@ def process_batch(batch_df: DataFrame, batch_id: int, out: str, lexicon: DataFra
         scored = score_posts(valid, lexicon, stopwords, entity_stopwords).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             results = os.path.join(out, "results")
-            stored = read_or_empty(spark, results, "post_id string, batch_id bigint")
+            stored = read_or_empty(spark, results, "post_id string, id_bucket int, batch_id bigint")
             new = insert_new_only(stored, scored, batch_id).drop("batch_id")
             write_batch_partition(new, results, batch_id)
             batch_time = scored.agg(F.max("processed_at")).first()[0]  # one row: the batch stamp
