@@ -103,3 +103,47 @@ def test_run_batch_end_to_end(spark, tmpdir_path):
     run_batch(spark, [src], f"{tmpdir_path}/views", AS_OF, lookback_hours=72)
     assert spark.read.parquet(f"{tmpdir_path}/views/topic_aggregates").groupBy().sum("total_posts").first()[0] == n
     assert run_batch(spark, [missing], f"{tmpdir_path}/v2", AS_OF) is None
+
+
+def test_parquet_and_console_sinks(spark, tmpdir_path):
+    from topicpulse.streaming.sinks import sink_console, sink_parquet
+    src = f"{tmpdir_path}/scored"
+    s = scored_from_events(spark, SF_SMALL).select("post_id", "topic", "sentiment_e4", "processed_at")
+    s.repartition(2).write.parquet(src)
+    stream = spark.readStream.schema(s.schema).parquet(src)
+    q = sink_parquet(stream, f"{tmpdir_path}/sink", f"{tmpdir_path}/sink-ckpt", available_now=True)
+    q.awaitTermination(300)
+    back = spark.read.parquet(f"{tmpdir_path}/sink")
+    assert back.count() == s.count()
+    assert back.select(*s.columns).exceptAll(s).count() == 0
+    assert sorted(os.listdir(f"{tmpdir_path}/sink"))[0].startswith("_spark_metadata") or \
+        any(d.startswith("topic=") for d in os.listdir(f"{tmpdir_path}/sink"))
+    c = sink_console(spark.readStream.schema(s.schema).parquet(src), rows=5,
+                     checkpoint=f"{tmpdir_path}/console-ckpt")
+    c.processAllAvailable()
+    c.stop()
+
+
+def test_dedupe_stream_within_watermark(spark, tmpdir_path):
+    from topicpulse.operators.ingest import dedupe_stream
+    schema = "post_id string, processed_at timestamp"
+    t = dt.datetime(2024, 1, 1, 10)
+    for i, rows in enumerate([[("a", t), ("a", t)], [("a", t + dt.timedelta(minutes=10)), ("b", t)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmpdir_path}/d/b{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(f"{tmpdir_path}/d")
+    q = dedupe_stream(stream, "1 hour").writeStream.format("memory").queryName("dd_test").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.post_id for r in spark.table("dd_test").collect()) == ["a", "b"]
+
+
+def test_encode_alerts_round_trip(spark):
+    from topicpulse.operators.alerts import post_alerts
+    from topicpulse.sources.bus import encode_alerts
+    a = post_alerts(scored_from_events(spark, SF_SMALL))
+    e = encode_alerts(a)
+    assert e.count() == a.count()
+    r = e.select(F.col("key").cast("string").alias("k"),
+                 F.get_json_object(F.col("value").cast("string"), "$.alert_type").alias("t")).first()
+    assert r.t == "low_sentiment" and ":" not in r.k

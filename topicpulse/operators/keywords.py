@@ -4,7 +4,7 @@ Per-post jobs work on an exploded token table ``(post_id, pos, word)``. Callers
 hash-partition the narrow ``(post_id, text)`` projection by ``post_id`` first
 (``by_post``); after that the count per (post, word), the per-post rank and the
 collect back into an array need no further shuffle, and the text crosses the
-network once. Stop words are fixed-size dictionaries and are broadcast.
+network once. Dictionaries (stop words, lemmas) are broadcast after a size check.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def post_keywords(posts: DataFrame, stopwords: DataFrame, n: int = 5, min_len: i
     characters that are not stop words. Posts without such words get ``[]``."""
     toks = posts.select(key, F.posexplode(keyword_tokens(F.col(text_col))).alias("pos", "word")) \
         .where(F.length("word") >= min_len) \
-        .join(F.broadcast(stopwords.select("word")), "word", "left_anti")
+        .join(broadcast_if_small(stopwords.select("word")), "word", "left_anti")
     kw = _top_words(toks, n, key)
     return posts.select(key).join(kw, key, "left") \
         .select(key, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
@@ -103,7 +103,7 @@ def post_keywords_lemma(posts: DataFrame, stopwords: DataFrame, lemmas: DataFram
     count, ties by first occurrence. Without a lemma table one is derived from the
     posts' own vocabulary (``derive_lemmas``)."""
     toks = lemma_tokens(posts, text_col, key).where(F.length("word") >= min_len) \
-        .join(F.broadcast(stopwords.select("word")), "word", "left_anti")
+        .join(broadcast_if_small(stopwords.select("word")), "word", "left_anti")
     if lemmas is None:
         lemmas = derive_lemmas(lemma_tokens(posts, text_col, key).select("word"))
     lem = broadcast_if_small(lemmas.select("word", "base"), keep=True)

@@ -89,11 +89,12 @@ def token_modifiers(posts: DataFrame, p: Params, text_col: str, key: str) -> Dat
 
 def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None = None,
                    text_col: str = "cleaned_text", key: str = "post_id") -> DataFrame:
-    """Per post: compound score and pos/neg/neu shares. ``lexicon`` is (word, valence),
-    a bounded dictionary, broadcast to the token table."""
+    """Per post: compound score and pos/neg/neu shares. ``lexicon`` is (word, valence), a
+    dictionary broadcast to the token table after a row-count check."""
     p = params or Params()
     toks = token_modifiers(posts, p, text_col, key)
-    lex = F.broadcast(lexicon.select(F.lower("word").alias("lc"), F.col("valence").cast("double")))
+    from .keywords import broadcast_if_small
+    lex = broadcast_if_small(lexicon.select(F.lower("word").alias("lc"), F.col("valence").cast("double")))
     j = toks.join(lex, "lc", "left")
     v0 = F.col("valence")
     sign = F.signum(v0)
