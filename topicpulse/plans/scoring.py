@@ -1,9 +1,14 @@
 """The per-post scoring plan (the work of the streaming job's scorer, as a DataFrame job).
 
-posts -> hash-partition by post_id (one shuffle of the post rows) -> full text (C1)
--> cleaned text (C2) -> lexicon score (C4) + top-5 keywords (C10) + entities (C12)
--> defaults for blank text (C13) and labels (C5). Every per-post step after the
-repartition is partition-local; the joins back on post_id are co-partitioned.
+posts -> (post_id, title, content) hash-partitioned by post_id -> full text (C1) ->
+cleaned text (C2) -> lexicon score (C4) + top-5 keywords (C10) + entities (C12) ->
+defaults for blank text (C13) and labels (C5).
+
+Shuffles: every text branch (lexicon tokens, keyword tokens, the per-post columns)
+reads the same ``(post_id, title, content)`` exchange, so the text crosses the
+network once; the per-post results are joined to each other co-partitioned; the
+remaining small columns of the posts are joined back with one shuffle of their own.
+``post_id`` must be unique in ``posts`` (deduplicate first, B6/A13).
 """
 
 from __future__ import annotations
@@ -15,24 +20,31 @@ from ..functions import text as T
 from ..operators.keywords import by_post, post_keywords
 from ..operators.lexicon import Params, lexicon_scores, score_with_defaults
 
+ENTITY_TYPE = "array<struct<text:string,entity_type:string,confidence:double>>"
+
 
 def score_posts(posts: DataFrame, lexicon: DataFrame, stopwords: DataFrame,
                 entity_stopwords: list[str] | None = None, processed_at=None,
                 params: Params | None = None, with_entities: bool = True) -> DataFrame:
-    p = by_post(posts)
-    p = p.withColumn("_full", T.full_text("title", "content")) \
-         .withColumn("_clean", T.strip_urls(F.col("_full")))
-    narrow = p.select("post_id", F.col("_clean").alias("cleaned_text"))
+    text = by_post(posts.select("post_id", "title", "content"))
+    t = text.withColumn("_full", T.full_text("title", "content")) \
+            .withColumn("_clean", T.strip_urls(F.col("_full")))
+    narrow = t.select("post_id", F.col("_clean").alias("cleaned_text"))
     scores = lexicon_scores(narrow, lexicon, params)
     kw = post_keywords(narrow, stopwords)
-    out = score_with_defaults(p, scores, text_col="_clean").join(kw, "post_id", "left")
+    per_post = score_with_defaults(t, scores, text_col="_clean").join(kw, "post_id", "left")
     blank = T.is_blank(F.col("_clean"))
-    out = out.withColumn("keywords", F.when(blank, F.array().cast("array<string>")).otherwise(F.col("keywords")))
+    per_post = per_post.withColumn(
+        "keywords", F.when(blank, F.array().cast("array<string>")).otherwise(F.col("keywords")))
     if with_entities:
-        out = out.withColumn("entities", T.entities(F.col("_full"), entity_stopwords or []))
+        per_post = per_post.withColumn("entities", T.entities(F.col("_full"), entity_stopwords or []))
     else:
-        out = out.withColumn("entities", F.array().cast("array<struct<text:string,entity_type:string,confidence:double>>"))
-    ts = F.current_timestamp() if processed_at is None else F.lit(processed_at).cast("timestamp")
+        per_post = per_post.withColumn("entities", F.array().cast(ENTITY_TYPE))
+    per_post = per_post.withColumn("cleaned_text", F.substring("_clean", 1, T.DISPLAY_CHARS)) \
+        .drop("_full", "_clean")
+    meta = posts.drop("title", "content")
+    out = meta.join(per_post, "post_id", "inner")
     if "processed_at" not in out.columns:
+        ts = F.current_timestamp() if processed_at is None else F.lit(processed_at).cast("timestamp")
         out = out.withColumn("processed_at", ts)
-    return out.withColumn("cleaned_text", F.substring("_clean", 1, T.DISPLAY_CHARS)).drop("_full", "_clean")
+    return out

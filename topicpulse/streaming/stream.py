@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import hourly_trends, microbatch_stats  # noqa: F401  (re-export)
 from ..operators.alerts import post_alerts
+from ..operators.ingest import dedupe
 from ..plans.scoring import score_posts
 from ..session import checkpoint_path
 from ..sources.bus import decode_posts
@@ -37,7 +38,8 @@ def process_batch(batch_df: DataFrame, batch_id: int, out: str, lexicon: DataFra
     spark = batch_df.sparkSession
     batch_df = batch_df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        valid = batch_df.where("valid").drop("valid")
+        # B6 inside the batch: the first record of an id (by bus time) is scored
+        valid = dedupe(batch_df.where("valid").drop("valid"), "post_id", [F.col("kafka_timestamp")])
         rejected = batch_df.where("NOT valid").drop("valid")
         write_batch_partition(rejected, os.path.join(out, "rejected"), batch_id)
         scored = score_posts(valid, lexicon, stopwords, entity_stopwords).persist(StorageLevel.MEMORY_AND_DISK)
