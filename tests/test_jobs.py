@@ -38,6 +38,12 @@ def test_stream_equals_batch_and_replay(spark, tmpdir_path):
     assert diff.count() == 0
     hist = spark.read.parquet(f"{out}/history")
     assert hist.groupBy().sum("count").first()[0] == posts.count()
+    ids = spark.read.parquet(f"{out}/ids")
+    assert ids.count() == posts.count() and "id_bucket" in ids.columns
+    # the hourly job reads the results store through a day-partition filter
+    from topicpulse.sources.tables import scan_lookback
+    lb = scan_lookback(f"{out}/results", spark, as_of=AS_OF, hours=24)
+    assert "PartitionFilters: [isnotnull(dt#" in lb._jdf.queryExecution().executedPlan().toString()
     # replay of batch 0: the same rows are rewritten, nothing is duplicated
     from topicpulse.sources.bus import decode_posts
     first_file = sorted(p for p in os.listdir(src) if p.endswith(".parquet"))[0]

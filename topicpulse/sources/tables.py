@@ -28,10 +28,14 @@ def as_timestamp(value) -> F.Column:
 def scan_lookback(df_or_path, spark: SparkSession | None = None, as_of=None,
                   hours: int = 24, ts_col: str = "processed_at") -> DataFrame:
     """A4: rows with ``ts_col >= as_of - hours``. A plain ``where`` so the predicate
-    reaches the parquet reader (row-group skipping) and partition pruning."""
+    reaches the parquet reader (row-group skipping); on a table partitioned by day
+    (``dt``) the implied ``dt >= date(cutoff)`` prunes whole partitions."""
     df = spark.read.parquet(df_or_path) if isinstance(df_or_path, str) else df_or_path
     cutoff = as_timestamp(as_of) - F.expr(f"INTERVAL {int(hours)} HOURS")
-    return df.where(F.col(ts_col) >= cutoff)
+    out = df.where(F.col(ts_col) >= cutoff)
+    if "dt" in df.columns:
+        out = out.where(F.col("dt") >= F.to_date(cutoff))
+    return out
 
 
 def first_nonempty(candidates: Iterable[Callable[[], DataFrame | None]]) -> DataFrame | None:

@@ -30,6 +30,8 @@ def realtime_snapshot(history_df: DataFrame, as_of, ttl_seconds: int = DEFAULT_T
     huge history is reduced map-side rather than sorted in one task."""
     cutoff = F.lit(as_of).cast("timestamp") - F.make_interval(secs=F.lit(ttl_seconds))
     fresh = history_df.where(F.col("updated_at") > cutoff)
+    if "dt" in history_df.columns:  # day-partitioned store: prune to the days the TTL reaches
+        fresh = fresh.where(F.col("dt") >= F.to_date(cutoff))
     latest = fresh.groupBy("topic").agg(F.max_by(F.struct("avg_sentiment", "count"), "updated_at").alias("s"),
                                         F.max("updated_at").alias("updated_at"))
     return latest.select("topic", "s.avg_sentiment", "s.count", "updated_at")
@@ -83,13 +85,20 @@ def insert_new_only(stored: DataFrame, batch_df: DataFrame, batch_id: int, key:
 
 
 # ------------------------------------------------------------------ write side
-def write_batch_partition(df: DataFrame, path: str, batch_id: int) -> None:
-    """Overwrite exactly the ``batch_id=N`` partition(s) (dynamic partition overwrite);
-    a table carrying ``id_bucket`` is partitioned by (id_bucket, batch_id)."""
-    parts = ["id_bucket", "batch_id"] if "id_bucket" in df.columns else ["batch_id"]
+def write_batch_partition(df: DataFrame, path: str, batch_id: int, by: list[str] | None = None) -> None:
+    """Overwrite exactly this batch's partitions (dynamic partition overwrite): the table
+    is partitioned by ``by`` (default: ``dt`` when the frame has it) and then ``batch_id``,
+    so a replayed batch rewrites the same directories."""
+    if by is None:
+        by = ["dt"] if "dt" in df.columns else []
     (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write
      .mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*parts).parquet(path))
+     .partitionBy(*by, "batch_id").parquet(path))
+
+
+def with_dt(df: DataFrame, ts_col: str) -> DataFrame:
+    """Day partition column of a time-stamped table (look-back scans prune on it)."""
+    return df.withColumn("dt", F.to_date(F.col(ts_col)))
 
 
 def read_or_empty(spark, path: str, schema: str) -> DataFrame:
@@ -101,12 +110,19 @@ def read_or_empty(spark, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def sink_results(batch_df: DataFrame, batch_id: int, path: str) -> DataFrame:
-    """A7 write: append this batch's new rows to the result store at ``path``."""
+IDS_SCHEMA = "post_id string, id_bucket int, batch_id bigint"
+
+
+def sink_results(batch_df: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """A7 write: this batch's new rows go to ``out/results`` (partitioned by day, then
+    batch: look-back scans prune by day) and their ids to ``out/ids`` (partitioned by id
+    bucket, then batch: the next batches' dedupe reads only the buckets they touch)."""
     spark = batch_df.sparkSession
-    stored = read_or_empty(spark, path, "post_id string, id_bucket int, batch_id bigint")
+    ids_path = os.path.join(out, "ids")
+    stored = read_or_empty(spark, ids_path, IDS_SCHEMA)
     new = insert_new_only(stored, batch_df, batch_id).drop("batch_id")
-    write_batch_partition(new, path, batch_id)
+    write_batch_partition(with_dt(new.drop("id_bucket"), "processed_at"), os.path.join(out, "results"), batch_id)
+    write_batch_partition(new.select("post_id", "id_bucket"), ids_path, batch_id, by=["id_bucket"])
     return new
 
 

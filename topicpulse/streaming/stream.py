@@ -3,9 +3,9 @@
 One query: bus -> decode (stateless, in the stream plan; ``processed_at`` stamped
 there, once) -> ``foreachBatch``. Inside, the micro-batch is persisted once and fed
 to the same batch operators the hourly job uses: per-post scoring, the result
-store (A7), the per-topic snapshot/history store (D5 -> A9/A10), post alerts (F1)
-and the rejected records. Every target is written to its ``batch_id=N`` partition
-with dynamic overwrite, so a replayed batch (after a failure between the write and
+store (A7: results by day, ids by id bucket), the per-topic snapshot/history store
+(D5 -> A9/A10), post alerts (F1) and the rejected records. Every target is written to
+its ``batch_id=N`` partitions (under a day or id-bucket partition) with dynamic overwrite, so a replayed batch (after a failure between the write and
 the checkpoint commit) rewrites the same rows instead of duplicating them.
 Errors propagate, so a failed batch is not committed (decision D-10).
 """
@@ -24,7 +24,7 @@ from ..operators.ingest import dedupe
 from ..plans.scoring import score_posts
 from ..session import checkpoint_path
 from ..sources.bus import decode_posts
-from .sinks import insert_new_only, read_or_empty, write_batch_partition
+from .sinks import sink_results, with_dt, write_batch_partition
 
 
 def decoded_stream(bus: DataFrame) -> DataFrame:
@@ -35,23 +35,20 @@ def decoded_stream(bus: DataFrame) -> DataFrame:
 def process_batch(batch_df: DataFrame, batch_id: int, out: str, lexicon: DataFrame, stopwords: DataFrame,
                   entity_stopwords: list[str] | None = None) -> None:
     """One micro-batch: score once, write every target for ``batch_id`` idempotently."""
-    spark = batch_df.sparkSession
     batch_df = batch_df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # B6 inside the batch: the first record of an id (by bus time) is scored
         valid = dedupe(batch_df.where("valid").drop("valid"), "post_id", [F.col("kafka_timestamp")])
         rejected = batch_df.where("NOT valid").drop("valid")
-        write_batch_partition(rejected, os.path.join(out, "rejected"), batch_id)
+        write_batch_partition(rejected, os.path.join(out, "rejected"), batch_id, by=[])
         scored = score_posts(valid, lexicon, stopwords, entity_stopwords).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            results = os.path.join(out, "results")
-            stored = read_or_empty(spark, results, "post_id string, id_bucket int, batch_id bigint")
-            new = insert_new_only(stored, scored, batch_id).drop("batch_id")
-            write_batch_partition(new, results, batch_id)
+            sink_results(scored, batch_id, out)
             batch_time = scored.agg(F.max("processed_at")).first()[0]  # one row: the batch stamp
             if batch_time is not None:
-                write_batch_partition(microbatch_stats(scored, batch_time), os.path.join(out, "history"), batch_id)
-            write_batch_partition(post_alerts(scored), os.path.join(out, "alerts"), batch_id)
+                write_batch_partition(with_dt(microbatch_stats(scored, batch_time), "updated_at"),
+                                      os.path.join(out, "history"), batch_id)
+            write_batch_partition(with_dt(post_alerts(scored), "timestamp"), os.path.join(out, "alerts"), batch_id)
         finally:
             scored.unpersist()
     finally:
