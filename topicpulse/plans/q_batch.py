@@ -265,3 +265,12 @@ SELECT topic, count(*) AS points, arg_min(avg_sentiment, hour) AS first_value,
 FROM hourly GROUP BY topic""")
 def q_trend_summary(spark, base):
     return A.trend_summary(A.hourly_trends(_scored(spark, base)))
+
+
+# ------------------------------------------------ I5 window operator (batch execution)
+@register("windowed_trends", with_(SCORED, HOURLY) + "SELECT * FROM hourly")
+def q_windowed_trends(spark, base):
+    """The streaming hourly-window operator run over the whole table (the watermark is
+    inert in a batch plan); it must equal the hourly trend view."""
+    from ..streaming.stream import windowed_trends
+    return windowed_trends(_scored(spark, base))
