@@ -26,6 +26,17 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def remove_if(x: Column, needles: list[str], pattern: str) -> Column:
+    """``regexp_replace(x, pattern, '')``, skipped for rows that contain none of the
+    literal ``needles`` every match must contain (a byte search instead of a decode,
+    regex scan and re-encode of the whole text). Same result either way."""
+    has = None
+    for n in needles:
+        c = x.contains(n)
+        has = c if has is None else has | c
+    return F.when(has, F.regexp_replace(x, pattern, "")).otherwise(x)
+
+
 def collapse_ws(c) -> Column:
     """Runs of whitespace -> one space, then strip (Python's ``" ".join(s.split())``)."""
     return F.trim(F.regexp_replace(_c(c), WS + "+", " "))
@@ -43,7 +54,7 @@ def full_text(title, content) -> Column:
 
 def strip_urls(c) -> Column:
     """Remove ``http...``/``www...`` runs, collapse whitespace, trim."""
-    return collapse_ws(F.regexp_replace(_c(c), URL, ""))
+    return collapse_ws(remove_if(_c(c), ["http", "www"], URL))
 
 
 def display_text(c, max_chars: int = DISPLAY_CHARS) -> Column:
@@ -54,19 +65,19 @@ def display_text(c, max_chars: int = DISPLAY_CHARS) -> Column:
 def preprocess(c) -> Column:
     """Model preprocessing, in the original order of rules."""
     x = F.lower(_c(c))
-    x = F.regexp_replace(x, rf"http{NOT_WS}+|www{NOT_WS}+|https{NOT_WS}+", "")
-    x = F.regexp_replace(x, rf"/r/{WORD}+", "")
-    x = F.regexp_replace(x, rf"/u/{WORD}+", "")
-    x = F.regexp_replace(x, rf"u/{WORD}+", "")
-    x = F.regexp_replace(x, rf"&{WORD}+;", "")
+    x = remove_if(x, ["http", "www"], rf"http{NOT_WS}+|www{NOT_WS}+|https{NOT_WS}+")
+    x = remove_if(x, ["/r/"], rf"/r/{WORD}+")
+    x = remove_if(x, ["/u/"], rf"/u/{WORD}+")
+    x = remove_if(x, ["u/"], rf"u/{WORD}+")
+    x = remove_if(x, ["&"], rf"&{WORD}+;")
     x = F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}_{WS_INNER}!?.,'\-]", "")
     return F.coalesce(collapse_ws(x), F.lit(""))
 
 
 def keyword_tokens(cleaned) -> Column:
-    """Lower-cased word tokens: every non-word, non-space character becomes a space."""
-    x = F.regexp_replace(F.lower(_c(cleaned)), rf"[^\p{{L}}\p{{N}}_{WS_INNER}]", " ")
-    return F.filter(F.split(collapse_ws(x), " "), lambda w: F.length(w) > 0)
+    """Lower-cased word tokens: every non-word, non-space character becomes a space and the
+    text is split at whitespace, i.e. the maximal runs of word characters (one regex split)."""
+    return F.filter(F.split(F.lower(_c(cleaned)), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 0)
 
 
 def is_blank(c) -> Column:

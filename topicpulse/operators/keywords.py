@@ -63,7 +63,7 @@ def alpha_tokens(text: Column) -> Column:
     and at ``! ? . ,``; a contraction suffix (n't 's 'm 'd 'll 're 've) is split off;
     only tokens made of letters alone are kept. (Whole-text lookaround passes were
     measured slower than this one anchored match per token.)"""
-    parts = F.split(F.regexp_replace(F.lower(text), r"[!?.,\s]+", " "), " ")
+    parts = F.split(F.lower(text), r"[!?.,\s]+")
     stems = F.transform(parts, lambda t: F.regexp_extract(t, CONTRACTION, 1))
     return F.filter(stems, lambda t: F.length(t) > 0)
 
@@ -77,17 +77,22 @@ def derive_lemmas(vocab: DataFrame) -> DataFrame:
     """Lemma table ``(word, base)`` from a vocabulary ``(word)``: a suffix rule's output is
     accepted when it is itself a word of the vocabulary; the shortest accepted form wins
     (the word itself first, then rule order). Only words whose base differs are returned.
-    The job is a semi join of rule outputs against the distinct vocabulary."""
+    One pass over the distinct vocabulary: every word emits itself (a vocabulary marker)
+    and its rule outputs keyed by the output string; a window over that key tells whether
+    the output is itself a word (at most 1 + 9 rows per key). A self semi join would
+    plan the vocabulary, and so the whole tokenisation, twice."""
     v = vocab.select("word").distinct()
-    cands = F.array(*[
-        F.when(F.col("word").endswith(suf) & (F.length("word") > len(suf)),
-               F.struct(F.lit(i).alias("rule"),
-                        F.concat(F.expr(f"substring(word, 1, length(word) - {len(suf)})"), F.lit(rep)).alias("base")))
-        for i, (suf, rep) in enumerate(NOUN_RULES)])
-    c = v.select("word", F.explode(F.filter(cands, lambda x: x.isNotNull())).alias("c")) \
-        .select("word", "c.rule", "c.base")
-    ok = c.join(v.select(F.col("word").alias("base")), "base", "left_semi")
-    best = ok.groupBy("word").agg(F.min_by(F.struct("base", "rule"), F.struct(F.length("base"), "rule")).alias("b"))
+    me = F.struct(F.col("word").alias("key"), F.lit(True).alias("is_word"),
+                  F.lit(None).cast("string").alias("orig"), F.lit(None).cast("int").alias("rule"))
+    cands = [F.when(F.col("word").endswith(suf) & (F.length("word") > len(suf)),
+                    F.struct(F.concat(F.expr(f"substring(word, 1, length(word) - {len(suf)})"), F.lit(rep)).alias("key"),
+                             F.lit(False).alias("is_word"), F.col("word").alias("orig"), F.lit(i).alias("rule")))
+             for i, (suf, rep) in enumerate(NOUN_RULES)]
+    rows = v.select(F.explode(F.filter(F.array(me, *cands), lambda x: x.isNotNull())).alias("r")).select("r.*")
+    known = F.max(F.col("is_word").cast("int")).over(Window.partitionBy("key")) == 1
+    ok = rows.withColumn("_known", known).where(~F.col("is_word") & F.col("_known"))
+    best = ok.groupBy(F.col("orig").alias("word")) \
+        .agg(F.min_by(F.struct(F.col("key").alias("base"), "rule"), F.struct(F.length("key"), "rule")).alias("b"))
     return best.select("word", F.col("b.base").alias("base")).where(F.length("base") < F.length("word"))
 
 
