@@ -48,3 +48,9 @@ def test_post_keywords_shuffles_text_once(spark):
     # aggregate, rank, collect and the join back add no exchange
     assert p.count("Exchange hashpartitioning") == 2
     assert "BroadcastHashJoin" in p and "LeftAnti" in p  # stop words are broadcast
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cross_join(spark, name):
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
