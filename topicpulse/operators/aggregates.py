@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import E4, from_e4
+from ..functions.labels import E4
 from ..functions.wordlists import LABELS5
 
 

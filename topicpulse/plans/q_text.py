@@ -8,8 +8,8 @@ from ..functions import text as T
 from ..functions import wordlists as W
 from ..functions.labels import class_probs_score
 from ..operators import aggregates as A
-from ..operators.keywords import by_post, derive_lemmas, lemma_tokens, post_keywords, post_keywords_lemma, \
-    top_keywords
+from ..operators.keywords import CONTRACTION, NOUN_RULES, by_post, derive_lemmas, lemma_tokens, post_keywords, \
+    post_keywords_lemma, top_keywords
 from ..operators.lexicon import lexicon_scores
 from ..sources import tables as TB
 from ..sources.testdata import comments_from_conversations, html_texts, logits_from_embeddings, \
@@ -163,14 +163,13 @@ def q_top_keywords(spark, base):
 
 
 # -------------------------------------------------------------------------- C11
-LEMMA_RULES_SQL = "(VALUES " + ", ".join(f"({i}, {q(s)}, {q(r)})" for i, (s, r) in enumerate(
-    __import__("topicpulse.operators.keywords", fromlist=["NOUN_RULES"]).NOUN_RULES)) + ") r(rule, suf, rep)"
+LEMMA_RULES_SQL = "(VALUES " + ", ".join(f"({i}, {q(s)}, {q(r)})" for i, (s, r) in enumerate(NOUN_RULES)) + \
+    ") r(rule, suf, rep)"
 LEMMA_TOKENS = f"""
 pre AS (SELECT post_id, {preprocess_sql('full_text')} AS pre_text FROM docs),
 ltoks AS (
   SELECT post_id, list_filter(list_transform(string_split(regexp_replace(lower(pre_text), '[!?.,\\s]+', ' ', 'g'), ' '),
-                                             lambda t: regexp_extract(t, {q(__import__('topicpulse.operators.keywords',
-                                                                                  fromlist=['x']).CONTRACTION)}, 1)),
+                                             lambda t: regexp_extract(t, {q(CONTRACTION)}, 1)),
                               lambda t: length(t) > 0) AS toks
   FROM pre),
 ltok AS (SELECT post_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM ltoks),

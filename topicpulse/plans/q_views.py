@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import scale_0_100
 from ..operators import aggregates as A
 from ..operators import views as G
 from ..sources import bus as B
@@ -323,5 +322,3 @@ def q_encode_results(spark, base):
                     F.get_json_object(v, "$.sentiment_label").alias("sentiment_label"),
                     F.get_json_object(v, "$.sentiment_e4").cast("bigint").alias("sentiment_e4"), "timestamp")
 
-
-_ = scale_0_100  # re-exported for view users
