@@ -16,9 +16,28 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD, keyword_tokens
 
 
+PARTITION_BYTES_CONF = "topicpulse.partitionBytes"
+DEFAULT_PARTITION_BYTES = 256 * 1024 * 1024  # of estimated (file-based) size
+
+
+def partitions_for(df: DataFrame, target_bytes: int | None = None) -> int:
+    """Number of shuffle partitions so each holds about ``target_bytes`` of ``df``, from the
+    optimizer's size estimate (file sizes scaled by the projected columns; no job runs).
+    Never fewer than ``spark.sql.shuffle.partitions``; AQE may still coalesce small ones."""
+    spark = df.sparkSession
+    target = int(target_bytes or spark.conf.get(PARTITION_BYTES_CONF, str(DEFAULT_PARTITION_BYTES)))
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no estimate available: keep the session setting
+        return floor
+    return max(floor, -(-size // target))
+
+
 def by_post(df: DataFrame, key: str = "post_id") -> DataFrame:
-    """Hash-partition by post id (ids are unique, so no key is hot)."""
-    return df.repartition(key)
+    """Hash-partition by post id (ids are unique, so no key is hot), into enough
+    partitions that each holds about ``topicpulse.partitionBytes`` (256 MB of estimated size) of text."""
+    return df.repartition(partitions_for(df), key)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000, keep: bool = False) -> DataFrame:
