@@ -54,6 +54,26 @@ def alert_rules() -> list[tuple[str, Column]]:
     ]
 
 
+def aggregate_rules() -> list[tuple[str, Column]]:
+    return [
+        ("topic_required", required("topic")),
+        ("total_posts_required", required("total_posts")),
+        ("avg_sentiment_range", between("avg_sentiment", -1.0, 1.0)),
+        ("positive_pct_range", between("positive_pct", 0.0, 100.0)),
+        ("negative_pct_range", between("negative_pct", 0.0, 100.0)),
+        ("neutral_pct_range", between("neutral_pct", 0.0, 100.0)),
+    ]
+
+
+def topic_rules() -> list[tuple[str, Column]]:
+    return [
+        ("name_required", non_empty("name")),
+        ("name_normalised", F.col("name") == F.lower(F.trim(F.col("name")))),
+        ("subreddits_required", required("subreddits")),
+        ("active_required", required("active")),
+    ]
+
+
 def validate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """Adds ``reasons`` (names of failed rules, in rule order) and ``valid``.
     A rule whose expression is null counts as failed."""

@@ -274,3 +274,38 @@ def q_windowed_trends(spark, base):
     inert in a batch plan); it must equal the hourly trend view."""
     from ..streaming.stream import windowed_trends
     return windowed_trends(_scored(spark, base))
+
+
+
+# ------------------------------------------------------------- A12 on alerts, aggregates
+@register("validate_alerts", with_(*ALERT_CTES) + """
+SELECT alert_id, array_to_string(list_filter([
+         CASE WHEN topic IS NULL THEN 'topic_required' END,
+         CASE WHEN alert_type IS NULL THEN 'alert_type_required' END,
+         CASE WHEN NOT coalesce(severity IS NULL OR severity IN ('info', 'warning', 'critical'), false)
+              THEN 'severity_known' END,
+         CASE WHEN "timestamp" IS NULL THEN 'timestamp_required' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM all_alerts""")
+def q_validate_alerts(spark, base):
+    from ..operators import validate as V
+    v = V.validate(_all_alerts(spark, base), V.alert_rules())
+    return v.select("alert_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register("validate_aggregates", with_(SCORED, TOPIC_AGG) + """
+SELECT topic, array_to_string(list_filter([
+         CASE WHEN topic IS NULL THEN 'topic_required' END,
+         CASE WHEN total_posts IS NULL THEN 'total_posts_required' END,
+         CASE WHEN NOT coalesce(avg_sentiment IS NULL OR avg_sentiment BETWEEN -1.0 AND 1.0, false)
+              THEN 'avg_sentiment_range' END,
+         CASE WHEN NOT coalesce(positive_pct IS NULL OR positive_pct BETWEEN 0.0 AND 100.0, false)
+              THEN 'positive_pct_range' END,
+         CASE WHEN NOT coalesce(negative_pct IS NULL OR negative_pct BETWEEN 0.0 AND 100.0, false)
+              THEN 'negative_pct_range' END,
+         CASE WHEN NOT coalesce(neutral_pct IS NULL OR neutral_pct BETWEEN 0.0 AND 100.0, false)
+              THEN 'neutral_pct_range' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM topic_aggs""")
+def q_validate_aggregates(spark, base):
+    from ..operators import validate as V
+    v = V.validate(A.topic_aggregates(_scored(spark, base)), V.aggregate_rules())
+    return v.select("topic", F.array_join("reasons", ",").alias("reasons"))

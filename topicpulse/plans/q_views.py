@@ -322,3 +322,26 @@ def q_encode_results(spark, base):
                     F.get_json_object(v, "$.sentiment_label").alias("sentiment_label"),
                     F.get_json_object(v, "$.sentiment_e4").cast("bigint").alias("sentiment_e4"), "timestamp")
 
+
+
+# ------------------------------------------------------------- A12 on alerts, topics
+@register("validate_topics", with_(SCORED, EV_REGISTRY, CHANGES_SQL) + """
+, cand AS (SELECT name, subreddits, active FROM applied WHERE NOT deleted
+           UNION ALL SELECT name, NULL, NULL FROM changes)
+SELECT name, array_to_string(list_filter([
+         CASE WHEN NOT (length(coalesce(name, '')) > 0) THEN 'name_required' END,
+         CASE WHEN NOT coalesce(name = lower(trim(name)), false) THEN 'name_normalised' END,
+         CASE WHEN subreddits IS NULL THEN 'subreddits_required' END,
+         CASE WHEN active IS NULL THEN 'active_required' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM cand""")
+def q_validate_topics(spark, base):
+    """Registry rules over the applied registry plus the raw change records (whose
+    untidy names and missing fields fail)."""
+    from ..operators import validate as V
+    s = _scored(spark, base)
+    reg = topics_from_events(spark, base)
+    ch = derived_changes(s, reg)
+    cand = G.apply_topic_changes(reg, ch).select("name", "subreddits", "active") \
+        .unionByName(ch.select("name", F.lit(None).cast("array<string>").alias("subreddits"),
+                               F.lit(None).cast("boolean").alias("active")))
+    return V.validate(cand, V.topic_rules()).select("name", F.array_join("reasons", ",").alias("reasons"))
