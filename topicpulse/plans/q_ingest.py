@@ -227,9 +227,13 @@ src_topic AS (
 """
 
 
-@register("topic_registry_derived", with_(REGISTRY_SQL) + "SELECT * FROM registry")
+@register("topic_registry_derived", with_(REGISTRY_SQL) + """
+SELECT name, array_to_string(subreddits, ',') AS subreddits, array_to_string(keywords, ',') AS keywords, active,
+       created_at, updated_at FROM registry""")
 def q_topic_registry_derived(spark, base):
-    return topics_from_documents(spark, base)
+    r = topics_from_documents(spark, base)
+    return r.select("name", F.array_join("subreddits", ",").alias("subreddits"),
+                    F.array_join("keywords", ",").alias("keywords"), "active", "created_at", "updated_at")
 
 
 @register("assign_topics", with_(REGISTRY_SQL) + """
