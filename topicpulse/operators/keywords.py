@@ -18,6 +18,7 @@ from ..functions.text import WORD, keyword_tokens
 
 PARTITION_BYTES_CONF = "topicpulse.partitionBytes"
 DEFAULT_PARTITION_BYTES = 256 * 1024 * 1024  # of estimated (file-based) size
+MAX_PARTITIONS = 1_000_000
 
 
 def partitions_for(df: DataFrame, target_bytes: int | None = None) -> int:
@@ -31,7 +32,9 @@ def partitions_for(df: DataFrame, target_bytes: int | None = None) -> int:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no estimate available: keep the session setting
         return floor
-    return max(floor, -(-size // target))
+    if size >= int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1))):
+        return floor  # "unknown" is reported as the default size (Long.MaxValue)
+    return int(min(max(floor, -(-size // target)), MAX_PARTITIONS))
 
 
 def by_post(df: DataFrame, key: str = "post_id") -> DataFrame:
