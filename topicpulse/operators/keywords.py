@@ -56,24 +56,31 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000, keep: bool = Fa
 
 def _top_words(tokens: DataFrame, n: int, key: str) -> DataFrame:
     """(key, pos, word) -> (key, keywords): top ``n`` words by count desc, ties by first
-    occurrence. ``row_number() <= n`` becomes a WindowGroupLimit."""
+    occurrence. ``word`` is null for tokens that do not count; every key keeps at least
+    its null group, so keys without keywords come out with ``[]`` and no join back to
+    the posts is needed. ``row_number() <= n`` becomes a WindowGroupLimit."""
     counts = tokens.groupBy(key, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
-    w = Window.partitionBy(key).orderBy(F.desc("cnt"), F.col("first_pos"))
+    w = Window.partitionBy(key).orderBy(F.col("word").isNull(), F.desc("cnt"), F.col("first_pos"))
     top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return top.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("keywords"))
+    kept = F.filter(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"].isNotNull())
+    return top.groupBy(key).agg(F.transform(kept, lambda s: s["word"]).alias("keywords"))
+
+
+def _counted(tokens: DataFrame, stopwords: DataFrame, min_len: int) -> DataFrame:
+    """Null out tokens shorter than ``min_len`` or in ``stopwords`` (broadcast after a size
+    check); rows are kept so that every post stays present."""
+    stop = broadcast_if_small(stopwords.select("word").distinct()).withColumn("_stop", F.lit(True))
+    t = tokens.join(stop, "word", "left")
+    ok = (F.length("word") >= min_len) & F.col("_stop").isNull()
+    return t.withColumn("word", F.when(ok, F.col("word"))).drop("_stop")
 
 
 def post_keywords(posts: DataFrame, stopwords: DataFrame, n: int = 5, min_len: int = 4,
                   text_col: str = "cleaned_text", key: str = "post_id") -> DataFrame:
     """Per post the ``n`` most frequent lower-cased words longer than ``min_len - 1``
     characters that are not stop words. Posts without such words get ``[]``."""
-    toks = posts.select(key, F.posexplode(keyword_tokens(F.col(text_col))).alias("pos", "word")) \
-        .where(F.length("word") >= min_len) \
-        .join(broadcast_if_small(stopwords.select("word")), "word", "left_anti")
-    kw = _top_words(toks, n, key)
-    return posts.select(key).join(kw, key, "left") \
-        .select(key, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    toks = posts.select(key, F.posexplode_outer(keyword_tokens(F.col(text_col))).alias("pos", "word"))
+    return _top_words(_counted(toks, stopwords, min_len), n, key)
 
 
 # ----------------------------------------------------------------- C11 variant
@@ -129,15 +136,13 @@ def post_keywords_lemma(posts: DataFrame, stopwords: DataFrame, lemmas: DataFram
     before lemmatising); lemmatised through ``lemmas`` (missing -> itself); top ``n`` by
     count, ties by first occurrence. Without a lemma table one is derived from the
     posts' own vocabulary (``derive_lemmas``)."""
-    toks = lemma_tokens(posts, text_col, key).where(F.length("word") >= min_len) \
-        .join(broadcast_if_small(stopwords.select("word")), "word", "left_anti")
+    toks = posts.select(key, F.posexplode_outer(alpha_tokens(F.col(text_col))).alias("pos", "word"))
+    toks = _counted(toks, stopwords, min_len)
     if lemmas is None:
         lemmas = derive_lemmas(lemma_tokens(posts, text_col, key).select("word"))
     lem = broadcast_if_small(lemmas.select("word", "base"), keep=True)
     t = toks.join(lem, "word", "left").select(key, "pos", F.coalesce("base", "word").alias("word"))
-    kw = _top_words(t, n, key)
-    return posts.select(key).join(kw, key, "left") \
-        .select(key, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    return _top_words(t, n, key)
 
 
 # ------------------------------------------------------------------------ D4
