@@ -10,7 +10,7 @@ from conftest import ROOT, SF_SMALL
 
 sys.path.insert(0, os.path.join(ROOT, "scripts"))
 import __spark_entry__ as E  # noqa: E402
-from check_oracle import TABLES, rows_of  # noqa: E402
+from check_oracle import TABLES, rows_of, type_diff  # noqa: E402
 
 NAMES = sorted(E.queries())
 
@@ -34,10 +34,12 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL).toPandas()
+    frame = E.queries()[name](spark, SF_SMALL)
+    sdf = frame.toPandas()
     sql = E.oracle_sql().get(name)
     if sql is None:
         pytest.skip("no SQL oracle; covered by hand fixtures")
+    assert type_diff(frame, con, sql) == {}
     odf = con.execute(sql).df()
     sc, sr = rows_of(sdf)
     oc, orows = rows_of(odf)

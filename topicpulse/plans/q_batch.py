@@ -177,7 +177,7 @@ def q_realtime_snapshot(spark, base):
 
 @register("history_topk", with_(SCORED, MICRO_SQL) + """
 SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY updated_at DESC) AS position FROM micro)
+  SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY updated_at DESC) AS INTEGER) AS position FROM micro)
 WHERE position <= 100""")
 def q_history_topk(spark, base):
     from ..streaming.sinks import history

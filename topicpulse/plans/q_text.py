@@ -85,7 +85,7 @@ def _clean_docs(spark, base):
 
 
 # ------------------------------------------------------------------ C1, C2, C3, B1
-@register("full_text", with_(DOCS) + "SELECT post_id, full_text, length(full_text) AS n FROM docs")
+@register("full_text", with_(DOCS) + "SELECT post_id, full_text, CAST(length(full_text) AS INTEGER) AS n FROM docs")
 def q_full_text(spark, base):
     d = _docs(spark, base).select("post_id", T.full_text("title", "content").alias("full_text"))
     return d.select("post_id", "full_text", F.length("full_text").alias("n"))
@@ -106,7 +106,7 @@ def q_preprocess(spark, base):
 
 @register("normalise_text", f"""
 SELECT CAST(doc_id AS VARCHAR) AS post_id, coalesce(substring({collapse_sql('text')}, 1, 10000), '') AS content,
-       length(coalesce(substring({collapse_sql('text')}, 1, 10000), '')) AS n
+       CAST(length(coalesce(substring({collapse_sql('text')}, 1, 10000), '')) AS INTEGER) AS n
 FROM documents""")
 def q_normalise_text(spark, base):
     d = _docs(spark, base).select("post_id", T.normalise_text("content").alias("content"))
@@ -117,7 +117,8 @@ def q_normalise_text(spark, base):
 SELECT conv_id, turn,
        array_to_string(list_filter(list_transform(string_split(text, ','), lambda s: trim(s)), lambda s: length(s) > 0), '|')
          AS parts,
-       length(list_filter(list_transform(string_split(text, ','), lambda s: trim(s)), lambda s: length(s) > 0)) AS n_parts
+       CAST(length(list_filter(list_transform(string_split(text, ','), lambda s: trim(s)), lambda s: length(s) > 0))
+         AS INTEGER) AS n_parts
 FROM conversations""")
 def q_split_list(spark, base):
     c = TB.read_table(spark, base, "conversations").select("conv_id", "turn", T.split_list("text").alias("p"))
@@ -153,7 +154,7 @@ def q_post_keywords(spark, base):
 @register("top_keywords", with_(DOCS, KW_TOKENS, KEYWORDS) + """
 SELECT * FROM (
   SELECT topic, keyword, count(*) AS "count",
-         row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, keyword) AS rank
+         CAST(row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, keyword) AS INTEGER) AS rank
   FROM (SELECT topic, unnest(keywords) AS keyword FROM post_kw) GROUP BY 1, 2)
 WHERE rank <= 20""")
 def q_top_keywords(spark, base):
@@ -329,7 +330,7 @@ SELECT c.post_id, c.topic, c.is_comment,
        round(CASE WHEN length(c.cleaned) = 0 THEN 0.5 ELSE coalesce(greatest(l.pos, l.neg, l.neu), 0.5) END, 4)
          AS confidence,
        CASE WHEN length(c.cleaned) = 0 THEN '' ELSE array_to_string(k.keywords, ' ') END AS keywords,
-       length(substring(c.cleaned, 1, 500)) AS cleaned_chars
+       CAST(length(substring(c.cleaned, 1, 500)) AS INTEGER) AS cleaned_chars
 FROM clean c LEFT JOIN lex_scores l USING (post_id) LEFT JOIN post_kw k USING (post_id)"""
 
 from .catalog import ORACLE as _ORACLE  # noqa: E402
@@ -357,7 +358,7 @@ def entities_sql(text: str) -> str:
 
 
 _ORACLE["entities"] = (with_(DOCS) + f"""
-SELECT post_id, array_to_string(e, '|') AS entities, len(e) AS n
+SELECT post_id, array_to_string(e, '|') AS entities, CAST(len(e) AS INTEGER) AS n
 FROM (SELECT post_id, {entities_sql('full_text')} AS e FROM docs)""").strip()
 
 

@@ -132,7 +132,8 @@ def q_latest_batch_view(spark, base):
 @register("recent_results", with_(SCORED) + """
 SELECT * FROM (
   SELECT topic, post_id, processed_at, sentiment_score,
-         row_number() OVER (PARTITION BY topic ORDER BY processed_at DESC, post_id) AS position FROM scored)
+         CAST(row_number() OVER (PARTITION BY topic ORDER BY processed_at DESC, post_id) AS INTEGER) AS position
+  FROM scored)
 WHERE position <= 50""")
 def q_recent_results(spark, base):
     return G.recent(_scored(spark, base), 50).select("topic", "post_id", "processed_at", "sentiment_score", "position")
@@ -141,7 +142,7 @@ def q_recent_results(spark, base):
 @register("recent_posts", with_(SCORED) + """
 SELECT * FROM (
   SELECT topic, post_id, processed_at, sentiment_label,
-         row_number() OVER (PARTITION BY topic ORDER BY processed_at DESC, post_id) AS position
+         CAST(row_number() OVER (PARTITION BY topic ORDER BY processed_at DESC, post_id) AS INTEGER) AS position
   FROM scored WHERE sentiment_label = 'negative')
 WHERE position <= 50""")
 def q_recent_posts(spark, base):
@@ -211,7 +212,8 @@ def q_trends_view(spark, base):
 
 
 @register("sources_view", with_(SCORED, RUNS_SQL) + """
-SELECT *, row_number() OVER (PARTITION BY topic ORDER BY batch_time DESC, post_count DESC, subreddit) AS position
+SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY batch_time DESC, post_count DESC, subreddit)
+            AS INTEGER) AS position
 FROM source_rows QUALIFY position <= 50""")
 def q_sources_view(spark, base):
     return G.sources_view(_run_rows(spark, base, A.source_breakdown), 50)
@@ -222,7 +224,8 @@ def q_sources_view(spark, base):
   SELECT topic, 'w' || CAST(score AS VARCHAR) AS keyword, count(*) AS "count", b.batch_time
   FROM scored, (VALUES (TIMESTAMP '2024-01-30 12:00:00'), (TIMESTAMP '2024-01-31 00:00:00')) b(batch_time)
   WHERE processed_at >= b.batch_time - INTERVAL 24 HOUR GROUP BY topic, 2, b.batch_time)
-SELECT *, row_number() OVER (PARTITION BY topic ORDER BY batch_time DESC, "count" DESC, keyword) AS position
+SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY batch_time DESC, "count" DESC, keyword) AS INTEGER)
+         AS position
 FROM kw_rows QUALIFY position <= 20""")
 def q_keywords_view(spark, base):
     def kw(df):
