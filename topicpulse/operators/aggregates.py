@@ -157,18 +157,41 @@ def word_cloud(scored: DataFrame) -> DataFrame:
 def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10) -> DataFrame:
     """H4: D1 plus nested columns: top keywords (array of struct, rank order),
     sentiment distribution (map label -> share) and per-source stats (map source -> struct).
-    Nested values are bounded: k keywords, five labels, the topic's configured sources."""
-    base = topic_aggregates(scored)
+
+    One aggregate per (topic, source) feeds both the per-source map and, rolled up, the
+    per-topic figures (exact: integer sums; the sample variance from sum(x) and sum(x^2)
+    in DECIMAL), so the scored input is read once for them, plus once for keywords.
+    Nested values are bounded: k keywords, five labels, the topic's sources."""
+    e4 = _score_e4(scored)
+    lab = F.col("sentiment_label")
+    big = "decimal(38,0)"
+    per_src = scored.groupBy("topic", "subreddit").agg(
+        F.sum(e4).alias("s1"), F.count(e4).alias("n1"), F.sum(e4.cast(big) * e4.cast(big)).alias("s2"),
+        F.count(F.lit(1)).alias("post_count"),
+        *[F.count_if(lab == name).alias(f"{name}_count") for name in LABELS5])
+    t = per_src.groupBy("topic").agg(
+        F.sum("s1").alias("s1"), F.sum("n1").alias("n1"), F.sum("s2").alias("s2"),
+        F.sum("post_count").alias("total_posts"), *[F.sum(f"{n}_count").alias(f"{n}_count") for n in LABELS5],
+        F.map_from_entries(F.collect_list(F.struct(
+            "subreddit", F.struct(F.try_divide(F.col("s1").cast("double"), F.col("n1").cast("double") * E4)
+                                  .alias("avg_sentiment"), "post_count")))).alias("subreddit_breakdown"))
+    n, s1, s2 = F.col("n1").cast(big), F.col("s1").cast(big), F.col("s2").cast(big)
+    var = F.when(F.col("n1") > 1, ((n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double")))
+    total = F.col("total_posts").cast("double")
+    share = lambda c: F.try_divide(c.cast("double"), total)
+    base = t.select(
+        "topic", F.try_divide(F.col("s1").cast("double"), F.col("n1").cast("double") * E4).alias("avg_sentiment"),
+        F.round(F.sqrt(var) / E4, 8).alias("std_sentiment"), "total_posts",
+        *[f"{n}_count" for n in LABELS5],
+        (share(F.col("very_positive_count") + F.col("positive_count")) * 100).alias("positive_pct"),
+        (share(F.col("very_negative_count") + F.col("negative_count")) * 100).alias("negative_pct"),
+        (share(F.col("neutral_count")) * 100).alias("neutral_pct"),
+        F.create_map(*[x for nm in LABELS5 for x in (F.lit(nm), share(F.col(f"{nm}_count")))])
+        .alias("sentiment_distribution"),
+        "subreddit_breakdown")
     kw = (top_keywords.where(F.col("rank") <= k)
           .groupBy("topic")
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword", "count"))),
                            lambda s: F.struct(s["keyword"].alias("keyword"), s["count"].alias("count")))
                .alias("top_keywords")))
-    src = (source_breakdown(scored).groupBy("topic")
-           .agg(F.map_from_entries(F.collect_list(F.struct(
-               "subreddit", F.struct("avg_sentiment", "post_count")))).alias("subreddit_breakdown")))
-    dist = F.create_map(*[x for n in LABELS5 for x in
-                          (F.lit(n), F.try_divide(F.col(f"{n}_count").cast("double"),
-                                                  F.col("total_posts").cast("double")))])
-    return (base.withColumn("sentiment_distribution", dist)
-            .join(kw, "topic", "left").join(src, "topic", "left"))
+    return base.join(kw, "topic", "left")
