@@ -54,3 +54,15 @@ def test_post_keywords_shuffles_text_once(spark):
 def test_no_cross_join(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_post_repartition_grows_with_input(spark):
+    from topicpulse.operators.keywords import partitions_for
+    from topicpulse.sources.testdata import posts_from_documents
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = posts_from_documents(spark, SF_SMALL).select("post_id", "content")
+    assert partitions_for(d) >= floor
+    assert partitions_for(d, target_bytes=16 * 1024) > partitions_for(d, target_bytes=1024 * 1024)
+    local = spark.createDataFrame([("1", "x")], "post_id string, content string")
+    # an in-memory frame reports an unknown size (Long.MaxValue): the session setting is used
+    assert partitions_for(local, target_bytes=1) == floor
