@@ -136,3 +136,12 @@ def test_latest_batch_view_period_edge(spark):
 def test_label3_null(spark):
     df = spark.createDataFrame([(None,)], "s double")
     assert df.select(label3("s")).first()[0] is None
+
+
+def test_load_lexicon_file(spark, tmpdir_path):
+    from topicpulse.sources.tables import load_lexicon
+    path = f"{tmpdir_path}/lexicon.txt"
+    with open(path, "w") as f:
+        f.write("good\t1.9\t0.9434\t[2, 1, 2]\n:)\t2.0\t1.1\t[2, 2]\n\"quoted\"\t-0.5\t0.5\t[0]\nbroken line\n")
+    lex = {r.word: r.valence for r in load_lexicon(spark, path).collect()}
+    assert lex == {"good": 1.9, ":)": 2.0, '"quoted"': -0.5}
