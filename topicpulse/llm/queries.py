@@ -6,6 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import encode_decode
 from .common import table
 from .token_counts import token_counts
 
@@ -26,3 +27,9 @@ def tokenizer_file(name: str) -> bytes:
 @register
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@register
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"),
+                         public_tokenizers.PATTERN, with_ids=False)
