@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_decode
 from .common import table
+from .quality_rules import SQL as QUALITY_SQL, quality_figures
 from .token_counts import token_counts
 
 QUERIES: dict = {}
@@ -33,3 +34,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"),
                          public_tokenizers.PATTERN, with_ids=False)
+
+
+@register
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_figures(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_quality_rules"] = QUALITY_SQL.strip()
