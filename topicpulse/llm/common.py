@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -61,3 +62,17 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], Iterable[tup
     ddl = ", ".join(f"`{n}` {t}" for n, t in columns)
     schema = T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files below the folder that all executors share (``spark.checkpoint.dir``)."""
+    from topicpulse.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from Parquet files in the shared folder: computed once, and safe if executors are lost."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

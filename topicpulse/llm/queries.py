@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import encode_decode
 from .common import table
 from .quality_rules import SQL as QUALITY_SQL, quality_figures
+from .simhash import simhash_components
 from .token_counts import token_counts
 
 QUERIES: dict = {}
@@ -42,3 +43,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op6_quality_rules"] = QUALITY_SQL.strip()
+
+
+@register
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
