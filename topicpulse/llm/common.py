@@ -64,6 +64,18 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], Iterable[tup
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, text_col: str, start: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows, all columns, whose text the function that ``start()`` returns finds True; no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            yield batch.filter(pa.array(work(batch.column(at).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path for intermediate files below the folder that all executors share (``spark.checkpoint.dir``)."""
     from topicpulse.session import ensure_checkpoint_dir

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_decode
 from .common import table
+from .decontaminate import leaks
 from .quality_rules import SQL as QUALITY_SQL, quality_figures
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -48,3 +49,8 @@ ORACLE["op6_quality_rules"] = QUALITY_SQL.strip()
 @register
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
