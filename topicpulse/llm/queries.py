@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import leaks
 from .quality_rules import SQL as QUALITY_SQL, quality_figures
 from .simhash import simhash_components
+from .span_dedup import remove_repeated
 from .token_counts import token_counts
 
 QUERIES: dict = {}
@@ -54,3 +55,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated(docs)
