@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import encode_decode
 from .common import table
 from .decontaminate import leaks
+from .license_scan import scan
 from .quality_rules import SQL as QUALITY_SQL, quality_figures
 from .simhash import simhash_components
 from .span_dedup import remove_repeated
@@ -61,3 +62,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated(docs)
+
+
+@register
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
