@@ -25,6 +25,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 BLANK = " \t\n\v\f\r"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+LETTERS = UPPER + LOWER + bytes(range(128, 256))
 BULLET = re.compile(r"[\x20\x09-\x0D]*[-*•]")
 ELLIPSIS = re.compile(r"(?:\.\.\.|…)[\x20\x09-\x0D]*\Z")
 
@@ -71,6 +72,19 @@ class Profile:
     def n_lower(self) -> int:
         return len(self.data) - len(self.data.translate(None, LOWER))
 
+    @cached_property
+    def n_letters(self) -> int:
+        """Bytes of letters; all of a character beyond ASCII count."""
+        return len(self.data) - len(self.data.translate(None, LETTERS))
+
+    @cached_property
+    def word_bytes(self) -> int:
+        return sum(map(len, self.words))
+
+    @cached_property
+    def n_distinct(self) -> int:
+        return len(set(self.words))
+
     @cached_property
     def n_repeat_words(self) -> int:
         """Words inside windows of eight that the text has at least twice."""

@@ -10,10 +10,12 @@ from .byte_bpe import encode_decode
 from .common import table
 from .decontaminate import leaks
 from .license_scan import scan
+from .quality_model import quality_scores
 from .quality_rules import SQL as QUALITY_SQL, quality_figures
 from .simhash import simhash_components
 from .span_dedup import remove_repeated
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +69,13 @@ def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
