@@ -19,7 +19,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_and_text, map_texts, utf8
+from .common import filter_rows, id_and_text, map_texts, utf8
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -178,6 +178,19 @@ def cascade(df: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", te
         .withColumnRenamed("doc_id", id_col)
 
 
+def keep_passing(df: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", sample: int = 256) -> DataFrame:
+    """The rows of ``df``, all columns, whose text passes all rules (a null text is an empty one)."""
+    order = ordered(rules, estimate(df, rules, text_col, sample))
+
+    def start():
+        def passes(t):
+            profile = Profile(t)
+            return all(r.passes(profile) for r in order)
+        return lambda texts: [passes(t) for t in texts]
+
+    return filter_rows(df, text_col, start)
+
+
 def quality_figures(df: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text",
                     sample: int = 256) -> DataFrame:
     """The cascade's verdict with the base figures of every document, also of rejected ones.
