@@ -14,6 +14,7 @@ from .quality_model import quality_scores
 from .quality_rules import SQL as QUALITY_SQL, quality_figures
 from .simhash import simhash_components
 from .span_dedup import remove_repeated
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -79,3 +80,8 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
