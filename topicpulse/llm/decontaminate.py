@@ -274,7 +274,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     if out is None:
         return docs.limit(0).select(F.col("doc_id").alias(id_col), F.lit(None).cast(kind).alias("item_id"), *[
             F.lit(0.0).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
-    return out.select(F.col("doc_id").alias(id_col), F.col("x.items").alias("item_id"), F.col("x.score").alias("score"),
+    return out.select(F.col("doc_id").alias(id_col), F.col("x.items").alias("item_id"), F.round("x.score", 6).alias("score"),
                       F.col("x.question").alias("question_overlap"), F.col("x.answer").alias("answer_overlap"))
 
 
