@@ -26,7 +26,7 @@ def test_stream_equals_batch_and_replay(spark, tmpdir_path):
     src, out = f"{tmpdir_path}/bus", f"{tmpdir_path}/out"
     posts = bus_files(spark, src)
     lex, stop = seed_lexicon(spark), keyword_stopwords(spark)
-    q = run_stream(spark, read_bus(spark, path=src), out, lex, stop, checkpoint=f"{tmpdir_path}/ckpt",
+    q = run_stream(spark, read_bus(spark, path=src, max_files_per_trigger=1), out, lex, stop, checkpoint=f"{tmpdir_path}/ckpt",
                    available_now=True)
     q.awaitTermination(300)
     assert q.exception() is None
@@ -54,6 +54,20 @@ def test_stream_equals_batch_and_replay(spark, tmpdir_path):
     assert after.count() == before and after.select("post_id").distinct().count() == before
 
 
+def test_a_post_that_comes_again_alerts_once(spark, tmpdir_path):
+    from topicpulse.sources.bus import decode_posts, encode_posts
+    from topicpulse.streaming.stream import process_batch
+    posts = spark.createDataFrame([("1", "t", "bad bad bad", "awful"), ("2", "t", "fine", "words")],
+                                  "post_id string, topic string, title string, content string")
+    bus = encode_posts(posts).withColumn("timestamp", F.lit(AS_OF).cast("timestamp"))
+    batch = decode_posts(bus).withColumn("processed_at", F.current_timestamp())
+    lex = spark.createDataFrame([("bad", -2.5), ("awful", -2.0)], "word string, valence double")
+    for batch_id in (0, 1):
+        process_batch(batch, batch_id, tmpdir_path, lex, keyword_stopwords(spark))
+    assert [r.post_id for r in spark.read.parquet(f"{tmpdir_path}/alerts").collect()] == ["1"]
+    assert spark.read.parquet(f"{tmpdir_path}/results").count() == 2
+
+
 def test_windowed_trends_equal_batch(spark, tmpdir_path):
     from topicpulse.operators.aggregates import hourly_trends
     from topicpulse.streaming.stream import windowed_trends
@@ -109,6 +123,10 @@ def test_run_batch_end_to_end(spark, tmpdir_path):
     run_batch(spark, [src], f"{tmpdir_path}/views", AS_OF, lookback_hours=72)
     assert spark.read.parquet(f"{tmpdir_path}/views/topic_aggregates").groupBy().sum("total_posts").first()[0] == n
     assert run_batch(spark, [missing], f"{tmpdir_path}/v2", AS_OF) is None
+    # a re-run whose view is empty leaves no rows of the earlier run
+    from topicpulse.streaming.sinks import publish_views, view_path
+    publish_views({"alerts": views["alerts"].drop("batch_time").limit(0)}, f"{tmpdir_path}/views", AS_OF)
+    assert spark.read.parquet(view_path(f"{tmpdir_path}/views", "alerts", AS_OF)).count() == 0
 
 
 def test_parquet_and_console_sinks(spark, tmpdir_path):

@@ -145,3 +145,67 @@ def test_load_lexicon_file(spark, tmpdir_path):
         f.write("good\t1.9\t0.9434\t[2, 1, 2]\n:)\t2.0\t1.1\t[2, 2]\n\"quoted\"\t-0.5\t0.5\t[0]\nbroken line\n")
     lex = {r.word: r.valence for r in load_lexicon(spark, path).collect()}
     assert lex == {"good": 1.9, ":)": 2.0, '"quoted"': -0.5}
+
+
+def test_topic_changes_are_cumulative(spark):
+    old = spark.createDataFrame([("a", ["s"], ["k0"], True, T0, T0), ("b", ["s"], ["k0"], True, T0, T0)],
+                                "name string, subreddits array<string>, keywords array<string>, active boolean, "
+                                "created_at timestamp, updated_at timestamp")
+    t = [T0 + dt.timedelta(hours=h) for h in range(5)]
+    ch = spark.createDataFrame([(" A ", None, ["k1"], None, False, t[1]), ("a", None, None, False, None, t[2]),
+                                ("b", None, None, None, True, t[1]), ("B", ["n"], None, None, False, t[2]),
+                                ("c", ["x"], None, None, False, t[3]), ("c", None, None, None, True, t[3])],
+                               "name string, subreddits array<string>, keywords array<string>, active boolean, "
+                               "deleted boolean, changed_at timestamp")
+    got = {r.name: r for r in G.apply_topic_changes(old, ch).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"].subreddits, got["a"].keywords, got["a"].active) == (["s"], ["k1"], False)
+    assert (got["a"].created_at, got["a"].updated_at) == (T0, t[2])
+    assert (got["b"].subreddits, got["b"].keywords, got["b"].active, got["b"].created_at) == (["n"], [], True, t[2])
+
+
+def test_limits_beyond_the_most_are_errors(spark):
+    from topicpulse.streaming.sinks import history
+    df = scored(spark, [("1", "a", -9000, "negative", 0)])
+    with pytest.raises(ValueError):
+        G.recent(df, 201)
+    with pytest.raises(ValueError):
+        AL.list_alerts(AL.post_alerts(df), limit=501)
+    with pytest.raises(ValueError):
+        history(df, limit=1001)
+
+
+def test_upsert_of_equal_versions_takes_the_incoming(spark):
+    from topicpulse.streaming.sinks import upsert_latest
+    old = spark.createDataFrame([("a", 1, T0), ("b", 1, T0)], "k string, v int, created_at timestamp")
+    new = spark.createDataFrame([("a", 2, T0), ("b", 0, T0 - dt.timedelta(hours=1))], "k string, v int, created_at timestamp")
+    assert sorted(tuple(r) for r in upsert_latest(old, new, ["k"]).select("k", "v").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_a_damaged_store_is_an_error(spark, tmpdir_path):
+    import os
+    from topicpulse.streaming.sinks import read_or_empty
+    assert read_or_empty(spark, f"{tmpdir_path}/none", "a int").count() == 0
+    os.makedirs(f"{tmpdir_path}/bad")
+    with open(f"{tmpdir_path}/bad/part-0.parquet", "wb") as f:
+        f.write(b"no parquet file at all")
+    with pytest.raises(Exception):
+        read_or_empty(spark, f"{tmpdir_path}/bad", "a int").count()
+
+
+def test_rules_of_the_stored_tables(spark):
+    from topicpulse.operators import validate as V
+    df = spark.createDataFrame([("1", "t", T0, 5), (None, "t", None, 5), ("3", None, T0, None)],
+                               "post_id string, topic string, timestamp timestamp, title int")
+    got = [r.reasons for r in V.validate(df, V.table_rules(df, "posts")).collect()]
+    assert got == [["title_type"], ["post_id_required", "timestamp_required", "title_type"], ["topic_required"]]
+    r = spark.createDataFrame([("1", "t")], "post_id string, topic string")
+    assert V.validate(r, V.table_rules(r, "results")).first().reasons == ["sentiment_score_required", "timestamp_required"]
+
+
+def test_nested_aggregates_of_null_sources(spark):
+    from topicpulse.operators.keywords import top_keywords
+    df = scored(spark, [("1", "a", 100, "neutral", 0), ("2", "a", 300, "neutral", 0)]) \
+        .withColumn("subreddit", F.when(F.col("post_id") == "1", "s")).withColumn("keywords", F.array(F.lit("k")))
+    r = A.nested_aggregates(df, top_keywords(df)).first()
+    assert set(r.subreddit_breakdown) == {"s", "unknown"} and r.total_posts == 2

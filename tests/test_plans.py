@@ -10,7 +10,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.LLM_QUERIES)))
 def test_no_python_udf(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "EvalPython" not in p and "PythonUDF" not in p
@@ -35,34 +35,20 @@ def test_post_keywords_shuffles_text_once(spark):
     from topicpulse.operators.keywords import by_post, post_keywords
     from topicpulse.sources.tables import keyword_stopwords
     from topicpulse.sources.testdata import posts_from_documents
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the large-table plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         d = by_post(posts_from_documents(spark, SF_SMALL).select("post_id", "content"))
         df = post_keywords(d.withColumnRenamed("content", "cleaned_text"), keyword_stopwords(spark))
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
         p = plan(df)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     # the text is hash-partitioned by post_id once; the aggregate, rank and collect add
     # no exchange and need no join back to the posts
     assert p.count("Exchange hashpartitioning(post_id") == 1
-    assert "BroadcastHashJoin" in p  # stop words are broadcast
+    assert "BroadcastHashJoin" in p  # the optimizer knows that the stop words are few
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.LLM_QUERIES)))
 def test_no_cross_join(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-
-
-def test_post_repartition_grows_with_input(spark):
-    from topicpulse.operators.keywords import partitions_for
-    from topicpulse.sources.testdata import posts_from_documents
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = posts_from_documents(spark, SF_SMALL).select("post_id", "content")
-    assert partitions_for(d) >= floor
-    assert partitions_for(d, target_bytes=16 * 1024) > partitions_for(d, target_bytes=1024 * 1024)
-    local = spark.createDataFrame([("1", "x")], "post_id string, content string")
-    # an in-memory frame reports an unknown size (Long.MaxValue): the session setting is used
-    assert partitions_for(local, target_bytes=1) == floor

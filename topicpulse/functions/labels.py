@@ -58,7 +58,9 @@ def scale_0_100(score) -> Column:
 
 
 def softmax(logits) -> Column:
-    ex = F.transform(_c(logits), lambda x: F.exp(x))
+    """Softmax of an array; the largest logit is taken off first, so no exponential overflows."""
+    x = _c(logits)
+    ex = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
     total = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
     return F.transform(ex, lambda x: x / total)
 

@@ -18,7 +18,6 @@ WS = f"[{WS_INNER}]"
 NOT_WS = f"[^{WS_INNER}]"
 WORD = r"[\p{L}\p{N}_]"
 URL = rf"http{NOT_WS}+|www{NOT_WS}+"
-MAX_TEXT = 10_000
 DISPLAY_CHARS = 500
 
 
@@ -42,9 +41,10 @@ def collapse_ws(c) -> Column:
     return F.trim(F.regexp_replace(_c(c), WS + "+", " "))
 
 
-def normalise_text(c, max_chars: int = MAX_TEXT) -> Column:
-    """B1: collapse whitespace, trim, cap at ``max_chars``; null -> ''."""
-    return F.coalesce(F.substring(collapse_ws(c), 1, max_chars), F.lit(""))
+def normalise_text(c, max_chars: int | None = None) -> Column:
+    """B1: collapse whitespace, trim; null -> ''. With ``max_chars`` only so many characters are kept."""
+    x = collapse_ws(c)
+    return F.coalesce(x if max_chars is None else F.substring(x, 1, max_chars), F.lit(""))
 
 
 def full_text(title, content) -> Column:
@@ -92,11 +92,10 @@ def split_list(c, drop_blanks: bool = True) -> Column:
 
 
 # --- C12 pattern entities (on the original text) ---------------------------------
-# fixed values: the three patterns, their caps and confidences
+# fixed values: the three patterns and their confidences
 ORG_PATTERN = rf"\b([A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*)\b"
 MONEY_PATTERN = r"(?i)\$[\d,]+(?:\.\d{2})?|\d+(?:,\d{3})*(?:\.\d{2})?" + WS + r"*(?:dollars?|USD)"
 PERCENT_PATTERN = r"\d+(?:\.\d+)?%"
-ORG_CAP, MONEY_CAP, PERCENT_CAP = 5, 3, 3
 ORG_CONF, MONEY_CONF, PERCENT_CONF = 0.7, 0.9, 0.9
 
 
@@ -105,15 +104,17 @@ def _entity(kind: str, conf: float):
                               F.lit(conf).alias("confidence"))
 
 
-def entities(c, stopwords: list[str]) -> Column:
-    """Capitalised runs (first 5, then drop len<=2 and stop words), money (first 3),
-    percentages (first 3), concatenated in that order, as ARRAY<STRUCT<text,entity_type,confidence>>."""
+def entities(c, stopwords: list[str], caps: tuple | None = None) -> Column:
+    """Capitalised runs (len<=2 and stop words dropped), money, percentages, concatenated in
+    that order, as ARRAY<STRUCT<text,entity_type,confidence>>. ``caps`` = (runs, money, percentages)
+    keeps only the first so many matches of each kind (runs are cut before any is dropped)."""
     txt = F.coalesce(_c(c), F.lit(""))
     stop = F.array(*[F.lit(w) for w in stopwords])
-    orgs = F.filter(F.slice(F.regexp_extract_all(txt, F.lit(ORG_PATTERN), 1), 1, ORG_CAP),
+    first = lambda x, k: x if caps is None else F.slice(x, 1, caps[k])
+    orgs = F.filter(first(F.regexp_extract_all(txt, F.lit(ORG_PATTERN), 1), 0),
                     lambda m: (F.length(m) > 2) & ~F.array_contains(stop, F.lower(m)))
-    money = F.slice(F.regexp_extract_all(txt, F.lit(MONEY_PATTERN), 0), 1, MONEY_CAP)
-    pct = F.slice(F.regexp_extract_all(txt, F.lit(PERCENT_PATTERN), 0), 1, PERCENT_CAP)
+    money = first(F.regexp_extract_all(txt, F.lit(MONEY_PATTERN), 0), 1)
+    pct = first(F.regexp_extract_all(txt, F.lit(PERCENT_PATTERN), 0), 2)
     return F.concat(F.transform(orgs, _entity("ORG_OR_PERSON", ORG_CONF)),
                     F.transform(money, _entity("MONEY", MONEY_CONF)),
                     F.transform(pct, _entity("PERCENT", PERCENT_CONF)))

@@ -1,7 +1,7 @@
 """Fixed values that must equal the original system's for the same results.
 
 They are kept here as plain text, in their natural order. Operators take them as
-small dimension tables (see ``dictionaries.py``), so users can pass their own.
+small dimension tables (see ``sources/tables.py``), so users can pass their own.
 """
 
 # --- fixed values: stop words of the per-post top-5 keyword extractor (C10) ---

@@ -156,7 +156,8 @@ def word_cloud(scored: DataFrame) -> DataFrame:
 
 def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10) -> DataFrame:
     """H4: D1 plus nested columns: top keywords (array of struct, rank order),
-    sentiment distribution (map label -> share) and per-source stats (map source -> struct).
+    sentiment distribution (map label -> share) and per-source stats (map source -> struct; a null
+    source is "unknown").
 
     One aggregate per (topic, source) feeds both the per-source map and, rolled up, the
     per-topic figures (exact: integer sums; the sample variance from sum(x) and sum(x^2)
@@ -165,7 +166,8 @@ def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10) -
     e4 = _score_e4(scored)
     lab = F.col("sentiment_label")
     big = "decimal(38,0)"
-    per_src = scored.groupBy("topic", "subreddit").agg(
+    per_src = scored.withColumn("subreddit", F.coalesce("subreddit", F.lit("unknown"))) \
+        .groupBy("topic", "subreddit").agg(
         F.sum(e4).alias("s1"), F.count(e4).alias("n1"), F.sum(e4.cast(big) * e4.cast(big)).alias("s2"),
         F.count(F.lit(1)).alias("post_count"),
         *[F.count_if(lab == name).alias(f"{name}_count") for name in LABELS5])

@@ -3,7 +3,7 @@ batch or a re-run hour yields the same ids and unions stay free of duplicates.""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import ALERT_THRESHOLD, CRITICAL_ZSCORE, ZSCORE_THRESHOLD
@@ -78,13 +78,16 @@ def all_alerts(*parts: DataFrame) -> DataFrame:
 
 def list_alerts(alerts: DataFrame, topic: str | None = None, unacknowledged_only: bool = True,
                 limit: int = 100, max_limit: int = 500) -> DataFrame:
-    """optional topic, unacknowledged by default, newest first, ``limit`` (capped)."""
+    """optional topic, unacknowledged by default, newest first, ``limit`` rows;
+    a limit beyond ``max_limit`` is an error."""
+    if limit > max_limit:
+        raise ValueError(f"limit must be at most {max_limit}")
     df = alerts
     if topic is not None:
         df = df.where(F.col("topic") == topic)
     if unacknowledged_only:
         df = df.where(~F.col("acknowledged"))
-    return df.orderBy(F.desc("timestamp"), "alert_id").limit(min(int(limit), max_limit))
+    return df.orderBy(F.desc("timestamp"), "alert_id").limit(int(limit))
 
 
 def apply_acks(alerts: DataFrame, acks: DataFrame) -> DataFrame:
@@ -94,7 +97,3 @@ def apply_acks(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     return _shape(j.withColumn("acknowledged", F.col("acknowledged") | F.col("_ack_at").isNotNull())
                   .withColumn("acknowledged_at", F.coalesce(F.col("acknowledged_at"), F.col("_ack_at"))))
 
-
-def newest_first(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")

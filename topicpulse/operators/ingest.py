@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
 from ..functions.text import normalise_text
-from .keywords import broadcast_if_small
 
 POST_COLS = ["post_id", "topic", "subreddit", "title", "content", "author", "score", "num_comments",
              "url", "created_utc", "is_comment", "parent_id"]
@@ -91,10 +90,10 @@ def source_topics(registry: DataFrame) -> DataFrame:
         .select("subreddit", F.col("name").alias("topic"))
 
 
-def assign_topics(posts: DataFrame, registry: DataFrame, max_sources: int = 1_000_000) -> DataFrame:
+def assign_topics(posts: DataFrame, registry: DataFrame) -> DataFrame:
     """Topic of each post from its source; posts of unlisted sources are dropped.
-    The source map is broadcast after a size check (it is registry-sized)."""
-    m = broadcast_if_small(source_topics(registry), max_sources)
+    """
+    m = source_topics(registry)
     base = posts.drop("topic") if "topic" in posts.columns else posts
     return base.join(m, "subreddit", "inner")
 

@@ -4,54 +4,22 @@ Per-post jobs work on an exploded token table ``(post_id, pos, word)``. Callers
 hash-partition the narrow ``(post_id, text)`` projection by ``post_id`` first
 (``by_post``); after that the count per (post, word), the per-post rank and the
 collect back into an array need no further shuffle, and the text crosses the
-network once. Dictionaries (stop words, lemmas) are broadcast after a size check.
+network once. Dictionaries (stop words, lemmas) are joined; whether one is broadcast is
+left to the optimizer and AQE, which know its size.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, keyword_tokens
-
-
-PARTITION_BYTES_CONF = "topicpulse.partitionBytes"
-DEFAULT_PARTITION_BYTES = 256 * 1024 * 1024  # of estimated (file-based) size
-MAX_PARTITIONS = 1_000_000
-
-
-def partitions_for(df: DataFrame, target_bytes: int | None = None) -> int:
-    """Number of shuffle partitions so each holds about ``target_bytes`` of ``df``, from the
-    optimizer's size estimate (file sizes scaled by the projected columns; no job runs).
-    Never fewer than ``spark.sql.shuffle.partitions``; AQE may still coalesce small ones."""
-    spark = df.sparkSession
-    target = int(target_bytes or spark.conf.get(PARTITION_BYTES_CONF, str(DEFAULT_PARTITION_BYTES)))
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no estimate available: keep the session setting
-        return floor
-    if size >= int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1))):
-        return floor  # "unknown" is reported as the default size (Long.MaxValue)
-    return int(min(max(floor, -(-size // target)), MAX_PARTITIONS))
+from ..functions.text import keyword_tokens
 
 
 def by_post(df: DataFrame, key: str = "post_id") -> DataFrame:
-    """Hash-partition by post id (ids are unique, so no key is hot), into enough
-    partitions that each holds about ``topicpulse.partitionBytes`` (256 MB of estimated size) of text."""
-    return df.repartition(partitions_for(df), key)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000, keep: bool = False) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows (the check
-    reads at most ``max_rows + 1`` rows); larger tables are joined by shuffle. With
-    ``keep`` the table is persisted first, so the check and the join share one
-    computation (for derived dictionaries that are expensive to build)."""
-    if keep:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Hash-partition by post id (ids are unique, so no key is hot), into ``spark.sql.shuffle.partitions``
+    partitions, which AQE merges by their measured sizes."""
+    return df.repartition(F.col(key))
 
 
 def _top_words(tokens: DataFrame, n: int, key: str) -> DataFrame:
@@ -67,9 +35,9 @@ def _top_words(tokens: DataFrame, n: int, key: str) -> DataFrame:
 
 
 def _counted(tokens: DataFrame, stopwords: DataFrame, min_len: int) -> DataFrame:
-    """Null out tokens shorter than ``min_len`` or in ``stopwords`` (broadcast after a size
-    check); rows are kept so that every post stays present."""
-    stop = broadcast_if_small(stopwords.select("word").distinct()).withColumn("_stop", F.lit(True))
+    """Null out tokens shorter than ``min_len`` or in ``stopwords``; rows are kept so that
+    every post stays present."""
+    stop = stopwords.select("word").dropDuplicates().withColumn("_stop", F.lit(True))
     t = tokens.join(stop, "word", "left")
     ok = (F.length("word") >= min_len) & F.col("_stop").isNull()
     return t.withColumn("word", F.when(ok, F.col("word"))).drop("_stop")
@@ -140,8 +108,7 @@ def post_keywords_lemma(posts: DataFrame, stopwords: DataFrame, lemmas: DataFram
     toks = _counted(toks, stopwords, min_len)
     if lemmas is None:
         lemmas = derive_lemmas(lemma_tokens(posts, text_col, key).select("word"))
-    lem = broadcast_if_small(lemmas.select("word", "base"), keep=True)
-    t = toks.join(lem, "word", "left").select(key, "pos", F.coalesce("base", "word").alias("word"))
+    t = toks.join(lemmas.select("word", "base"), "word", "left").select(key, "pos", F.coalesce("base", "word").alias("word"))
     return _top_words(t, n, key)
 
 
@@ -157,4 +124,4 @@ def top_keywords(scored: DataFrame, n: int = 20) -> DataFrame:
 
 
 __all__ = ["by_post", "post_keywords", "post_keywords_lemma", "derive_lemmas", "top_keywords",
-           "alpha_tokens", "broadcast_if_small", "WORD"]
+           "alpha_tokens"]

@@ -4,7 +4,7 @@ Per post: whitespace tokens (edge punctuation stripped, one-letter tokens droppe
 the modifiers that look at neighbouring tokens (boosters, negators within three
 tokens, capitals, "but") are computed with array index arithmetic on the post's
 token array, so no sort or self-join is needed; the array is then exploded,
-left-joined to the broadcast lexicon, and summed back per post. With the input
+left-joined to the lexicon, and summed back per post. With the input
 partitioned by post id (``keywords.by_post``) the whole job runs without a shuffle
 beyond that one. (Measured at sf0.1, same JVM, alternating runs: computing the neighbours with ``lag``
 windows over (post_id, pos) after the explode was 2-3x slower than the array index
@@ -92,11 +92,10 @@ def token_modifiers(posts: DataFrame, p: Params, text_col: str, key: str) -> Dat
 def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None = None,
                    text_col: str = "cleaned_text", key: str = "post_id") -> DataFrame:
     """Per post: compound score and pos/neg/neu shares. ``lexicon`` is (word, valence), a
-    dictionary broadcast to the token table after a row-count check."""
+    dictionary (broadcast by the optimizer while it is under its threshold)."""
     p = params or Params()
     toks = token_modifiers(posts, p, text_col, key)
-    from .keywords import broadcast_if_small
-    lex = broadcast_if_small(lexicon.select(F.lower("word").alias("lc"), F.col("valence").cast("double")))
+    lex = lexicon.select(F.lower("word").alias("lc"), F.col("valence").cast("double"))
     j = toks.join(lex, "lc", "left")
     v0 = F.col("valence")
     sign = F.signum(v0)

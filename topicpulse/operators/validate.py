@@ -9,12 +9,31 @@ from ..functions.wordlists import LABELS5
 from .ingest import dedupe
 
 
-def required(c: str) -> Column:
-    return F.col(c).isNotNull()
-
-
-def non_empty(c: str) -> Column:
-    return F.length(F.coalesce(F.col(c), F.lit(""))) > 0
+# fixed values: required fields and field types of the five stored tables
+REQUIRED = {
+    "posts": ["post_id", "topic", "timestamp"],
+    "results": ["post_id", "topic", "sentiment_score", "timestamp"],
+    "aggregates": ["topic", "period_start", "period_end"],
+    "alerts": ["topic", "alert_type", "timestamp"],
+    "topics": ["name", "subreddits", "active"],
+}
+TYPES = {
+    "posts": {"post_id": "string", "topic": "string", "subreddit": "string", "title": "string", "content": "string",
+              "author": "string", "score": "int", "num_comments": "int", "created_utc": "double", "timestamp": "date"},
+    "results": {"post_id": "string", "topic": "string", "sentiment_score": "double", "sentiment_label": "string",
+                "confidence": "double", "entities": "array", "keywords": "array", "timestamp": "date",
+                "processed_at": "date"},
+    "aggregates": {"topic": "string", "period_start": "date", "period_end": "date", "avg_sentiment": "double",
+                   "total_posts": "int", "positive_count": "int", "negative_count": "int", "neutral_count": "int",
+                   "top_keywords": "array", "top_entities": "array", "sentiment_distribution": "object"},
+    "alerts": {"topic": "string", "alert_type": "string", "message": "string", "severity": "string",
+               "sentiment_value": "double", "threshold": "double", "timestamp": "date", "acknowledged": "bool"},
+    "topics": {"name": "string", "subreddits": "array", "keywords": "array", "active": "bool", "created_at": "date",
+               "updated_at": "date"},
+}
+SPARK_TYPES = {"string": ("string",), "int": ("tinyint", "smallint", "int", "bigint"), "double": ("float", "double"),
+               "date": ("timestamp", "timestamp_ntz", "date"), "bool": ("boolean",), "array": ("array",),
+               "object": ("map", "struct")}
 
 
 def between(c: str, lo: float, hi: float) -> Column:
@@ -25,53 +44,23 @@ def one_of(c: str, values: list[str]) -> Column:
     return F.col(c).isNull() | F.col(c).isin(values)
 
 
-def post_rules() -> list[tuple[str, Column]]:
-    return [
-        ("post_id_required", required("post_id")),
-        ("topic_required", required("topic")),
-        ("subreddit_required", required("subreddit")),
-        ("content_non_empty", non_empty("content")),
-        ("author_required", required("author")),
-    ]
-
-def result_rules() -> list[tuple[str, Column]]:
-    return [
-        ("post_id_required", required("post_id")),
-        ("topic_required", required("topic")),
-        ("sentiment_score_required", required("sentiment_score")),
-        ("sentiment_score_range", between("sentiment_score", -1.0, 1.0)),
-        ("sentiment_label_known", one_of("sentiment_label", LABELS5)),
-        ("confidence_range", between("confidence", 0.0, 1.0)),
-        ("processed_at_required", required("processed_at")),
-    ]
-
-def alert_rules() -> list[tuple[str, Column]]:
-    return [
-        ("topic_required", required("topic")),
-        ("alert_type_required", required("alert_type")),
-        ("severity_known", one_of("severity", ["info", "warning", "critical"])),
-        ("timestamp_required", required("timestamp")),
-    ]
-
-
-def aggregate_rules() -> list[tuple[str, Column]]:
-    return [
-        ("topic_required", required("topic")),
-        ("total_posts_required", required("total_posts")),
-        ("avg_sentiment_range", between("avg_sentiment", -1.0, 1.0)),
-        ("positive_pct_range", between("positive_pct", 0.0, 100.0)),
-        ("negative_pct_range", between("negative_pct", 0.0, 100.0)),
-        ("neutral_pct_range", between("neutral_pct", 0.0, 100.0)),
-    ]
-
-
-def topic_rules() -> list[tuple[str, Column]]:
-    return [
-        ("name_required", non_empty("name")),
-        ("name_normalised", F.col("name") == F.lower(F.trim(F.col("name")))),
-        ("subreddits_required", required("subreddits")),
-        ("active_required", required("active")),
-    ]
+def table_rules(df: DataFrame, table: str) -> list[tuple[str, Column]]:
+    """The rules of a stored table: required fields first, then field types. A missing column
+    counts as null; a field of another type than the table's fails wherever it has a value."""
+    kinds = {f.name: f.dataType.typeName() if f.dataType.typeName() in ("array", "map", "struct")
+             else f.dataType.simpleString() for f in df.schema.fields}
+    rules = [(f"{c}_required", F.col(c).isNotNull() if c in kinds else F.lit(False)) for c in REQUIRED[table]]
+    return rules + [(f"{c}_type", F.lit(True) if kinds[c] in SPARK_TYPES[t] else F.col(c).isNull())
+                    for c, t in TYPES[table].items() if c in kinds]
+
+
+def range_rules(df: DataFrame) -> list[tuple[str, Column]]:
+    """Rules beyond those of the tables, for callers who want them: scores, shares and labels in range."""
+    known = {"sentiment_score": between("sentiment_score", -1.0, 1.0), "confidence": between("confidence", 0.0, 1.0),
+             "avg_sentiment": between("avg_sentiment", -1.0, 1.0), "positive_pct": between("positive_pct", 0.0, 100.0),
+             "negative_pct": between("negative_pct", 0.0, 100.0), "neutral_pct": between("neutral_pct", 0.0, 100.0),
+             "sentiment_label": one_of("sentiment_label", LABELS5)}
+    return [(f"{c}_range", cond) for c, cond in known.items() if c in df.columns]
 
 
 def validate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -82,11 +71,6 @@ def validate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("reasons", failed).withColumn("valid", F.size("reasons") == 0)
 
 
-def split_valid(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    v = validate(df, rules)
-    return v.where(F.col("valid")).drop("reasons", "valid"), v.where(~F.col("valid"))
-
-
 def enforce_unique(df: DataFrame, key: str, order: list) -> DataFrame:
     """One row per ``key``, the first by ``order`` (ties by key: deterministic)."""
     return dedupe(df, key, order)

@@ -20,6 +20,11 @@ def _topk(df: DataFrame, by: list[str], order: list[Column], k: int, rank_col: s
     return out.withColumnRenamed("_rn", rank_col) if rank_col else out.drop("_rn")
 
 
+def _check_limit(k: int, most: int) -> None:
+    if not 1 <= int(k) <= most:
+        raise ValueError(f"limit must be in 1..{most}")
+
+
 def latest_batch_view(views: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """Newest topic aggregate whose period ends within ``hours`` of ``as_of``
     (filter on ``period_end``, decision D-4). One row per topic via ``max_by``."""
@@ -34,10 +39,12 @@ def latest_batch_view(views: DataFrame, as_of, hours: int = 24) -> DataFrame:
 
 def recent(df: DataFrame, k: int = 50, label: str | None = None, ts_col: str = "processed_at",
            max_k: int = 200) -> DataFrame:
-    """Newest ``k`` posts per topic (optionally of one label), ties by post id."""
+    """Newest ``k`` posts per topic (optionally of one label), ties by post id;
+    more than ``max_k`` is an error."""
+    _check_limit(k, max_k)
     if label is not None:
         df = df.where(F.col("sentiment_label") == label)
-    return _topk(df, ["topic"], [F.desc(ts_col), F.col("post_id")], min(int(k), max_k), "position")
+    return _topk(df, ["topic"], [F.desc(ts_col), F.col("post_id")], int(k), "position")
 
 
 def trends_view(trend_rows: DataFrame, as_of, hours: int = 24) -> DataFrame:
@@ -52,9 +59,11 @@ def trends_view(trend_rows: DataFrame, as_of, hours: int = 24) -> DataFrame:
 
 
 def keywords_view(kw_rows: DataFrame, k: int = 20, max_k: int = 100) -> DataFrame:
-    """Per topic, by batch_time desc, count desc (ties by keyword), first ``k``."""
+    """Per topic, by batch_time desc, count desc (ties by keyword), first ``k``;
+    more than ``max_k`` is an error."""
+    _check_limit(k, max_k)
     return _topk(kw_rows, ["topic"], [F.desc("batch_time"), F.desc("count"), F.col("keyword")],
-                 min(int(k), max_k), "position")
+                 int(k), "position")
 
 
 def sources_view(src_rows: DataFrame, k: int = 50) -> DataFrame:
@@ -97,11 +106,17 @@ def combined_view(registry: DataFrame, snapshot: DataFrame, batch_view: DataFram
 
 
 def compare_topics(combined: DataFrame, topics: list[str]) -> DataFrame:
-    """The combined view of each listed topic, in list order (``position``).
-    Listed names that are not registered are left out (no view exists for them)."""
+    """The combined view of each listed topic, in list order (``position``). A listed name
+    that isn't registered has a view, too: average 0, count 0, nothing recent."""
     spark = combined.sparkSession
     wanted = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in topics])).alias("position", "topic"))
-    return wanted.join(combined, "topic", "inner").orderBy("position")
+    zero = {"average_score": 0.0, "post_count": 0, "score_0_100": 50.0}
+    j = wanted.join(combined, "topic", "left")
+    kind = dict(combined.dtypes)
+    cols = [F.coalesce(c, F.lit(zero[c]).cast(kind[c])).alias(c) if c in zero
+            else F.coalesce(c, F.array().cast(kind[c])).alias(c) if c == "recent_posts" else F.col(c)
+            for c in combined.columns if c != "topic"]
+    return j.select("position", "topic", *cols).orderBy("position")
 
 
 def topic_comparison(scored: DataFrame, topics: list[str], start, end) -> DataFrame:
@@ -124,28 +139,32 @@ def normalise_topic_name(c: Column) -> Column:
 
 
 def apply_topic_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply a change table (name, subreddits, keywords, active, deleted, changed_at)
-    to the registry: names trimmed and lower-cased; the newest change per name wins;
-    null fields keep the old value; ``deleted`` drops the topic; new names are created."""
-    ch = changes.withColumn("name", normalise_topic_name(F.col("name")))
-    w = Window.partitionBy("name").orderBy(F.desc("changed_at"))
-    last = ch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    o = registry.alias("o")
-    n = last.alias("n")
-    j = o.join(n, F.col("o.name") == F.col("n.name"), "full_outer")
-    out = j.select(
-        F.coalesce(F.col("n.name"), F.col("o.name")).alias("name"),
-        F.coalesce(F.col("n.subreddits"), F.col("o.subreddits"), F.array().cast("array<string>")).alias("subreddits"),
-        F.coalesce(F.col("n.keywords"), F.col("o.keywords"), F.array().cast("array<string>")).alias("keywords"),
-        F.coalesce(F.col("n.active"), F.col("o.active"), F.lit(True)).alias("active"),
-        F.coalesce(F.col("o.created_at"), F.col("n.changed_at")).alias("created_at"),
-        F.coalesce(F.col("n.changed_at"), F.col("o.updated_at")).alias("updated_at"),
-        F.coalesce(F.col("n.deleted"), F.lit(False)).alias("_deleted"))
-    return out.where(~F.col("_deleted")).drop("_deleted")
-
-
-def list_topics(registry: DataFrame, active_only: bool = True) -> DataFrame:
-    return registry.where(F.col("active")) if active_only else registry
+    """Apply a change table (name, subreddits, keywords, active, deleted, changed_at) to the
+    registry. Names are trimmed and lower-cased. Changes are cumulative: each field takes its
+    last non-null value by ``changed_at`` (of equal times the larger value), else keeps the
+    old one. A deletion drops the topic and all that was set up to then (also at the same
+    time); changes after it create the topic anew. Unknown names are created."""
+    ch = changes.withColumn("name", normalise_topic_name(F.col("name"))) \
+        .withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    gone = ch.where("deleted").groupBy("name").agg(F.max("changed_at").alias("_gone"))
+    since = ch.where("NOT deleted").join(gone, "name", "left") \
+        .where(F.col("_gone").isNull() | (F.col("changed_at") > F.col("_gone")))
+
+    def last(c):
+        value = F.max_by(F.struct(c), F.when(F.col(c).isNotNull(), F.struct("changed_at", c)))
+        return value[c].alias(c)
+
+    n = since.groupBy("name").agg(last("subreddits"), last("keywords"), last("active"),
+                                  F.min("changed_at").alias("first_at"), F.max("changed_at").alias("last_at")).alias("n")
+    o = registry.join(gone, "name", "left_anti").alias("o")
+    empty = F.array().cast("array<string>")
+    return o.join(n, F.col("o.name") == F.col("n.name"), "full_outer").select(
+        F.coalesce("n.name", "o.name").alias("name"),
+        F.coalesce("n.subreddits", "o.subreddits", empty).alias("subreddits"),
+        F.coalesce("n.keywords", "o.keywords", empty).alias("keywords"),
+        F.coalesce("n.active", "o.active", F.lit(True)).alias("active"),
+        F.coalesce("o.created_at", "n.first_at").alias("created_at"),
+        F.coalesce("n.last_at", "o.updated_at").alias("updated_at"))
 
 
 def trend_pivot(trends: DataFrame, topics: list[str]) -> DataFrame:

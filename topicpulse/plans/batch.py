@@ -8,8 +8,6 @@ feeds five views; every view is written once (no double computation).
 
 from __future__ import annotations
 
-import os
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,27 +17,23 @@ from ..operators.alerts import all_alerts, anomaly_alerts, topic_alerts
 from ..operators.anomaly import rolling_zscore
 from ..operators.keywords import top_keywords
 from ..sources.tables import first_nonempty, scan_lookback
-from ..streaming.sinks import publish_views
+from ..session import ensure_checkpoint_dir
+from ..streaming.sinks import publish_views, view_path
 
 
 def compute_views(df: DataFrame, as_of, lookback_hours: int = 24, top_n: int = 20) -> dict[str, DataFrame]:
+    """The views of the posts; alerts are computed from published views (``compute_alerts``)."""
     ts = F.lit(as_of).cast("timestamp")
     aggs = topic_aggregates(df).withColumn("period_start", ts - F.expr(f"INTERVAL {int(lookback_hours)} HOURS")) \
         .withColumn("period_end", ts).withColumn("created_at", ts)
-    trends = hourly_trends(df)
-    views = {"topic_aggregates": aggs, "hourly_trends": trends, "source_stats": source_breakdown(df)}
+    views = {"topic_aggregates": aggs, "hourly_trends": hourly_trends(df), "source_stats": source_breakdown(df)}
     if "keywords" in df.columns:
         views["batch_keywords"] = top_keywords(df, top_n)
-    views["alerts"] = all_alerts(anomaly_alerts(rolling_zscore(trends)), topic_alerts(aggs, as_of))
     return views
 
 
-def _read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The published table; an empty view writes no data files, so it reads as empty."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # no data files: nothing was published for this view
-        return spark.createDataFrame([], like.schema)
+def compute_alerts(trends: DataFrame, aggs: DataFrame, as_of) -> DataFrame:
+    return all_alerts(anomaly_alerts(rolling_zscore(trends)), topic_alerts(aggs, as_of))
 
 
 def run_batch(spark: SparkSession, sources: list[str], out: str, as_of, lookback_hours: int = 24) -> dict | None:
@@ -49,10 +43,14 @@ def run_batch(spark: SparkSession, sources: list[str], out: str, as_of, lookback
     df = first_nonempty(cands)
     if df is None:
         return None
+    ensure_checkpoint_dir(spark)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         views = compute_views(df, as_of, lookback_hours)
         publish_views(views, out, as_of)
-        return {k: _read_back(spark, os.path.join(out, k), v) for k, v in views.items()}
+        done = {k: spark.read.parquet(view_path(out, k, as_of)) for k in views}
+        # from the views just written, so that nothing is aggregated twice
+        publish_views({"alerts": compute_alerts(done["hourly_trends"], done["topic_aggregates"], as_of)}, out, as_of)
+        return done | {"alerts": spark.read.parquet(view_path(out, "alerts", as_of))}
     finally:
         df.unpersist()

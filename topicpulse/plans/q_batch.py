@@ -104,9 +104,10 @@ def q_anomaly_alerts(spark, base):
     return AL.anomaly_alerts(rolling_zscore(A.hourly_trends(_scored(spark, base))))
 
 
-@register("topic_alerts", with_(SCORED, TOPIC_AGG, TOPIC_ALERTS_SQL) + "SELECT * FROM topic_alerts")
+@register("topic_alerts", with_(SCORED, TOPIC_AGG, TOPIC_ALERTS_SQL.replace("-0.5", "0.5")) + "SELECT * FROM topic_alerts")
 def q_topic_alerts(spark, base):
-    return AL.topic_alerts(A.topic_aggregates(_scored(spark, base)), AS_OF, threshold=-0.5)
+    """With a threshold above the usual one, so that topics do fall below it."""
+    return AL.topic_alerts(A.topic_aggregates(_scored(spark, base)), AS_OF, threshold=0.5)
 
 
 @register("all_alerts", with_(*ALERT_CTES) + "SELECT * FROM all_alerts")
@@ -279,33 +280,30 @@ def q_windowed_trends(spark, base):
 
 # ------------------------------------------------------------- A12 on alerts, aggregates
 @register("validate_alerts", with_(*ALERT_CTES) + """
-SELECT alert_id, array_to_string(list_filter([
-         CASE WHEN topic IS NULL THEN 'topic_required' END,
-         CASE WHEN alert_type IS NULL THEN 'alert_type_required' END,
-         CASE WHEN NOT coalesce(severity IS NULL OR severity IN ('info', 'warning', 'critical'), false)
-              THEN 'severity_known' END,
-         CASE WHEN "timestamp" IS NULL THEN 'timestamp_required' END], lambda x: x IS NOT NULL), ',') AS reasons
-FROM all_alerts""")
+SELECT alert_id, array_to_string(list_filter([CASE WHEN topic IS NULL THEN 'topic_required' END, CASE WHEN alert_type IS NULL THEN 'alert_type_required' END, CASE WHEN "timestamp" IS NULL THEN 'timestamp_required' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM (SELECT alert_id, topic, alert_type, "timestamp" FROM all_alerts
+      UNION ALL SELECT alert_id, NULL, NULL, "timestamp" FROM all_alerts)""")
 def q_validate_alerts(spark, base):
+    """Alert rules over the alerts and over bare records of them (an id and a time only)."""
     from ..operators import validate as V
-    v = V.validate(_all_alerts(spark, base), V.alert_rules())
-    return v.select("alert_id", F.array_join("reasons", ",").alias("reasons"))
-
-
-@register("validate_aggregates", with_(SCORED, TOPIC_AGG) + """
-SELECT topic, array_to_string(list_filter([
-         CASE WHEN topic IS NULL THEN 'topic_required' END,
-         CASE WHEN total_posts IS NULL THEN 'total_posts_required' END,
-         CASE WHEN NOT coalesce(avg_sentiment IS NULL OR avg_sentiment BETWEEN -1.0 AND 1.0, false)
-              THEN 'avg_sentiment_range' END,
-         CASE WHEN NOT coalesce(positive_pct IS NULL OR positive_pct BETWEEN 0.0 AND 100.0, false)
-              THEN 'positive_pct_range' END,
-         CASE WHEN NOT coalesce(negative_pct IS NULL OR negative_pct BETWEEN 0.0 AND 100.0, false)
-              THEN 'negative_pct_range' END,
-         CASE WHEN NOT coalesce(neutral_pct IS NULL OR neutral_pct BETWEEN 0.0 AND 100.0, false)
-              THEN 'neutral_pct_range' END], lambda x: x IS NOT NULL), ',') AS reasons
-FROM topic_aggs""")
+    a = _all_alerts(spark, base)
+    bare = a.withColumn("topic", F.lit(None).cast("string")).withColumn("alert_type", F.lit(None).cast("string"))
+    both = a.unionByName(bare)
+    return V.validate(both, V.table_rules(both, "alerts")).select("alert_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register("validate_aggregates", with_(SCORED) + """
+SELECT topic, period_start, array_to_string(list_filter([CASE WHEN topic IS NULL THEN 'topic_required' END, CASE WHEN period_start IS NULL THEN 'period_start_required' END, CASE WHEN period_end IS NULL THEN 'period_end_required' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM (SELECT topic, date_trunc('day', processed_at) AS period_start,
+             date_trunc('day', processed_at) + INTERVAL 1 DAY AS period_end FROM scored GROUP BY ALL
+      UNION ALL SELECT topic, NULL, NULL FROM scored GROUP BY topic)""")
 def q_validate_aggregates(spark, base):
+    """Aggregate rules over daily aggregates and over aggregates of all time, which have no period."""
     from ..operators import validate as V
-    v = V.validate(A.topic_aggregates(_scored(spark, base)), V.aggregate_rules())
-    return v.select("topic", F.array_join("reasons", ",").alias("reasons"))
+    s = _scored(spark, base)
+    day = F.date_trunc("day", "processed_at")
+    daily = A.topic_aggregates(s.withColumn("period_start", day), by=["topic", "period_start"]) \
+        .withColumn("period_end", F.col("period_start") + F.expr("INTERVAL 1 DAY"))
+    both = daily.unionByName(A.topic_aggregates(s), allowMissingColumns=True)
+    v = V.validate(both, V.table_rules(both, "aggregates"))
+    return v.select("topic", "period_start", F.array_join("reasons", ",").alias("reasons"))

@@ -11,6 +11,7 @@ from ..sources import bus as B
 from ..sources.tables import AS_OF, scan_lookback
 from ..sources.testdata import comments_from_conversations, posts_from_documents, scored_from_events, \
     topics_from_documents
+from ..functions.wordlists import DEFAULT_TOPICS
 from ..streaming.sinks import insert_new_only, upsert_latest
 from .catalog import register
 from .sql import AVG_E4, SCORED, with_
@@ -163,37 +164,54 @@ def q_unify(spark, base):
     return _unified(spark, base)
 
 
-@register("validate_results", with_(DOC_POSTS) + """
-SELECT post_id, array_to_string(reasons, ',') AS reasons, length(reasons) = 0 AS valid FROM (
-  SELECT post_id, list_filter([
-      CASE WHEN post_id IS NULL THEN 'post_id_required' END,
-      CASE WHEN topic IS NULL THEN 'topic_required' END,
-      CASE WHEN subreddit IS NULL THEN 'subreddit_required' END,
-      CASE WHEN NOT (length(coalesce(content, '')) > 0) THEN 'content_non_empty' END,
-      CASE WHEN author IS NULL THEN 'author_required' END], lambda x: x IS NOT NULL) AS reasons
-  FROM uni)""")
+@register("validate_posts", with_(SCORED, BUS_SQL) + """
+SELECT kafka_key, array_to_string(list_filter([CASE WHEN post_id IS NULL THEN 'post_id_required' END, CASE WHEN topic IS NULL THEN 'topic_required' END, CASE WHEN "timestamp" IS NULL THEN 'timestamp_required' END], lambda x: x IS NOT NULL), ',') AS reasons, post_id IS NOT NULL AND topic IS NOT NULL AS valid
+FROM (SELECT *, kafka_timestamp AS "timestamp" FROM bus)""")
+def q_validate_posts(spark, base):
+    """Post rules over decoded bus records; the malformed ones have no id and no topic."""
+    posts = B.decode_posts(bus_records(spark, base)).drop("valid").withColumn("timestamp", F.col("kafka_timestamp"))
+    v = V.validate(posts, V.table_rules(posts, "posts"))
+    return v.select("kafka_key", F.array_join("reasons", ",").alias("reasons"), "valid")
+
+
+@register("validate_results", with_(SCORED) + """
+SELECT post_id, array_to_string(list_filter([CASE WHEN post_id IS NULL THEN 'post_id_required' END, CASE WHEN topic IS NULL THEN 'topic_required' END, CASE WHEN sentiment_score IS NULL THEN 'sentiment_score_required' END, CASE WHEN "timestamp" IS NULL THEN 'timestamp_required' END], lambda x: x IS NOT NULL), ',') AS reasons,
+       sentiment_score IS NOT NULL AND topic IS NOT NULL AS valid
+FROM (SELECT post_id, topic, CASE WHEN topic <> 'error' THEN sentiment_score END AS sentiment_score,
+             processed_at AS "timestamp" FROM scored)""")
 def q_validate_results(spark, base):
-    v = V.validate(_unified(spark, base), V.post_rules())
+    """Result rules over scored posts, of which those of type 'error' come without a score."""
+    r = scored_from_events(spark, base).withColumn("timestamp", F.col("processed_at")).withColumn(
+        "sentiment_score", F.when(F.col("topic") != "error", F.col("sentiment_score")))
+    v = V.validate(r, V.table_rules(r, "results"))
     return v.select("post_id", F.array_join("reasons", ",").alias("reasons"), "valid")
 
 
-@register("enforce_unique", with_(SCORED) + """
-SELECT author, post_id, processed_at FROM scored
-QUALIFY row_number() OVER (PARTITION BY author ORDER BY processed_at DESC, post_id DESC, author) = 1""")
+@register("enforce_unique", with_(SCORED) + f"""
+SELECT post_id, topic, batch FROM (
+  SELECT post_id, topic, 0 AS batch FROM scored WHERE processed_at < {SPLIT}
+  UNION ALL SELECT post_id, topic, 1 FROM scored WHERE processed_at >= {OVERLAP})
+QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY batch DESC) = 1""")
 def q_enforce_unique(spark, base):
-    s = scored_from_events(spark, base)
-    u = V.enforce_unique(s, "author", [F.desc("processed_at"), F.desc("post_id")])
-    return u.select("author", "post_id", "processed_at")
+    """Unique post ids over two crawls that overlap; the later crawl's row stays."""
+    b0, b1 = _batches(spark, base)
+    both = b0.withColumn("batch", F.lit(0)).unionByName(b1.withColumn("batch", F.lit(1)))
+    return V.enforce_unique(both, "post_id", [F.desc("batch")]).select("post_id", "topic", "batch")
 
 
 # ------------------------------------------------------------------------- B4, B6, B7, B9
 @register("cap_comments", """
-SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS comment_id, CAST(conv_id AS VARCHAR) AS post_id,
-       CAST(turn AS INTEGER) AS position, role AS author, text AS content
-FROM conversations
-QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10 AND length(coalesce(text, '')) > 0""")
+SELECT * FROM (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS comment_id, CAST(conv_id AS VARCHAR) AS post_id,
+         CAST(turn AS INTEGER) AS position, role AS author,
+         CASE WHEN length(text) % 5 = 0 THEN '' ELSE text END AS content
+  FROM conversations)
+QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY position) <= 3 AND length(coalesce(content, '')) > 0""")
 def q_cap_comments(spark, base):
-    return I.cap_per_parent(comments_from_conversations(spark, base), 10)
+    """First three comments of each post, of which every fifth length stands for a removed body."""
+    c = comments_from_conversations(spark, base)
+    c = c.withColumn("content", F.when(F.length("content") % 5 == 0, "").otherwise(F.col("content")))
+    return I.cap_per_parent(c, 3)
 
 
 @register("dedupe_posts", with_(SCORED) + f"""
@@ -211,7 +229,7 @@ def q_dedupe_posts(spark, base):
 REGISTRY_SQL = """
 cnts AS (SELECT lang AS name, source, count(*) AS n FROM documents GROUP BY 1, 2),
 rtop AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, source) AS rn FROM cnts),
-reg0 AS (SELECT name, list(source ORDER BY rn) AS subreddits, sum(n) AS docs FROM rtop WHERE rn <= 8 GROUP BY name),
+reg0 AS (SELECT name, list(source ORDER BY rn) AS subreddits, sum(n) AS docs FROM rtop GROUP BY name),
 registry AS (
   SELECT name, subreddits, CAST([] AS VARCHAR[]) AS keywords,
          row_number() OVER (ORDER BY docs, name DESC) > 1 AS active,
@@ -251,3 +269,28 @@ SELECT subreddit, post_id, score, rank FROM (
 def q_cap_per_source(spark, base):
     s = scored_from_events(spark, base)
     return I.cap_per_source(s, 25).select("subreddit", "post_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("first_nonempty", with_(SCORED) + """
+SELECT post_id, topic, sentiment_e4, processed_at FROM scored
+WHERE processed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR""")
+def q_first_nonempty(spark, base):
+    """A5: a folder that isn't there, a window without rows, then the posts of the last day."""
+    from ..sources.tables import first_nonempty
+    s = scored_from_events(spark, base).select("post_id", "topic", "sentiment_e4", "processed_at")
+    return first_nonempty([lambda: scan_lookback(f"{base}/no-such-table.parquet", spark, as_of=AS_OF),
+                           lambda: scan_lookback(s, as_of="2034-01-31 00:00:00"),
+                           lambda: scan_lookback(s, as_of=AS_OF)])
+
+
+@register("active_topics", with_(REGISTRY_SQL) + """
+SELECT 'registry' AS source, name, array_to_string(subreddits, ',') AS subreddits FROM registry WHERE active
+UNION ALL SELECT 'defaults', name, subs FROM (VALUES """ + ", ".join(
+    f"('{n}', '{','.join(subs)}')" for n, subs in DEFAULT_TOPICS) + """) d(name, subs)""")
+def q_active_topics(spark, base):
+    """Active topics of the registry, and those of the registry with all topics switched off."""
+    reg = topics_from_documents(spark, base)
+    off = reg.withColumn("active", F.col("active") & F.lit(False))
+    parts = [I.active_topics(r).select(F.lit(n).alias("source"), "name", F.array_join("subreddits", ",").alias("subreddits"))
+             for n, r in (("registry", reg), ("defaults", off))]
+    return parts[0].unionByName(parts[1])

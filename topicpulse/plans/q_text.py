@@ -105,8 +105,8 @@ def q_preprocess(spark, base):
 
 
 @register("normalise_text", f"""
-SELECT CAST(doc_id AS VARCHAR) AS post_id, coalesce(substring({collapse_sql('text')}, 1, 10000), '') AS content,
-       CAST(length(coalesce(substring({collapse_sql('text')}, 1, 10000), '')) AS INTEGER) AS n
+SELECT CAST(doc_id AS VARCHAR) AS post_id, coalesce({collapse_sql('text')}, '') AS content,
+       CAST(length(coalesce({collapse_sql('text')}, '')) AS INTEGER) AS n
 FROM documents""")
 def q_normalise_text(spark, base):
     d = _docs(spark, base).select("post_id", T.normalise_text("content").alias("content"))
@@ -127,8 +127,10 @@ def q_split_list(spark, base):
 
 # ------------------------------------------------------------------------- C9
 @register("class_probs_score", """
-WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings),
-ex AS (SELECT vec_id, list_transform(logits, lambda x: exp(x)) AS ex FROM e),
+WITH e AS (SELECT vec_id, list_transform([0, 1, 2, 3, 4], lambda c: list_reduce(list_prepend(0.0::DOUBLE,
+             list_transform(list_filter(embedding, lambda x, i: (i - 1) % 5 = c), lambda x: CAST(x AS DOUBLE))),
+             lambda a, b: a + b)) AS logits FROM embeddings),
+ex AS (SELECT vec_id, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM e),
 pr AS (SELECT vec_id, list_transform(ex, lambda x: x / list_reduce(ex, lambda a, b: a + b)) AS probs FROM ex),
 sc AS (SELECT vec_id, probs,
               list_reduce(list_transform(probs, lambda p, i: p * [-1.0, -0.5, 0.0, 0.5, 1.0][i]), lambda a, b: a + b) AS s,
@@ -234,7 +236,8 @@ def _scored_docs(spark, base):
 def q_scored_posts(spark, base):
     s = _scored_docs(spark, base)
     return s.select("post_id", "topic", "is_comment", "sentiment_score", "sentiment_label", "confidence",
-                    F.array_join("keywords", " ").alias("keywords"), F.length("cleaned_text").alias("cleaned_chars"))
+                    F.array_join("keywords", " ").alias("keywords"), F.length("cleaned_text").alias("cleaned_chars"),
+                    F.length("display_text").alias("display_chars"))
 
 
 # ---------------------------------------------------------- C4 oracle (SQL form)
@@ -330,7 +333,8 @@ SELECT c.post_id, c.topic, c.is_comment,
        round(CASE WHEN length(c.cleaned) = 0 THEN 0.5 ELSE coalesce(greatest(l.pos, l.neg, l.neu), 0.5) END, 4)
          AS confidence,
        CASE WHEN length(c.cleaned) = 0 THEN '' ELSE array_to_string(k.keywords, ' ') END AS keywords,
-       CAST(length(substring(c.cleaned, 1, 500)) AS INTEGER) AS cleaned_chars
+       CAST(length(c.cleaned) AS INTEGER) AS cleaned_chars,
+       CAST(length(substring(c.cleaned, 1, 500)) AS INTEGER) AS display_chars
 FROM clean c LEFT JOIN lex_scores l USING (post_id) LEFT JOIN post_kw k USING (post_id)"""
 
 from .catalog import ORACLE as _ORACLE  # noqa: E402
@@ -348,11 +352,11 @@ def entities_sql(text: str) -> str:
     doubled = f"regexp_replace(coalesce({text}, ''), {q('(' + nw + ')')}, '\\1\\1', 'g')"
     org = rf"(?:^|{nw})([A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*)(?:$|{nw})"
     halve = q(f"({WS}){WS}")
-    orgs = (f"list_transform(regexp_extract_all({doubled}, {q(org)}, 1)[1:{T.ORG_CAP}], "
+    orgs = (f"list_transform(regexp_extract_all({doubled}, {q(org)}, 1), "
             f"lambda m: regexp_replace(m, {halve}, '\\1', 'g'))")
     orgs = f"list_filter({orgs}, lambda m: length(m) > 2 AND NOT list_contains({EN_STOP}, lower(m)))"
-    money = f"regexp_extract_all(coalesce({text}, ''), {q(T.MONEY_PATTERN)}, 0)[1:{T.MONEY_CAP}]"
-    pct = f"regexp_extract_all(coalesce({text}, ''), {q(T.PERCENT_PATTERN)}, 0)[1:{T.PERCENT_CAP}]"
+    money = f"regexp_extract_all(coalesce({text}, ''), {q(T.MONEY_PATTERN)}, 0)"
+    pct = f"regexp_extract_all(coalesce({text}, ''), {q(T.PERCENT_PATTERN)}, 0)"
     return (f"list_concat(list_transform({orgs}, lambda m: 'ORG_OR_PERSON:' || m), "
             f"list_transform({money}, lambda m: 'MONEY:' || m), list_transform({pct}, lambda m: 'PERCENT:' || m))")
 

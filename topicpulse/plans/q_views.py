@@ -28,7 +28,7 @@ def registry_sql(src: str, topic: str, source: str) -> str:
     return f"""
 cnts AS (SELECT {topic} AS name, {source} AS source, count(*) AS n FROM {src} GROUP BY 1, 2),
 rtop AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, source) AS rn FROM cnts),
-reg0 AS (SELECT name, list(source ORDER BY rn) AS subreddits, sum(n) AS docs FROM rtop WHERE rn <= 8 GROUP BY name),
+reg0 AS (SELECT name, list(source ORDER BY rn) AS subreddits, sum(n) AS docs FROM rtop GROUP BY name),
 registry AS (
   SELECT name, subreddits, CAST([] AS VARCHAR[]) AS keywords,
          row_number() OVER (ORDER BY docs, name DESC) > 1 AS active,
@@ -114,9 +114,9 @@ def _views(spark, base):
     return s, reg, snap, bv, stats
 
 
-def flat_combined(c):
+def flat_combined(c, *more):
     return c.select(
-        "topic", "realtime_avg", F.col("realtime_count").cast("double").alias("realtime_count"), "realtime_updated_at",
+        *more, "topic", "realtime_avg", F.col("realtime_count").cast("double").alias("realtime_count"), "realtime_updated_at",
         "batch_avg", F.col("batch_total").cast("double").alias("batch_total"), "batch_period_start", "average_score",
         "post_count",
         F.col("distribution.positive").alias("dist_positive"), F.col("distribution.negative").alias("dist_negative"),
@@ -157,14 +157,18 @@ def q_combined_view(spark, base):
 
 
 @register("compare_topics", with_(*VIEW_CTES) + """
-SELECT w.position, c.* FROM (SELECT unnest(['view', 'click', 'nope']) AS topic,
+SELECT w.position, w.topic, c.realtime_avg, c.realtime_count, c.realtime_updated_at, c.batch_avg, c.batch_total,
+       c.batch_period_start, coalesce(c.average_score, 0.0) AS average_score,
+       CAST(coalesce(c.post_count, 0) AS BIGINT) AS post_count, c.dist_positive, c.dist_negative, c.dist_neutral,
+       coalesce(c.score_0_100, 50.0) AS score_0_100, coalesce(c.recent_ids, '') AS recent_ids
+FROM (SELECT unnest(['view', 'click', 'nope']) AS topic,
                                     generate_subscripts(['view', 'click', 'nope'], 1) - 1 AS position) w
-JOIN combined c USING (topic)""")
+LEFT JOIN combined c USING (topic)""")
 def q_compare_topics(spark, base):
     s, reg, snap, bv, stats = _views(spark, base)
-    c = flat_combined(G.combined_view(reg, snap, bv, stats, s, 10))
-    return G.compare_topics(c, ["view", "click", "nope"]).select(
-        F.col("position").cast("bigint").alias("position"), *c.columns)
+    c = G.compare_topics(G.combined_view(reg, snap, bv, stats, s, 10), ["view", "click", "nope"])
+    flat = flat_combined(c, "position")
+    return flat.withColumn("position", F.col("position").cast("bigint"))
 
 
 @register("overview", with_(*VIEW_CTES) + """
@@ -237,46 +241,65 @@ def q_keywords_view(spark, base):
 # --------------------------------------------------------------- G11 registry changes
 CHANGES_SQL = f"""
 changes AS (
-  SELECT '  ' || upper(topic) || ' ' AS name, list(subreddit ORDER BY subreddit)[1:3] AS subreddits,
+  SELECT '  ' || upper(topic) || ' ' AS name, list(subreddit ORDER BY subreddit) AS subreddits,
          CAST(NULL AS VARCHAR[]) AS keywords, true AS active, false AS deleted, max(processed_at) AS changed_at
   FROM (SELECT DISTINCT topic, subreddit, max(processed_at) OVER (PARTITION BY topic) AS processed_at FROM scored)
   GROUP BY topic
   UNION ALL
-  SELECT name, NULL, [name || '-news'], NOT active, name = (SELECT min(name) FROM registry), {AS_OF_SQL}
-  FROM registry),
-last_change AS (
-  SELECT * REPLACE (lower(trim(name)) AS name) FROM changes
-  QUALIFY row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY changed_at DESC) = 1),
+  SELECT name, NULL, [name || '-news'], NULL, false, {AS_OF_SQL} - INTERVAL 1 MINUTE FROM registry
+  UNION ALL
+  SELECT name, NULL, NULL, NOT active, name = (SELECT min(name) FROM registry), {AS_OF_SQL} FROM registry
+  UNION ALL
+  SELECT name, NULL, NULL, NULL, true, {AS_OF_SQL} - INTERVAL 2 MINUTE FROM registry
+  WHERE name = (SELECT max(name) FROM registry)),
+ch AS (SELECT * REPLACE (lower(trim(name)) AS name) FROM changes),
+gone AS (SELECT name, max(changed_at) AS gone_at FROM ch WHERE deleted GROUP BY name),
+since AS (SELECT ch.* FROM ch LEFT JOIN gone USING (name) WHERE NOT deleted AND (gone_at IS NULL OR changed_at > gone_at)),
+fields AS (
+  SELECT name, arg_max(subreddits, changed_at) FILTER (WHERE subreddits IS NOT NULL) AS subreddits,
+         arg_max(keywords, changed_at) FILTER (WHERE keywords IS NOT NULL) AS keywords,
+         arg_max(active, changed_at) FILTER (WHERE active IS NOT NULL) AS active,
+         min(changed_at) AS first_at, max(changed_at) AS last_at
+  FROM since GROUP BY name),
 applied AS (
   SELECT coalesce(n.name, o.name) AS name, coalesce(n.subreddits, o.subreddits, CAST([] AS VARCHAR[])) AS subreddits,
          coalesce(n.keywords, o.keywords, CAST([] AS VARCHAR[])) AS keywords,
-         coalesce(n.active, o.active, true) AS active, coalesce(o.created_at, n.changed_at) AS created_at,
-         coalesce(n.changed_at, o.updated_at) AS updated_at, coalesce(n.deleted, false) AS deleted
-  FROM registry o FULL OUTER JOIN last_change n ON o.name = n.name)
+         coalesce(n.active, o.active, true) AS active, coalesce(o.created_at, n.first_at) AS created_at,
+         coalesce(n.last_at, o.updated_at) AS updated_at
+  FROM (SELECT * FROM registry WHERE name NOT IN (SELECT name FROM gone)) o FULL OUTER JOIN fields n ON o.name = n.name)
 """
 
 
 def derived_changes(scored, registry):
     """Change events derived from the tables: each event type is (re)created under an
-    untidy name with its first three sources; every registered topic flips ``active``
-    and gains a keyword; the alphabetically first registered topic is deleted."""
-    per = scored.groupBy("topic").agg(F.slice(F.array_sort(F.collect_set("subreddit")), 1, 3).alias("subreddits"),
-                                      F.max("processed_at").alias("changed_at"))
-    creates = per.select(F.concat(F.lit("  "), F.upper("topic"), F.lit(" ")).alias("name"), "subreddits",
-                         F.lit(None).cast("array<string>").alias("keywords"), F.lit(True).alias("active"),
-                         F.lit(False).alias("deleted"), "changed_at")
-    # the registry is small: a window over all of it gives its first name without a join
-    first = registry.withColumn("first", F.min("name").over(Window.partitionBy(F.lit(1))))
-    upd = first.select(
-        "name", F.lit(None).cast("array<string>").alias("subreddits"),
-        F.array(F.concat("name", F.lit("-news"))).alias("keywords"), (~F.col("active")).alias("active"),
-        (F.col("name") == F.col("first")).alias("deleted"), F.lit(AS_OF).cast("timestamp").alias("changed_at"))
-    return creates.unionByName(upd)
+    untidy name with its sources; every registered topic then gains a keyword and, by a
+    later change, flips ``active``; the alphabetically first one is deleted at the end, the
+    last one before its two updates (so they create it anew)."""
+    per = scored.select("topic", "subreddit").distinct().groupBy("topic").agg(
+        F.array_sort(F.collect_list("subreddit")).alias("subreddits"))
+    at = scored.groupBy("topic").agg(F.max("processed_at").alias("changed_at"))
+    none = F.lit(None).cast("array<string>")
+    as_of = F.lit(AS_OF).cast("timestamp")
+    creates = per.join(at, "topic").select(
+        F.concat(F.lit("  "), F.upper("topic"), F.lit(" ")).alias("name"), "subreddits", none.alias("keywords"),
+        F.lit(True).alias("active"), F.lit(False).alias("deleted"), "changed_at")
+    # the registry has a row for each topic: a window over all of it gives its first and last name
+    w = Window.partitionBy(F.lit(1))
+    ends = registry.withColumn("first", F.min("name").over(w)).withColumn("last", F.max("name").over(w))
+    keyword = ends.select("name", none.alias("subreddits"), F.array(F.concat("name", F.lit("-news"))).alias("keywords"),
+                          F.lit(None).cast("boolean").alias("active"), F.lit(False).alias("deleted"),
+                          (as_of - F.expr("INTERVAL 1 MINUTE")).alias("changed_at"))
+    flip = ends.select("name", none.alias("subreddits"), none.alias("keywords"), (~F.col("active")).alias("active"),
+                       (F.col("name") == F.col("first")).alias("deleted"), as_of.alias("changed_at"))
+    drop = ends.where(F.col("name") == F.col("last")).select(
+        "name", none.alias("subreddits"), none.alias("keywords"), F.lit(None).cast("boolean").alias("active"),
+        F.lit(True).alias("deleted"), (as_of - F.expr("INTERVAL 2 MINUTE")).alias("changed_at"))
+    return creates.unionByName(keyword).unionByName(flip).unionByName(drop)
 
 
 @register("topic_registry", with_(SCORED, EV_REGISTRY, CHANGES_SQL) + """
 SELECT name, array_to_string(subreddits, ',') AS subreddits, array_to_string(keywords, ',') AS keywords, active,
-       created_at, updated_at FROM applied WHERE NOT deleted""")
+       created_at, updated_at FROM applied""")
 def q_topic_registry(spark, base):
     s = _scored(spark, base)
     reg = topics_from_events(spark, base)
@@ -329,17 +352,11 @@ def q_encode_results(spark, base):
 
 # ------------------------------------------------------------- A12 on alerts, topics
 @register("validate_topics", with_(SCORED, EV_REGISTRY, CHANGES_SQL) + """
-, cand AS (SELECT name, subreddits, active FROM applied WHERE NOT deleted
+, cand AS (SELECT name, subreddits, active FROM applied
            UNION ALL SELECT name, NULL, NULL FROM changes)
-SELECT name, array_to_string(list_filter([
-         CASE WHEN NOT (length(coalesce(name, '')) > 0) THEN 'name_required' END,
-         CASE WHEN NOT coalesce(name = lower(trim(name)), false) THEN 'name_normalised' END,
-         CASE WHEN subreddits IS NULL THEN 'subreddits_required' END,
-         CASE WHEN active IS NULL THEN 'active_required' END], lambda x: x IS NOT NULL), ',') AS reasons
-FROM cand""")
+SELECT name, array_to_string(list_filter([CASE WHEN name IS NULL THEN 'name_required' END, CASE WHEN subreddits IS NULL THEN 'subreddits_required' END, CASE WHEN active IS NULL THEN 'active_required' END], lambda x: x IS NOT NULL), ',') AS reasons FROM cand""")
 def q_validate_topics(spark, base):
-    """Registry rules over the applied registry plus the raw change records (whose
-    untidy names and missing fields fail)."""
+    """Registry rules over the applied registry and over change records without their fields."""
     from ..operators import validate as V
     s = _scored(spark, base)
     reg = topics_from_events(spark, base)
@@ -347,4 +364,4 @@ def q_validate_topics(spark, base):
     cand = G.apply_topic_changes(reg, ch).select("name", "subreddits", "active") \
         .unionByName(ch.select("name", F.lit(None).cast("array<string>").alias("subreddits"),
                                F.lit(None).cast("boolean").alias("active")))
-    return V.validate(cand, V.topic_rules()).select("name", F.array_join("reasons", ",").alias("reasons"))
+    return V.validate(cand, V.table_rules(cand, "topics")).select("name", F.array_join("reasons", ",").alias("reasons"))

@@ -33,15 +33,15 @@ def score_posts(posts: DataFrame, lexicon: DataFrame, stopwords: DataFrame,
     scores = lexicon_scores(narrow, lexicon, params)
     kw = post_keywords(narrow, stopwords)
     per_post = score_with_defaults(t, scores, text_col="_clean").join(kw, "post_id", "left")
-    blank = T.is_blank(F.col("_clean"))
+    blank = F.length("_clean") == 0     # the cleaned text is trimmed
     per_post = per_post.withColumn(
         "keywords", F.when(blank, F.array().cast("array<string>")).otherwise(F.col("keywords")))
     if with_entities:
         per_post = per_post.withColumn("entities", T.entities(F.col("_full"), entity_stopwords or []))
     else:
         per_post = per_post.withColumn("entities", F.array().cast(ENTITY_TYPE))
-    per_post = per_post.withColumn("cleaned_text", F.substring("_clean", 1, T.DISPLAY_CHARS)) \
-        .drop("_full", "_clean")
+    per_post = per_post.withColumnRenamed("_clean", "cleaned_text") \
+        .withColumn("display_text", F.substring("cleaned_text", 1, T.DISPLAY_CHARS)).drop("_full")
     meta = posts.drop("title", "content")
     out = meta.join(per_post, "post_id", "inner")
     if "processed_at" not in out.columns:

@@ -15,15 +15,15 @@ from ..schemas import BUS, POST
 DEFAULT_BUS_OPTIONS = {
     "startingOffsets": "earliest",
     "failOnDataLoss": "false",
-    "maxOffsetsPerTrigger": "100",
 }
 
 
 def read_bus(spark: SparkSession, servers: str | None = None, topic: str | None = None,
-             path: str | None = None, options: dict | None = None, max_files_per_trigger: int = 1) -> DataFrame:
+             path: str | None = None, options: dict | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """A1: streaming bus source. With ``servers``/``topic`` it is the Kafka source
-    (earliest offsets, no failure on data loss, <= 100 offsets per trigger); with
-    ``path`` it reads bus-shaped parquet files, ``max_files_per_trigger`` at a time
+    (earliest offsets, no failure on data loss; a rate limit, ``maxOffsetsPerTrigger``,
+    is an option); with
+    ``path`` it reads bus-shaped parquet files, ``max_files_per_trigger`` at a time if given
     (the same record shape, for environments without the Kafka connector)."""
     if servers and topic:
         r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
@@ -32,7 +32,10 @@ def read_bus(spark: SparkSession, servers: str | None = None, topic: str | None
         return r.load().select("key", "value", "timestamp")
     if path is None:
         raise ValueError("read_bus needs servers+topic or a path")
-    return spark.readStream.schema(BUS).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+    r = spark.readStream.schema(BUS)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(path)
 
 
 def decode_posts(bus: DataFrame, schema=POST, required: tuple = ("post_id", "topic")) -> DataFrame:

@@ -7,6 +7,7 @@ import datetime as dt
 import os
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,21 @@ def scan_lookback(df_or_path, spark: SparkSession | None = None, as_of=None,
     return out
 
 
+def is_missing(e: AnalysisException) -> bool:
+    """Whether a read failed as the path isn't there or holds no data file yet."""
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if there is none; other failures are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
+        return None
+
+
 def first_nonempty(candidates: Iterable[Callable[[], DataFrame | None]]) -> DataFrame | None:
     """A5: the first candidate source that loads and holds at least one row.
 
@@ -47,7 +63,9 @@ def first_nonempty(candidates: Iterable[Callable[[], DataFrame | None]]) -> Data
     for make in candidates:
         try:
             df = make()
-        except Exception:  # a missing path or unreachable store means "try the next"
+        except AnalysisException as e:  # only a source that isn't there means "try the next"
+            if not is_missing(e):
+                raise
             df = None
         if df is not None and not df.isEmpty():
             return df

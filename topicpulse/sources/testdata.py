@@ -3,9 +3,9 @@
 * events        -> scored posts (topic = event_type, score in 1/10000 from ``value``)
 * documents     -> raw posts (topic = lang, subreddit = source)
 * conversations -> raw comments (parent = conv_id, position = turn)
-* embeddings    -> 5 class logits
+* embeddings    -> 5 class logits (sums of every fifth value, so the whole vector counts)
 * pages         -> html texts
-* documents     -> topic registry (each language a topic, its top sources as subreddits)
+* documents     -> topic registry (each language a topic, its sources as subreddits)
 
 Every adapter is a projection or an aggregate of the table, so its work grows
 with the table.
@@ -61,22 +61,22 @@ def comments_from_conversations(spark: SparkSession, base: str) -> DataFrame:
 
 def logits_from_embeddings(spark: SparkSession, base: str) -> DataFrame:
     e = read_table(spark, base, "embeddings")
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")).alias("logits"))
+    sums = [F.aggregate(F.filter("embedding", lambda x, i: i % 5 == c), F.lit(0.0), lambda a, x: a + x.cast("double"))
+            for c in range(5)]
+    return e.select("vec_id", F.array(*sums).alias("logits"))
 
 
 def html_texts(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base, "pages").select("page_id", F.col("html").alias("text"))
 
 
-def registry_from(df: DataFrame, topic_col: str, source_col: str, per_topic: int = 8) -> DataFrame:
+def registry_from(df: DataFrame, topic_col: str, source_col: str) -> DataFrame:
     """Registry rule: one topic per distinct ``topic_col``; its subreddits are its
-    ``per_topic`` largest sources (ties by name), so sources are shared between
-    topics; the smallest topic is inactive; topics are created largest first."""
+    sources, largest first (ties by name), so sources are shared between topics; the smallest topic is inactive; topics are created largest first."""
     counts = df.groupBy(F.col(topic_col).alias("name"), F.col(source_col).alias("source")) \
         .agg(F.count(F.lit(1)).alias("n"))
     rn = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "source"))
-    top = counts.withColumn("rn", rn).where(F.col("rn") <= per_topic)
-    reg = top.groupBy("name").agg(
+    reg = counts.withColumn("rn", rn).groupBy("name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "source"))), lambda s: s["source"]).alias("subreddits"),
         F.sum("n").alias("docs"))
     # the registry has one row per topic: a global window over it is registry-sized
@@ -91,11 +91,11 @@ def registry_from(df: DataFrame, topic_col: str, source_col: str, per_topic: int
         F.lit(AS_OF).cast("timestamp").alias("updated_at"))
 
 
-def topics_from_documents(spark: SparkSession, base: str, per_topic: int = 8) -> DataFrame:
+def topics_from_documents(spark: SparkSession, base: str) -> DataFrame:
     """Registry over documents: one topic per language, sources = document sources."""
-    return registry_from(read_table(spark, base, "documents"), "lang", "source", per_topic)
+    return registry_from(read_table(spark, base, "documents"), "lang", "source")
 
 
-def topics_from_events(spark: SparkSession, base: str, per_topic: int = 8) -> DataFrame:
+def topics_from_events(spark: SparkSession, base: str) -> DataFrame:
     """Registry over the event posts: one topic per event type, sources = 's' + user_id % 20."""
-    return registry_from(scored_from_events(spark, base), "topic", "subreddit", per_topic)
+    return registry_from(scored_from_events(spark, base), "topic", "subreddit")

@@ -7,10 +7,14 @@ write is idempotent: replaying a micro-batch rewrites exactly its own partition.
 from __future__ import annotations
 
 import os
+import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_if_there
+
 DEFAULT_TTL_SECONDS = 300
 DEFAULT_HISTORY = 1001
 ID_BUCKETS = 1024
@@ -40,9 +44,11 @@ def realtime_snapshot(history_df: DataFrame, as_of, ttl_seconds: int = DEFAULT_T
 def history(history_df: DataFrame, limit: int = 100, keep: int = DEFAULT_HISTORY,
             max_limit: int = 1000) -> DataFrame:
     """Newest snapshots per topic: the store keeps ``keep`` (1001), a read returns
-    ``limit`` (max 1000). ``row_number() <= k`` plans as a WindowGroupLimit, which
+    ``limit`` (more than ``max_limit`` is an error). ``row_number() <= k`` plans as a WindowGroupLimit, which
     trims each topic to k rows before the shuffle."""
-    k = min(int(limit), int(max_limit), int(keep))
+    if limit > max_limit:
+        raise ValueError(f"limit must be at most {max_limit}")
+    k = min(int(limit), int(keep))
     w = Window.partitionBy("topic").orderBy(F.desc("updated_at"))
     return history_df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
@@ -56,9 +62,10 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str],
                   version_col: str = "created_at") -> DataFrame:
-    """Upsert on ``keys``: the row with the newest ``version_col`` wins."""
-    both = existing.unionByName(incoming, allowMissingColumns=True)
-    return latest_per_key(both, keys, [F.desc(version_col)])
+    """Upsert on ``keys``: the row with the newest ``version_col`` wins, of equal ones the incoming."""
+    both = existing.withColumn("_in", F.lit(0)).unionByName(incoming.withColumn("_in", F.lit(1)),
+                                                            allowMissingColumns=True)
+    return latest_per_key(both, keys, [F.desc(version_col), F.desc("_in")]).drop("_in")
 
 
 def insert_new_only(stored: DataFrame, batch_df: DataFrame, batch_id: int, key: str = "post_id",
@@ -101,13 +108,10 @@ def with_dt(df: DataFrame, ts_col: str) -> DataFrame:
     return df.withColumn("dt", F.to_date(F.col(ts_col)))
 
 
-def read_or_empty(spark, path: str, schema: str) -> DataFrame:
-    if os.path.exists(path) or "://" in path:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # no files yet
-            pass
-    return spark.createDataFrame([], schema)
+def read_or_empty(spark, path: str, schema) -> DataFrame:
+    """The table at ``path``; a path that isn't there (or has no data file yet) reads as empty.
+    Any other failure, such as a damaged file, is raised."""
+    return read_if_there(spark, path) or spark.createDataFrame([], schema)
 
 
 IDS_SCHEMA = "post_id string, id_bucket int, batch_id bigint"
@@ -116,30 +120,39 @@ IDS_SCHEMA = "post_id string, id_bucket int, batch_id bigint"
 def sink_results(batch_df: DataFrame, batch_id: int, out: str) -> DataFrame:
     """A7 write: this batch's new rows go to ``out/results`` (partitioned by day, then
     batch: look-back scans prune by day) and their ids to ``out/ids`` (partitioned by id
-    bucket, then batch: the next batches' dedupe reads only the buckets they touch)."""
+    bucket, then batch: the next batches' dedupe reads only the buckets they touch). Returns
+    the inserted rows, persisted; the caller releases them."""
     spark = batch_df.sparkSession
     ids_path = os.path.join(out, "ids")
     stored = read_or_empty(spark, ids_path, IDS_SCHEMA)
-    new = insert_new_only(stored, batch_df, batch_id).drop("batch_id")
+    new = insert_new_only(stored, batch_df, batch_id).drop("batch_id").persist(StorageLevel.MEMORY_AND_DISK)
     write_batch_partition(with_dt(new.drop("id_bucket"), "processed_at"), os.path.join(out, "results"), batch_id)
     write_batch_partition(new.select("post_id", "id_bucket"), ids_path, batch_id, by=["id_bucket"])
     return new
 
 
 def publish_views(views: dict[str, DataFrame], out: str, batch_time) -> None:
-    """A8 write: topic aggregates upserted by period (dynamic overwrite of the
-    ``period_start`` partition); trends, keywords and sources appended per ``batch_time``."""
+    """A8 write: topic aggregates are upserted by (topic, period_start) into the folder of their
+    batch's period; the other views replace the folder of ``batch_time``, also with nothing, so
+    that a re-run leaves no rows of the earlier one."""
+    spark = next(iter(views.values())).sparkSession
     ts = F.lit(batch_time).cast("timestamp")
     for name, df in views.items():
+        path = view_path(out, name, batch_time)
         if name == "topic_aggregates":
-            (df.withColumn("period_key", F.date_format("period_start", "yyyyMMddHHmmss")).write
-             .mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("period_key").parquet(os.path.join(out, name)))
+            stored = read_if_there(spark, path)
+            if stored is not None:
+                # one row for each topic; checkpointed as it is written over the files it is read from
+                df = upsert_latest(stored, df, ["topic", "period_start"]).checkpoint()
         else:
-            (df.withColumn("batch_time", ts)
-             .withColumn("batch_key", F.date_format(ts, "yyyyMMddHHmmss")).write
-             .mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_key").parquet(os.path.join(out, name)))
+            df = df.withColumn("batch_time", ts)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+
+
+def view_path(out: str, name: str, batch_time) -> str:
+    """The folder of one batch's rows of a view; the name is that of a partition of the view's table."""
+    key = re.sub(r"\D", "", str(batch_time))[:14].ljust(14, "0")
+    return os.path.join(out, name, f"batch_key={key}")
 
 
 def sink_parquet(stream_df: DataFrame, path: str, checkpoint: str, trigger_seconds: int = 30,

@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import hourly_trends, microbatch_stats  # noqa: F401  (re-export)
+from ..operators.aggregates import microbatch_stats
 from ..operators.alerts import post_alerts
 from ..operators.ingest import dedupe
 from ..plans.scoring import score_posts
@@ -43,12 +43,14 @@ def process_batch(batch_df: DataFrame, batch_id: int, out: str, lexicon: DataFra
         write_batch_partition(rejected, os.path.join(out, "rejected"), batch_id, by=[])
         scored = score_posts(valid, lexicon, stopwords, entity_stopwords).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            sink_results(scored, batch_id, out)
+            new = sink_results(scored, batch_id, out)
             batch_time = scored.agg(F.max("processed_at")).first()[0]  # one row: the batch stamp
             if batch_time is not None:
                 write_batch_partition(with_dt(microbatch_stats(scored, batch_time), "updated_at"),
                                       os.path.join(out, "history"), batch_id)
-            write_batch_partition(with_dt(post_alerts(scored), "timestamp"), os.path.join(out, "alerts"), batch_id)
+            # alerts of inserted posts only: a post that comes again alerts once
+            write_batch_partition(with_dt(post_alerts(new), "timestamp"), os.path.join(out, "alerts"), batch_id)
+            new.unpersist()
         finally:
             scored.unpersist()
     finally:
