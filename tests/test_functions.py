@@ -110,6 +110,14 @@ def test_entities(spark):
     assert [len(r.e) for r in capped] == [2, 5, 3, 3, 1, 1, 0]
 
 
+def test_short_texts_are_neutral_without_confidence(spark):
+    df = spark.createDataFrame([("ab", [5.0, 0.0, 0.0, 0.0, 0.0]), (None, [5.0, 0.0, 0.0, 0.0, 0.0]),
+                                ("abc", [5.0, 0.0, 0.0, 0.0, 0.0])], "t string, l array<double>")
+    out = df.select(L.short_text_default("t", L.class_probs_score("l")).alias("r")).select("r.*").collect()
+    assert [(r.score, r.confidence, r.predicted_class, r.label) for r in out[:2]] == [(0.0, 0.0, None, "neutral")] * 2
+    assert out[2].predicted_class == 0
+
+
 def test_softmax_of_large_logits(spark):
     df = spark.createDataFrame([([800.0, 0.0, 0.0, 0.0, 0.0],), ([-800.0] * 5,)], "l array<double>")
     a, b = df.select(L.class_probs_score("l").alias("r")).select("r.*").collect()
@@ -135,6 +143,11 @@ def compound(s):
     ("good but bad", compound(1.9 * 0.5 - 2.5 * 1.5)),
     ("not a very bad thing", compound((-2.5 - 0.293) * -0.74)),
     ("nothing here", 0.0),
+    ("good?", compound(1.9)),
+    ("good??", compound(1.9 + 2 * 0.18)),
+    ("good????", compound(1.9 + 0.96)),
+    ("least good", compound(1.9 * -0.74)),
+    ("at least good", compound(1.9)),
 ])
 def test_lexicon_modifiers(spark, text, expected):
     from topicpulse.operators.lexicon import lexicon_scores

@@ -65,6 +65,15 @@ def softmax(logits) -> Column:
     return F.transform(ex, lambda x: x / total)
 
 
+def short_text_default(pre_text, result) -> Column:
+    """C13 for the class model: a preprocessed text of fewer than three characters is neutral with
+    score and confidence 0 and no predicted class; otherwise ``result`` (``class_probs_score``)."""
+    r = _c(result)
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"),
+                    F.lit(None).cast("int").alias("predicted_class"), F.lit(LABELS5[2]).alias("label"))
+    return F.when(F.length(F.coalesce(_c(pre_text), F.lit(""))) < 3, none).otherwise(r)
+
+
 def class_probs_score(logits, weights: list[float] = CLASS_WEIGHTS, digits: int = 4) -> Column:
     """5 class logits -> struct(score, confidence, predicted_class, label).
 

@@ -85,6 +85,7 @@ partly scarcely slightly somewhat sorta sortof sort-of
 """
 BOOST_INCREMENT = 0.293
 BOOST_DECREMENT = -0.293
+QUESTION_INCREMENT, QUESTION_LIMIT = 0.18, 0.96
 CAPS_INCREMENT = 0.733
 NEGATION_SCALAR = -0.74
 EXCLAMATION_INCREMENT = 0.292

@@ -132,18 +132,37 @@ def dashboard_totals(stats: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def trend_summary(trends: DataFrame, epsilon: float = 0.05) -> DataFrame:
     """H1: per topic: points, first and current value, change in % and direction
-    (up / down / stable within ``epsilon`` absolute change). No series is collected."""
+    (up / down / stable within ``epsilon`` absolute change), and the series itself, in order of
+    time (a point for each hour of the look-back)."""
     h = F.col("hour")
     s = trends.groupBy("topic").agg(
         F.count(F.lit(1)).alias("points"),
         F.min_by("avg_sentiment", h).alias("first_value"),
         F.max_by("avg_sentiment", h).alias("current_value"),
-        F.max(h).alias("last_hour"))
+        F.max(h).alias("last_hour"),
+        F.array_sort(F.collect_list(F.struct("hour", "avg_sentiment", "post_count"))).alias("time_series"))
     change = F.col("current_value") - F.col("first_value")
     return s.select(
         "topic", "points", "first_value", "current_value", "last_hour",
         F.round(F.try_divide(change, F.abs(F.col("first_value"))) * 100, 4).alias("change_pct"),
-        F.when(change > epsilon, "up").when(change < -epsilon, "down").otherwise("stable").alias("direction"))
+        F.when(change > epsilon, "up").when(change < -epsilon, "down").otherwise("stable").alias("direction"),
+        "time_series")
+
+
+def top_entities(scored: DataFrame, n: int = 10) -> DataFrame:
+    """Per topic its ``n`` most frequent entities (ties by text and type), for H4's nested column."""
+    e = scored.select("topic", F.explode("entities").alias("e")) \
+        .groupBy("topic", F.col("e.entity_type").alias("entity_type"), F.col("e.text").alias("entity")) \
+        .agg(F.count(F.lit(1)).alias("count"))
+    w = Window.partitionBy("topic").orderBy(F.desc("count"), "entity", "entity_type")
+    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def chart_points(trends: DataFrame) -> DataFrame:
+    """Points of a trend chart: time of day, score and number of posts (missing: 0)."""
+    return trends.select("topic", "hour", F.date_format(F.to_timestamp("hour"), "HH:mm").alias("time"),
+                         F.coalesce("avg_sentiment", F.lit(0.0)).alias("score"),
+                         F.coalesce("post_count", F.lit(0)).cast("bigint").alias("count"))
 
 
 def word_cloud(scored: DataFrame) -> DataFrame:
@@ -154,7 +173,8 @@ def word_cloud(scored: DataFrame) -> DataFrame:
     return k.groupBy("topic", "word").agg(F.count(F.lit(1)).alias("count"), avg_e4(F.col("e4")).alias("avg_sentiment"))
 
 
-def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10) -> DataFrame:
+def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10,
+                      entities: DataFrame | None = None) -> DataFrame:
     """H4: D1 plus nested columns: top keywords (array of struct, rank order),
     sentiment distribution (map label -> share) and per-source stats (map source -> struct; a null
     source is "unknown").
@@ -162,6 +182,7 @@ def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10) -
     One aggregate per (topic, source) feeds both the per-source map and, rolled up, the
     per-topic figures (exact: integer sums; the sample variance from sum(x) and sum(x^2)
     in DECIMAL), so the scored input is read once for them, plus once for keywords.
+    With ``entities`` (``top_entities``) their first ``k`` are a column, too.
     Nested values are bounded: k keywords, five labels, the topic's sources."""
     e4 = _score_e4(scored)
     lab = F.col("sentiment_label")
@@ -196,4 +217,10 @@ def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10) -
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword", "count"))),
                            lambda s: F.struct(s["keyword"].alias("keyword"), s["count"].alias("count")))
                .alias("top_keywords")))
-    return base.join(kw, "topic", "left")
+    out = base.join(kw, "topic", "left")
+    if entities is None:
+        return out
+    en = (entities.where(F.col("rank") <= k).groupBy("topic")
+          .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity_type", "entity", "count"))),
+                           lambda s: s.dropFields("rank")).alias("top_entities")))
+    return out.join(en, "topic", "left")

@@ -35,6 +35,8 @@ class Params:
     negation: float = W.NEGATION_SCALAR
     exclamation: float = W.EXCLAMATION_INCREMENT
     exclamation_max: int = W.EXCLAMATION_MAX
+    question: float = W.QUESTION_INCREMENT
+    question_limit: float = W.QUESTION_LIMIT
     but_before: float = W.BUT_BEFORE
     but_after: float = W.BUT_AFTER
     alpha: float = W.NORMALISE_ALPHA
@@ -61,12 +63,15 @@ def _in(words: tuple, c: Column) -> Column:
 
 
 def token_modifiers(posts: DataFrame, p: Params, text_col: str, key: str) -> DataFrame:
-    """One row per token: (key, bangs, pos, lc, cap, boost, negated, but_w); ``bangs`` is the
-    post's count of "!" (capped), carried on every token row so no join is needed."""
+    """One row per token: (key, emphasis, pos, lc, cap, boost, negated, least, but_w); ``emphasis`` is
+    what the post's "!" and "?" add (two and three "?" count each, more are worth the limit),
+    carried on every token row so no join is needed."""
     toks = score_tokens(F.col(text_col))
     bangs = F.least(F.length(F.regexp_replace(F.col(text_col), "[^!]", "")), F.lit(p.exclamation_max))
-    t = posts.select(key, toks.alias("toks"), bangs.alias("bangs"))
-    t = t.select(key, "toks", "bangs", F.transform("toks", lambda x: F.lower(x)).alias("lcs"))
+    asked = F.length(F.regexp_replace(F.col(text_col), "[^?]", ""))
+    asked = F.when(asked > 3, F.lit(p.question_limit)).when(asked > 1, asked * p.question).otherwise(F.lit(0.0))
+    t = posts.select(key, toks.alias("toks"), (bangs * p.exclamation + asked).alias("emphasis"))
+    t = t.select(key, "toks", "emphasis", F.transform("toks", lambda x: F.lower(x)).alias("lcs"))
     is_cap = lambda x: (x == F.upper(x)) & (x != F.lower(x))
     t = t.withColumn("cap_diff", F.exists("toks", is_cap) & ~F.forall("toks", is_cap)) \
          .withColumn("but_at", F.array_position("lcs", "but"))
@@ -80,13 +85,14 @@ def token_modifiers(posts: DataFrame, p: Params, text_col: str, key: str) -> Dat
                      * p.decay[k]) for k in range(3))
         neg = _in(p.negators, prev[0]) | _in(p.negators, prev[1]) | _in(p.negators, prev[2]) | \
             F.coalesce(prev[0].endswith("n't"), F.lit(False))
+        least = F.coalesce((prev[0] == "least") & ~F.coalesce(prev[1].isin("at", "very"), F.lit(False)), F.lit(False))
         but_w = F.when(F.col("but_at") == 0, F.lit(1.0)) \
                  .when(i + 1 < F.col("but_at"), F.lit(p.but_before)) \
                  .when(i + 1 > F.col("but_at"), F.lit(p.but_after)).otherwise(F.lit(1.0))
         return F.struct((i + 1).alias("pos"), lc.alias("lc"), (is_cap(x) & F.col("cap_diff")).alias("cap"),
-                        boost.alias("boost"), neg.alias("negated"), but_w.alias("but_w"))
+                        boost.alias("boost"), neg.alias("negated"), least.alias("least"), but_w.alias("but_w"))
 
-    return t.select(key, "bangs", F.explode(F.transform("toks", per_token)).alias("t")).select(key, "bangs", "t.*")
+    return t.select(key, "emphasis", F.explode(F.transform("toks", per_token)).alias("t")).select(key, "emphasis", "t.*")
 
 
 def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None = None,
@@ -101,6 +107,7 @@ def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None =
     sign = F.signum(v0)
     v = v0 + F.when(F.col("cap"), sign * p.caps).otherwise(0.0)
     v = v + F.col("boost") * sign
+    v = F.when(F.col("least"), v * p.negation).otherwise(v)
     v = F.when(F.col("negated"), v * p.negation).otherwise(v)
     v = F.coalesce(v * F.col("but_w"), F.lit(0.0))
     j = j.withColumn("v", v)
@@ -109,9 +116,9 @@ def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None =
         F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("pos_sum"),
         F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("neg_sum"),
         F.count_if(F.col("v") == 0).alias("neu_n"),
-        F.max("bangs").alias("bangs"))
+        F.max("emphasis").alias("emphasis"))
     a = agg
-    amp = F.coalesce(F.col("bangs"), F.lit(0)) * p.exclamation
+    amp = F.coalesce(F.col("emphasis"), F.lit(0.0))
     s = F.col("s") + F.when(F.col("s") > 0, amp).when(F.col("s") < 0, -amp).otherwise(0.0)
     compound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + p.alpha)))
     pos_sum = F.col("pos_sum") + F.when(F.col("pos_sum") > F.abs(F.col("neg_sum")), amp).otherwise(0.0)

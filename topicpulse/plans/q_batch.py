@@ -262,10 +262,20 @@ SELECT topic, count(*) AS points, arg_min(avg_sentiment, hour) AS first_value,
          AS change_pct,
        CASE WHEN arg_max(avg_sentiment, hour) - arg_min(avg_sentiment, hour) > 0.05 THEN 'up'
             WHEN arg_max(avg_sentiment, hour) - arg_min(avg_sentiment, hour) < -0.05 THEN 'down'
-            ELSE 'stable' END AS direction
+            ELSE 'stable' END AS direction,
+       string_agg(hour || '=' || CAST(post_count AS VARCHAR), ',' ORDER BY hour) AS time_series
 FROM hourly GROUP BY topic""")
 def q_trend_summary(spark, base):
-    return A.trend_summary(A.hourly_trends(_scored(spark, base)))
+    t = A.trend_summary(A.hourly_trends(_scored(spark, base)))
+    return t.withColumn("time_series", F.array_join(F.transform(
+        "time_series", lambda p: F.concat(p["hour"], F.lit("="), p["post_count"].cast("string"))), ","))
+
+
+@register("chart_points", with_(SCORED, HOURLY) + """
+SELECT topic, hour, strftime(CAST(hour AS TIMESTAMP), '%H:%M') AS time, coalesce(avg_sentiment, 0.0) AS score,
+       coalesce(post_count, 0) AS "count" FROM hourly""")
+def q_chart_points(spark, base):
+    return A.chart_points(A.hourly_trends(_scored(spark, base)))
 
 
 # ------------------------------------------------ I5 window operator (batch execution)

@@ -261,7 +261,10 @@ def lexicon_sql(src: str, text: str) -> str:
         f" OR coalesce(suffix({prev(1)}, 'n''t'), false)"
     return f"""
 lt0 AS (
-  SELECT post_id, least(length(regexp_replace({text}, '[^!]', '', 'g')), {p.exclamation_max}) AS bangs,
+  SELECT post_id, least(length(regexp_replace({text}, '[^!]', '', 'g')), {p.exclamation_max}) * {p.exclamation}::DOUBLE
+           + CASE WHEN length(regexp_replace({text}, '[^?]', '', 'g')) > 3 THEN {p.question_limit}::DOUBLE
+                  WHEN length(regexp_replace({text}, '[^?]', '', 'g')) > 1
+                  THEN length(regexp_replace({text}, '[^?]', '', 'g')) * {p.question}::DOUBLE ELSE 0.0::DOUBLE END AS bangs,
          list_filter(list_transform(string_split({text}, ' '), lambda t:
              CASE WHEN length(regexp_replace(t, {edge}, '', 'g')) > 2 THEN regexp_replace(t, {edge}, '', 'g') ELSE t END),
            lambda t: length(t) > 1) AS toks
@@ -278,6 +281,7 @@ lt3 AS (
       'pos': i, 'lc': lcs[i], 'cap': {is_cap} AND cap_diff,
       'boost': 0 + {b(1)} + {b(2)} + {b(3)},
       'negated': {negated},
+      'least': coalesce({prev(1)} = 'least' AND NOT coalesce({prev(2)} IN ('at', 'very'), false), false),
       'but_w': CASE WHEN but_at = 0 THEN 1.0::DOUBLE WHEN i < but_at THEN {p.but_before}::DOUBLE
                     WHEN i > but_at THEN {p.but_after}::DOUBLE ELSE 1.0::DOUBLE END}})) AS t
   FROM lt2),
@@ -286,7 +290,7 @@ lt4 AS (
   FROM lt3 LEFT JOIN lexicon lx ON lx.lc = t.lc),
 lt5 AS (
   SELECT post_id, bangs,
-         coalesce((CASE WHEN negated
+         coalesce(CASE WHEN least THEN {p.negation}::DOUBLE ELSE 1.0::DOUBLE END * (CASE WHEN negated
                         THEN (valence + CASE WHEN cap THEN sg * {p.caps}::DOUBLE ELSE 0.0 END + boost * sg) * {p.negation}::DOUBLE
                         ELSE valence + CASE WHEN cap THEN sg * {p.caps}::DOUBLE ELSE 0.0 END + boost * sg END) * but_w,
                   0.0) AS v
@@ -294,7 +298,7 @@ lt5 AS (
 lt6 AS (
   SELECT post_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0.0 END) AS pos_sum,
          sum(CASE WHEN v < 0 THEN v - 1 ELSE 0.0 END) AS neg_sum, count(*) FILTER (WHERE v = 0) AS neu_n,
-         max(bangs) * {p.exclamation}::DOUBLE AS amp
+         max(bangs) AS amp
   FROM lt5 GROUP BY post_id),
 lt7 AS (
   SELECT post_id, s + CASE WHEN s > 0 THEN amp WHEN s < 0 THEN -amp ELSE 0.0 END AS s2,
@@ -396,6 +400,18 @@ def q_word_cloud(spark, base):
     return A.word_cloud(scored_documents(spark, base))
 
 
+@register("top_entities", with_(DOCS) + f"""
+, found AS (SELECT topic, split_part(e, ':', 1) AS entity_type, substring(e, strpos(e, ':') + 1) AS entity
+            FROM (SELECT topic, unnest({entities_sql('full_text')}) AS e FROM docs)),
+counted AS (SELECT topic, entity_type, entity, count(*) AS "count" FROM found GROUP BY topic, entity_type, entity)
+SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY "count" DESC, entity, entity_type) AS INTEGER) AS rank
+FROM counted QUALIFY rank <= 10""")
+def q_top_entities(spark, base):
+    stop = W.words(W.ENGLISH_STOPWORDS_TEXT + " " + W.SITE_STOPWORDS_TEXT)
+    d = _docs(spark, base).select("topic", T.entities(T.full_text("title", "content"), stop).alias("entities"))
+    return A.top_entities(d, 10)
+
+
 @register("nested_aggregates", with_(*SCORED_DOCS_CTES) + f"""
 , agg AS (
   SELECT topic, {AVG_E4.format(c='sentiment_e4')} AS avg_sentiment, count(*) AS total_posts,
