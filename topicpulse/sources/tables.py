@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import wordlists as W
 
@@ -74,7 +73,8 @@ def first_nonempty(candidates: Iterable[Callable[[], DataFrame | None]]) -> Data
 
 # ---------------------------------------------------------------- dictionaries
 def words_df(spark: SparkSession, ws: list[str], col: str = "word") -> DataFrame:
-    return spark.createDataFrame([(w,) for w in ws], T.StructType([T.StructField(col, T.StringType())]))
+    """A word list as a literal, whose size the optimizer knows (of a parallelised list it knows nothing)."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in ws])).alias(col))
 
 
 def keyword_stopwords(spark: SparkSession) -> DataFrame:
@@ -86,7 +86,8 @@ def english_stopwords(spark: SparkSession) -> DataFrame:
 
 
 def seed_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(W.seed_lexicon(), "word string, valence double")
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(w).alias("word"), F.lit(float(v)).alias("valence")) for w, v in W.seed_lexicon()])))
 
 
 def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
