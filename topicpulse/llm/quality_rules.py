@@ -129,24 +129,21 @@ RULES = BASE + [
 
 
 def estimate(df: DataFrame, rules: list[Rule], text_col: str = "text", sample: int = 256) -> list[tuple]:
-    """(name, seconds, rejected) of each rule over at most ``sample`` documents; no documents: zeros."""
-    texts = id_and_text(df.limit(sample), text_col, text_col)
+    """(name, seconds, rejected) of each rule over at most ``sample`` documents; no documents: zeros.
 
-    def start():
-        def work(batch):
-            for t in batch:
-                row = []
-                for rule in rules:
-                    profile = Profile(t)
-                    began = time.perf_counter()
-                    ok = rule.passes(profile)
-                    row += [time.perf_counter() - began, float(not ok)]
-                yield (row,)
-        return work
-
-    measured = map_texts(texts, start, [("m", "array<double>")])
-    sums = measured.agg(*[F.sum(F.col("m")[i]) for i in range(2 * len(rules))]).first()
-    return [(r.name, sums[2 * i] or 0.0, sums[2 * i + 1] or 0.0) for i, r in enumerate(rules)]
+    The sample are the first documents found (of up to a million characters, as they
+    come to the driver), so that no whole table is read for an estimate.
+    """
+    text = F.col(f"`{text_col}`")
+    texts = df.select(text.alias("t")).where(F.coalesce(F.length("t"), F.lit(0)) <= 1_000_000).take(sample)
+    seconds, rejected = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
+    for row in texts:
+        for rule in rules:
+            profile = Profile(row["t"])
+            began = time.perf_counter()
+            rejected[rule] += not rule.passes(profile)
+            seconds[rule] += time.perf_counter() - began
+    return [(r.name, seconds[r], rejected[r]) for r in rules]
 
 
 def ordered(rules: list[Rule], estimates: list[tuple]) -> list[Rule]:
