@@ -183,9 +183,9 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield zlib.crc32(p.data), at.tolist(), x.tolist(), posterior.get(votes(p), .5)
         return work
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = map_texts(chosen, start_sample, [("h", "bigint"), ("at", "array<int>"), ("x", "array<double>"),
-                                            ("y", "double")]).drop("doc_id").collect()
+                                            ("y", "double")]).drop("doc_id").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r["h"], r["at"]))
     weights = fit_scorer([(np.array(r["at"], np.int64), np.array(r["x"]), r["y"]) for r in rows])
 
