@@ -236,7 +236,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         return
     count = sizes.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     for k in range(shards):
-        own = F.pmod(F.xxhash64("text"), F.lit(shards)) == k
+        own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)) == k
         rows = [tuple(r) for r in items.where(own).collect()]       # bounded by the shard sizes above
         if shards == 1:
             df = count.collect()
