@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import blocks, id_and_text, map_texts
 
 #: Characters of text worked on at a time, and words a task remembers between blocks (memory only).
-BLOCK_CHARS, REMEMBERED = 8_000_000, 500_000
+BLOCK_CHARS, REMEMBERED = 4_000_000, 400_000
 #: Places of the inverted index that are worked on at a time, if the lowest rank has no more.
 AT_ONCE = 8192
 #: Words of more bytes are merged one by one, as they would hold up the replay of the others.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -12,6 +13,9 @@ ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boole
          "string": pa.string(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
          "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "binary": pa.binary()}
 
+#: Rows of a result that are put together at a time.
+OUT_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -60,10 +64,13 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], Iterable[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            rows = list(work(batch.column(1).to_pylist()))
-            cols = list(zip(*rows)) if rows else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
+            rows = iter(work(batch.column(1).to_pylist()))
+            at = 0
+            while some := list(islice(rows, OUT_ROWS)):     # results leave in small batches
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(some))]
+                    + [pa.array(c, type=t) for c, t in zip(zip(*some), types)], names=names)
+                at += len(some)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
     ddl = ", ".join(f"`{n}` {t}" for n, t in columns)
