@@ -106,10 +106,11 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashed = map_texts(keyed, start, [("h", "array<bigint>"), ("at", "array<bigint>")])
     found = hashed.select("doc_id.*", F.explode(F.arrays_zip("h", "at")).alias("x")) \
         .select("id", "k", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
-    # Which hashes occur twice is counted on hashes alone; only their occurrences go on.
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Which hashes occur twice is counted on hashes alone; only their occurrences go on. What is
+    # joined is written first: between two plain tables Spark splits a partition that one hash fills.
+    twice = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "spans-twice")
     found = written(found.join(twice, "h", "left_semi"), "spans")
-    first = found.groupBy("h").agg(F.min(order).alias("first"))
+    first = written(found.groupBy("h").agg(F.min(order).alias("first")), "spans-first")
     later = found.join(first, "h").where(order != F.col("first"))
     by_row = later.groupBy("k").agg(F.collect_set("at").alias(marked),
                                     F.sort_array(F.collect_set("first.id")).alias(firsts)) \
