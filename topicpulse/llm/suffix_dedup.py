@@ -175,15 +175,16 @@ def sort_groups(batches):
 def repeats(docs: DataFrame) -> DataFrame:
     """(k, a, b) of ``docs(k, text)``: ranges of starts whose string occurs twice or more in the corpus."""
     rows = phrase_rows(docs)
-    often = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")) \
-        .where((F.col("n") > 1) | F.col("t")).select("p")
+    # what is joined is written first: between two plain tables Spark splits a partition that one key fills
+    often = written(rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t"))
+                    .where((F.col("n") > 1) | F.col("t")).select("p"), "often")
     parse = written(rows.join(often, "p", "left_semi"), "parse")
     dictionary = written(parse.groupBy("p", "h").agg(
         F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"),
         F.min(F.struct("k", "first", "size")).alias("at")), "dictionary")
-    group = dictionary.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"),
-                                        F.max("twice").alias("t")) \
-        .where(((F.col("c") > 1) | F.col("t")) & (F.col("least") == 1)).select("p", "c")
+    group = written(dictionary.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"),
+                                                F.max("twice").alias("t"))
+                    .where(((F.col("c") > 1) | F.col("t")) & (F.col("least") == 1)).select("p", "c"), "groups")
     asked = dictionary.join(group, "p").select("p", "n", "c", "at.*") \
         .groupBy("k").agg(F.collect_list(F.struct("p", "n", "c", "first", "size")).alias("asked"))
 
