@@ -99,7 +99,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tree = components(links(fps.select("fp").distinct(), distance), "simhash-links")
     tree = written(nodes.join(tree, nodes.fp == tree.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-nodes")
-    ids = tree.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that a component that fills a partition of the join can be split
+    ids = written(tree.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
     of = tree.join(ids, "root").select("fp", "component_id")
     return fps.join(of, "fp").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
