@@ -8,7 +8,7 @@ import numpy as np
 from topicpulse.llm import quality_model as M
 from topicpulse.llm import quality_rules as R
 from topicpulse.llm.license_scan import scan, train
-from topicpulse.llm.toxicity import NeighbourIndex, toxicity
+from topicpulse.llm.toxicity import NeighbourIndex, fit, toxicity
 
 from llm_cases import collected, documents, edge_rows, frame, words
 
@@ -141,6 +141,23 @@ def test_toxicity_never_sees_held_out_labels(spark):
     assert collected(toxicity(documents(spark, base), labels)) == collected(toxicity(documents(spark, base), flipped))
 
 
+def test_toxic_terms_by_real_numbers_of_examples(spark):
+    rng = random.Random(6)
+    y = {i: i % 2 for i in range(900)}
+    text = {}
+    for i in y:
+        w = words(rng, 30).split()
+        if y[i] or i % 40 == 0:
+            w.insert(rng.randint(1, 29), "vilest")      # lift of about 20, in many contexts in both classes
+        if y[i] and i % 3:
+            w += ["such", "grubnix"]        # always behind the same word
+        text[i] = " ".join(w)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    model = fit(frame(spark, list(text.items())), labels)
+    assert {"vilest", "grubnix"} <= set(model.index.number)
+    assert model.score("a vilest b")[0] > model.score("a calm b")[0]
+
+
 def test_toxicity_edge_rows(spark):
     df = frame(spark, edge_rows())
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None), (999, 1), (4, 1)], "doc_id long, toxic int")

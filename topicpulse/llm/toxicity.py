@@ -15,7 +15,6 @@ on into a probability.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter, defaultdict
 from itertools import chain
 
@@ -185,18 +184,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         def work(texts):
             for x in texts:
                 counts: Counter = Counter()
-                before: dict[str, int] = defaultdict(int)       # term -> a bit for each word in front, by hash
                 w = words_of(x)
-                for (word, front), own in Counter(zip(w, [b"", *w])).items():
+                for word, own in Counter(w).items():
                     for t in terms_of(word):
                         counts[t] += own
-                        before[t] |= 1 << zlib.crc32(front) % 63
-                yield list(counts), list(counts.values()), [before[t] for t in counts], len(w)
+                yield list(counts), list(counts.values()), len(w)
         return work
 
     pairs = taught.select(F.struct("doc_id", "y", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
-    counted = map_texts(pairs, start, [("t", "array<string>"), ("c", "array<int>"), ("m", "array<bigint>"),
-                                      ("words", "bigint")]).select("doc_id.*", "t", "c", "m", "words").dropDuplicates(["y", "h"]).persist()
+    counted = map_texts(pairs, start, [("t", "array<string>"), ("c", "array<int>"),
+                                      ("words", "bigint")]).select("doc_id.*", "t", "c", "words").dropDuplicates(["y", "h"]).persist()
     try:
         size = {r["y"]: r["n"] for r in counted.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         n1, n0 = size.get(1, 0), size.get(0, 0)
@@ -205,10 +202,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         chi2 = total * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / (
             (a + b) * (total - a - b) * F.lit(float(n1 * n0) or 1.0))
         one = lambda y: F.when(F.col("y") == y, F.lit(1)).otherwise(0)      # noqa: E731
-        mask = lambda y: F.coalesce(F.bit_or(F.when(F.col("y") == y, F.col("m"))), F.lit(0))     # noqa: E731
-        terms = counted.select("y", F.explode(F.arrays_zip("t", "m")).alias("x")).select("y", "x.*").groupBy("t").agg(
-            F.least(F.sum(one(1)), F.bit_count(mask(1))).alias("a"),
-            F.least(F.sum(one(0)), F.bit_count(mask(0))).alias("b")) \
+        # numbers of examples, uncapped, so that lift and chi-squared mean the same at every size
+        terms = counted.select("y", F.explode("t").alias("t")).groupBy("t").agg(
+            F.sum(one(1)).alias("a"), F.sum(one(0)).alias("b")) \
             .where((F.col("a") >= SUPPORT) & (a * n0 >= LIFT * b * n1)) \
             .withColumn("chi2", chi2).where(F.col("chi2") >= CHI2) \
             .orderBy(F.desc("chi2"), "t").limit(TERMS).select("t").collect()
