@@ -207,6 +207,25 @@ def test_leaks_match_brute_force(spark):
     assert sorted(map(repr, (r["doc_id"] for r in left.collect()))) == sorted(repr(i) for i, _ in rows if i not in bad)
 
 
+def test_leaks_with_parts_far_apart_match_brute_force(spark):
+    rng = random.Random(21)
+    items = [(i, sentences(rng, 1 + i % 4)) for i in range(24)] + [(30, "Who? Me."), (31, sentences(rng, 30))]
+    items += [(40 + i, f"{words(rng, 26)}. {words(rng, 26)}.") for i in range(6)]       # either part is about a half
+    rows = []
+    for i, t in items:
+        parts = [s for s in D.SENTENCE.split(t) if s]
+        rows.append((i, (" " + words(rng, 210) + " ").join([" ".join(parts[:-1]), parts[-1]])))     # answer far away
+        rows.append((100 + i, (" " + words(rng, 210) + " ").join(parts)))       # every sentence far away
+        rows.append((200 + i, words(rng, 210) + " " + " ".join(parts[:-1])))    # the question alone
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.leaks(frame(spark, rows), bench)
+    want = brute_leaks(rows, items)
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got.collect()), key=repr) == want
+    assert any(r["score"] < .6 for r in got.collect())
+    left = {r["doc_id"] for r in D.without_leaks(frame(spark, rows), bench).collect()}
+    assert left == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_leaks_in_shards_and_of_nothing(spark, monkeypatch):
     rng = random.Random(12)
     items = [(i, sentences(rng, 3)) for i in range(9)]

@@ -8,7 +8,10 @@ segment as a share of the weight of the whole segment, so one threshold holds fo
 all segments, and a passage retrieves every segment of which it has at least that
 share. A passage is first held against blocks of segments: where the largest
 impacts of its terms in a block don't add up to the threshold for any block, it
-is done; the others go through the postings by block-max WAND. What is retrieved is verified on the document's and the item's own words:
+is done; the others go through the postings by block-max WAND. A document that
+has the item in pieces, each in another passage, may have the threshold's share in
+none of them; so items of whose question it has enough shingles, wherever they
+stand, are retrieved, too, by the shingles' hashes. What is retrieved is verified on the document's and the item's own words:
 shingles of five words of the item's question (all sentences but the last) and
 of question and answer together must be in the document, 0.8 of them or more.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -96,6 +100,46 @@ class Index:
         self.block_of = np.array([b for x in largest for b in x], np.int64)
         self.max_of = np.array([m for x in largest for m in x.values()])
         self.checks: dict[int, tuple] = {}
+        self.shares: list[dict] = []        # term -> impact, by segment; made when it is first needed
+        # the shingles of the questions by hash, for each length
+        runs: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        self.n_runs = np.ones(len(items))
+        for k, (_, text) in enumerate(items):
+            own = shingles(question_answer(text)[0])
+            self.n_runs[k] = len(own) or 1
+            for s in own:
+                runs[len(s)][int(self.hashes(np.array([self.number[w] for w in s], np.int64), len(s))[0])].append(k)
+        self.runs = {}
+        for n, of in runs.items():
+            lists = [of[h] for h in sorted(of)]
+            known, low = np.array(sorted(of), np.uint64), np.zeros(1 << 16, bool)
+            low[known & np.uint64(0xFFFF)] = True
+            self.runs[n] = (known, np.cumsum([0, *map(len, lists)]), np.array([k for x in lists for k in x], np.int64), low)
+
+    @staticmethod
+    def hashes(ids: np.ndarray, n: int) -> np.ndarray:
+        """A hash of each run of n term numbers."""
+        m = len(ids) - n + 1
+        h, x = np.full(max(m, 0), n, np.uint64), ids.astype(np.uint64)
+        for k in range(n if m > 0 else 0):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += x[k:k + m]
+        return h ^ h >> np.uint64(32)
+
+    def scattered(self, ids: np.ndarray, overlap: float) -> list[int]:
+        """Items (and by equal hashes perhaps a few more) of whose question's shingles the document has that share."""
+        found = np.zeros(len(self.items))
+        for n, (known, first, items, low) in self.runs.items():
+            h = self.hashes(ids, n)
+            h = np.unique(h[low[h & np.uint64(0xFFFF)]])        # most are none's
+            if not len(h):
+                continue
+            at = np.searchsorted(known, h)
+            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h)]
+            size = first[at + 1] - first[at]
+            places = np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            found += np.bincount(items[places], minlength=len(found))
+        return np.flatnonzero((found > 0) & (found / self.n_runs >= overlap - 1e-9)).tolist()
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(segment, score) of every segment whose impacts of the terms add up to the threshold."""
@@ -158,8 +202,11 @@ class Index:
             at = moved
         return found
 
-    def candidates(self, words: list[bytes], threshold: float) -> dict[int, float]:
-        """Item number -> best score over the document's passages and the item's segments."""
+    def candidates(self, words: list[bytes], threshold: float, overlap: float) -> dict[int, float]:
+        """Item number -> best score over the document's passages and the item's segments.
+
+        Of the items that reach the threshold or have the overlap's share of their question in the document.
+        """
         none = len(self.number)
         ids = np.fromiter((self.number.get(w, none) for w in words), np.int64, len(words))
         if not len(ids) or (ids == none).all():
@@ -175,6 +222,28 @@ class Index:
                 for segment, score in self.wand(terms, threshold):
                     item = self.item_of[segment]
                     best[item] = max(best.get(item, 0.0), score)
+        for item in self.scattered(ids, overlap):
+            if item not in best:
+                best[item] = self.best_score(item, ids, before, starts)
+        return best
+
+    def best_score(self, item: int, ids, before, starts) -> float:
+        """The largest share of one of the item's segments that a passage has."""
+        if not self.shares:
+            self.shares = [{} for _ in self.item_of]
+            for t, (docs, impacts) in enumerate(zip(self.docs, self.impacts)):
+                for d, x in zip(docs, impacts):
+                    self.shares[d][t] = x
+        best = 0.0
+        for segment in range(bisect_left(self.item_of, item), bisect_right(self.item_of, item)):
+            share = np.zeros(len(self.number) + 1)
+            share[list(self.shares[segment])] = list(self.shares[segment].values())
+            for k in range(0, len(starts), 512):
+                own = starts[k:k + 512, None]
+                at = own + np.arange(PASSAGE)[None, :]
+                inside = at < len(ids)
+                at = np.minimum(at, len(ids) - 1)
+                best = max(best, float((share[ids[at]] * (inside & (before[at] < own))).sum(1).max()))
         return best
 
     def promising(self, ids, before, starts, threshold: float):
@@ -207,7 +276,7 @@ class Index:
     def leaks(self, text: str | None, threshold: float, overlap: float) -> list[tuple]:
         """(item id, score, question share, answer share) of every item the text gives away."""
         words = words_of(text)
-        found = self.candidates(words, threshold)
+        found = self.candidates(words, threshold, overlap)
         if not found:
             return []
         shorter = {n for item in found for n in map(len, self._runs(item))} | {5}
@@ -253,7 +322,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
           overlap: float = 0.8) -> DataFrame:
     """(id, item_id, score, question_overlap, answer_overlap): one row for each document and item it gives away.
 
-    ``score``: the largest share of a segment's BM25 weight that one passage has.
+    ``score``: the largest share of a segment's BM25 weight that one passage has;
+    below ``threshold`` where the item's parts are spread over several passages.
     Null and empty texts give nothing away, null and empty items can't be given
     away. Rows are judged one by one, so repeated rows give repeated results; ids
     may be null. No documents or no items: an empty result. Documents are not
