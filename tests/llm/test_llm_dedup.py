@@ -77,6 +77,18 @@ def test_one_document_of_each_group_stays(spark):
     assert got.where("doc_id is null").count() == 2
 
 
+def test_groups_that_share_an_id_each_keep_one(spark):
+    rng = random.Random(17)
+    a, b, x, y = (words(rng, 80) for _ in range(4))
+    rows = [(10, a), (10, b), (3, x), (20, x), (20, y), (25, x), (30, a), (10, b)]
+    for order in (rows, rows[::-1]):
+        got = collected(keep_one(frame(spark, order)).select("doc_id", "text"))
+        assert got == sorted([(10, a), (10, b), (3, x), (20, y)], key=repr)
+    # of one group's rows with the smallest id one stays, the same in any order
+    got = [collected(keep_one(frame(spark, o)).select("doc_id", "text")) for o in ([(1, a), (1, a + " ")], [(1, a + " "), (1, a)])]
+    assert got[0] == got[1] and len(got[0]) == 1
+
+
 def brute_spans(rows):
     """Expected (id, text, n_sentences, n_removed): every span that is long enough but shorter at one end isn't."""
     out, seen = [], {}

@@ -18,7 +18,7 @@ from itertools import islice
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_and_text, map_texts, utf8, written
+from .common import fresh, id_and_text, map_texts, utf8, written
 from .components import components
 
 SEED = 42
@@ -81,6 +81,17 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         .select("a", "b")
 
 
+def groups(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of ``fps(doc_id, fp)``; root names the component for sure."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    tree = components(links(fps.select("fp").distinct(), distance), "simhash-links")
+    tree = written(nodes.join(tree, nodes.fp == tree.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-nodes")
+    # written, so that a component that fills a partition of the join can be split
+    ids = written(tree.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
+    return tree.join(ids, "root").select("fp", "root", "component_id")
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                        distance: int = 3) -> DataFrame:
     """(id, fingerprint, component_id), one row per input row.
@@ -95,14 +106,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty result.
     """
     fps = written(fingerprints(df, id_col, text_col, words), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    tree = components(links(fps.select("fp").distinct(), distance), "simhash-links")
-    tree = written(nodes.join(tree, nodes.fp == tree.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-nodes")
-    # written, so that a component that fills a partition of the join can be split
-    ids = written(tree.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
-    of = tree.join(ids, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select(
+    return fps.join(groups(fps, distance).drop("root"), "fp").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -110,10 +114,19 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
              distance: int = 3) -> DataFrame:
     """The rows of ``df``, all columns, of which each component keeps the one with the smallest id.
 
-    Of several rows with that id one stays. Rows without an id can't be named as
-    copies and stay.
+    Of several rows of a component with that id the one whose text has the smallest
+    digest stays. Rows of other components stay, whatever ids they share. Rows
+    without an id can't be named as copies and stay.
     """
-    named = simhash_components(df, id_col, text_col, words, distance)
-    first = named.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return df.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col]) \
-        .unionByName(df.where(F.col(id_col).isNull())).select(df.columns)
+    digest = F.coalesce(F.sha2(F.col(f"`{text_col}`").cast("binary"), 256), F.lit(""))
+    texts = df.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), digest.alias("digest")).alias("doc_id"),
+                      F.col(f"`{text_col}`").alias("text"))
+    fps = written(fingerprints(texts, words=words).select("doc_id.*", "fp"), "simhash")
+    # equal texts are in the same component, so a digest and an id name one component's row
+    mark = fresh(df, "digest")
+    first = fps.join(groups(fps, distance), "fp").where(F.col("doc_id") == F.col("component_id")) \
+        .groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("x")) \
+        .select(F.col("x.doc_id").alias(id_col), F.col("x.digest").alias(mark))
+    return df.where(F.col(f"`{id_col}`").isNotNull()).withColumn(mark, digest) \
+        .join(first, [id_col, mark], "left_semi").dropDuplicates([id_col, mark]).select(df.columns) \
+        .unionByName(df.where(F.col(f"`{id_col}`").isNull()))
