@@ -15,7 +15,7 @@ from topicpulse.llm.byte_bpe import read_ranks
 from topicpulse.llm.queries import ORACLE, QUERIES, tokenizer_file
 
 from conftest import ROOT, SF_SMALL
-from test_llm_dedup import brute_components, brute_leaks, brute_spans
+from test_llm_dedup import brute_leaks, brute_spans, first_of_each
 
 sys.path.insert(0, os.path.join(ROOT, "scripts"))
 from check_oracle import rows_of, type_diff  # noqa: E402
@@ -41,8 +41,7 @@ def test_pipeline_matches_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
     docs = [(i, t) for i, t in docs if all(r.passes(R.Profile(t)) for r in R.RULES)]
-    keep = {i for i, _, c in brute_components(docs) if i == c}
-    docs = [(i, t) for i, t, _, _ in brute_spans([d for d in docs if d[0] in keep])]
+    docs = [(i, t) for i, t, _, _ in brute_spans(first_of_each(docs))]
     leaked = {i for i, _ in brute_leaks(docs, items)}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, special_tokens={},
                             mergeable_ranks=read_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken")))
