@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import encode_decode
 from .common import table
 from .decontaminate import leaks
+from .filter_audit import SQL as AUDIT_SQL, filter_audit
 from .license_scan import scan
 from .quality_model import quality_scores
 from .quality_rules import SQL as QUALITY_SQL, quality_figures
@@ -85,3 +86,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+@register
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_filter_audit"] = AUDIT_SQL.strip()
