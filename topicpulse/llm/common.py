@@ -51,12 +51,12 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], Iterable[tuple]]],
-              columns: list[tuple[str, str]]) -> DataFrame:
+              columns: list[tuple[str, str]], with_ids: bool = False) -> DataFrame:
     """One output row per row of ``docs(doc_id, text)``, in Arrow batches, without a shuffle.
 
     ``start()`` runs once per task and returns a function from a batch's texts to
     one tuple per text. The id column is passed through untouched (nulls and 64-bit
-    ids stay exact). ``columns`` are (name, Spark type) of the tuples.
+    ids stay exact); the function gets (id, text) pairs ``with_ids``. ``columns`` are (name, Spark type) of the tuples.
     """
     types = [ARROW[t] for _, t in columns]
     names = ["doc_id"] + [n for n, _ in columns]
@@ -64,7 +64,8 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], Iterable[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            rows = iter(work(batch.column(1).to_pylist()))
+            given = batch.column(1).to_pylist()
+            rows = iter(work(list(zip(batch.column(0).to_pylist(), given)) if with_ids else given))
             at = 0
             while some := list(islice(rows, OUT_ROWS)):     # results leave in small batches
                 yield pa.RecordBatch.from_arrays(

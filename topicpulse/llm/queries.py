@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import leaks
 from .filter_audit import SQL as AUDIT_SQL, filter_audit
 from .license_scan import scan
+from .periodic_runs import periodic_runs
 from .quality_model import quality_scores
 from .quality_rules import SQL as QUALITY_SQL, quality_figures
 from .simhash import simhash_components
@@ -88,6 +89,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 @register
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
