@@ -10,6 +10,7 @@ from .byte_bpe import encode_decode
 from .common import table
 from .decontaminate import leaks
 from .filter_audit import SQL as AUDIT_SQL, filter_audit
+from .html_extract import extract
 from .license_scan import scan
 from .periodic_runs import periodic_runs
 from .quality_model import quality_scores
@@ -89,6 +90,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+@register
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @register
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), plant=True)
