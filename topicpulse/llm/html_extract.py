@@ -354,8 +354,12 @@ def boilerplate(pages: DataFrame, limit: int = SHARD) -> DataFrame:
     one = pages.groupBy("host", "d").agg(F.first("stream").alias("stream"))
     sizes = pages.groupBy("host").agg(F.sum(F.size("stream")).alias("tokens"))
     shards = F.coalesce(F.ceil(F.col("tokens") / limit).cast("int"), F.lit(1))
-    dealt = one.join(sizes.where(F.col("tokens") > limit), "host", "left").withColumn("shards", shards).select(
-        "host", F.pmod(F.xxhash64("d"), F.col("shards")).cast("int").alias("shard"), "d", "shards", "stream")
+    # a hot host's pages meet its size under as many salts as there are partitions
+    salts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = sizes.where(F.col("tokens") > limit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = one.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(salts)).cast("int")) \
+        .join(large, ["host", "salt"], "left").withColumn("shards", shards).select(
+            "host", F.pmod(F.xxhash64(F.lit(1), "d"), F.col("shards")).cast("int").alias("shard"), "d", "shards", "stream")
     rows = written(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "d").mapInArrow(
         lambda batches: shard_arrays(batches, limit), "host string, w bigint, shard int, d binary, a int, b int"), "host-arrays")
     inside = rows.where("b is not null").select("d", "a", "b")
