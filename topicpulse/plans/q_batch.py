@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import aggregates as A
 from ..operators import alerts as AL
+from ..operators import partials as P
 from ..operators.anomaly import anomalies, rolling_zscore
+from ..session import new_folder
 from ..sources.tables import AS_OF
 from ..sources.testdata import scored_from_events
 from .catalog import register
@@ -38,6 +42,38 @@ def q_source_breakdown(spark, base):
     return A.source_breakdown(_scored(spark, base))
 
 
+def _states(spark, base):
+    """Partial states of the event posts as a stream would have stored them: batches of ten days, errors three days late."""
+    s = _scored(spark, base)
+    arrival = F.col("processed_at") + F.when(F.col("topic") == "error", F.expr("INTERVAL 3 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    store = P.state_store(spark, new_folder(spark, "partials"), fanout=2)
+    for n, (a, b) in enumerate([("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")]):
+        part = s.where((arrival >= F.to_timestamp(F.lit(a))) & (arrival < F.to_timestamp(F.lit(b))))
+        store.append(P.partial_states(part), n)
+    return store.read()
+
+
+@register("incremental_topic_aggregates", with_(SCORED, TOPIC_AGG) + "SELECT * FROM topic_aggs")
+def q_incremental_topic_aggregates(spark, base):
+    return P.topic_aggregates_of(_states(spark, base))
+
+
+@register("incremental_hourly_trends", with_(SCORED, HOURLY) + """
+SELECT * FROM hourly WHERE hour >= '2024-01-21 00:00:00'""")
+def q_incremental_hourly_trends(spark, base):
+    return P.hourly_trends_of(P.lookback_states(_states(spark, base), AS_OF, 240))
+
+
+@register("incremental_source_breakdown", with_(SCORED) + f"""
+SELECT topic, subreddit, {AVG_E4.format(c='sentiment_e4')} AS avg_sentiment, count(*) AS post_count,
+       {MEAN.format(c='score')} AS avg_reddit_score
+FROM scored WHERE processed_at >= TIMESTAMP '2024-01-21 00:20:00' GROUP BY 1, 2""")
+def q_incremental_source_breakdown(spark, base):
+    """A look-back that begins within an hour: the rest of that hour comes from the posts."""
+    as_of = AS_OF + dt.timedelta(minutes=20)
+    return P.source_breakdown_of(P.lookback_states(_states(spark, base), as_of, 240, _scored(spark, base)))
+
+
 @register("rolling_zscore", with_(SCORED, HOURLY, ZSCORES) + "SELECT * FROM zscores")
 def q_rolling_zscore(spark, base):
     return rolling_zscore(A.hourly_trends(_scored(spark, base)))

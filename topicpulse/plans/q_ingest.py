@@ -12,10 +12,12 @@ from ..sources.tables import AS_OF, scan_lookback
 from ..sources.testdata import comments_from_conversations, posts_from_documents, scored_from_events, \
     topics_from_documents
 from ..functions.wordlists import DEFAULT_TOPICS
-from ..streaming.sinks import insert_new_only, upsert_latest
+from ..session import new_folder
+from ..streaming.sinks import id_store, insert_new_only, publish_views, read_view, upsert_latest
 from .catalog import register
-from .sql import AVG_E4, SCORED, with_
+from .sql import AVG_E4, SCORED, TOPIC_AGG, with_
 
+AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 SPLIT = "TIMESTAMP '2024-01-16 00:00:00'"
 OVERLAP = "TIMESTAMP '2024-01-14 00:00:00'"
 SPLIT_TS, OVERLAP_TS = "2024-01-16 00:00:00", "2024-01-14 00:00:00"
@@ -115,6 +117,45 @@ def q_insert_new_only_bucketed(spark, base):
     return insert_new_only(stored, incoming, 1).select("post_id", "topic", "processed_at", "batch_id")
 
 
+MICRO_BATCHES = 4
+
+
+def _micro_batches(spark, base):
+    """Crawl batches of the event posts, ten days each; each begins two days before the last one's end."""
+    s = scored_from_events(spark, base)
+    begin = lambda n: F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.expr(f"INTERVAL {8 * n} DAYS")
+    return [s.where((F.col("processed_at") >= begin(n)) & (F.col("processed_at") < begin(n) + F.expr("INTERVAL 10 DAYS")))
+            for n in range(MICRO_BATCHES)]
+
+
+@register("id_store_batches", with_(SCORED) + f""",
+slots AS (SELECT unnest(range({MICRO_BATCHES})) AS n)
+SELECT post_id, min(n)::BIGINT AS batch_id FROM scored, slots
+WHERE processed_at >= TIMESTAMP '2024-01-01 00:00:00' + to_days((8 * n)::INT)
+  AND processed_at < TIMESTAMP '2024-01-11 00:00:00' + to_days((8 * n)::INT)
+GROUP BY post_id""")
+def q_id_store_batches(spark, base):
+    """A7 through the id store: overlapping micro-batches, one of them replayed, with compaction between them."""
+    store = id_store(spark, new_folder(spark, "id-store"), fanout=2)
+    batches = _micro_batches(spark, base)
+    for n, batch in enumerate([*batches, batches[-1]]):
+        n = min(n, MICRO_BATCHES - 1)
+        store.append(insert_new_only(store.read(), batch, n), n)
+    return store.read().select("post_id", "batch_id")
+
+
+@register("published_aggregates", with_(SCORED, TOPIC_AGG) + f"""
+SELECT topic, avg_sentiment, total_posts, {AS_OF_SQL} AS period_end FROM topic_aggs""")
+def q_published_aggregates(spark, base):
+    """Topic aggregates published for half of the posts, then again for all; what readers see."""
+    s, out = scored_from_events(spark, base), new_folder(spark, "views")
+    for part in (s.where(F.col("processed_at") < F.to_timestamp(F.lit(SPLIT_TS))), s):
+        publish_views({"topic_aggregates": A.topic_aggregates(part).withColumns({
+            "period_start": F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 30 DAYS"),
+            "period_end": F.lit(AS_OF).cast("timestamp"), "created_at": F.lit(AS_OF).cast("timestamp")})}, out, AS_OF)
+    return read_view(spark, out, "topic_aggregates").select("topic", "avg_sentiment", "total_posts", "period_end")
+
+
 def _daily(df, created_shift: str):
     agg = A.topic_aggregates(df.withColumn("period_start", F.date_trunc("day", "processed_at")),
                              by=["topic", "period_start"])

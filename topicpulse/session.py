@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -58,6 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that isn't there yet, below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder, e.g. for stream checkpoints."""
     return os.path.join(ensure_checkpoint_dir(spark), name)

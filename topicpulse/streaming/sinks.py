@@ -1,19 +1,21 @@
 """Sinks and the stores behind them (A6-A11), as parquet tables.
 
 Stores are append/overwrite tables partitioned by a batch or period key, so each
-write is idempotent: replaying a micro-batch rewrites exactly its own partition.
+write is idempotent: replaying a micro-batch rewrites exactly its own partition. The id index (A7)
+and the batch views (A8) are kept by ``store``: new folders, named by a manifest that is written last.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_if_there
+from .store import SegmentStore, ViewStore
 
 DEFAULT_TTL_SECONDS = 300
 DEFAULT_HISTORY = 1001
@@ -36,9 +38,10 @@ def realtime_snapshot(history_df: DataFrame, as_of, ttl_seconds: int = DEFAULT_T
     fresh = history_df.where(F.col("updated_at") > cutoff)
     if "dt" in history_df.columns:  # day-partitioned store: prune to the days the TTL reaches
         fresh = fresh.where(F.col("dt") >= F.to_date(cutoff))
-    latest = fresh.groupBy("topic").agg(F.max_by(F.struct("avg_sentiment", "count"), "updated_at").alias("s"),
-                                        F.max("updated_at").alias("updated_at"))
-    return latest.select("topic", "s.avg_sentiment", "s.count", "updated_at")
+    # the greatest (time, batch, count, average): of snapshots with one time always the same one
+    order = [c for c in ("updated_at", "batch_id", "count", "avg_sentiment") if c in history_df.columns]
+    latest = fresh.groupBy("topic").agg(F.max(F.struct(*order)).alias("s"))
+    return latest.select("topic", "s.avg_sentiment", "s.count", "s.updated_at")
 
 
 def history(history_df: DataFrame, limit: int = 100, keep: int = DEFAULT_HISTORY,
@@ -49,7 +52,9 @@ def history(history_df: DataFrame, limit: int = 100, keep: int = DEFAULT_HISTORY
     if limit > max_limit:
         raise ValueError(f"limit must be at most {max_limit}")
     k = min(int(limit), int(keep))
-    w = Window.partitionBy("topic").orderBy(F.desc("updated_at"))
+    # of equal times the larger batch, then count and average come first: any two rows that differ have an order
+    more = [F.desc(c) for c in ("batch_id", "count", "avg_sentiment") if c in history_df.columns]
+    w = Window.partitionBy("topic").orderBy(F.desc("updated_at"), *more)
     return history_df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
@@ -74,15 +79,17 @@ def insert_new_only(stored: DataFrame, batch_df: DataFrame, batch_id: int, key:
     (first by ``order`` wins), ids already stored by *other* batches dropped. Stored rows
     of the same batch id are ignored, so a replay recomputes the same partition.
 
-    When the store is partitioned by ``id_bucket`` only the buckets of this batch's ids
+    When the store is sorted or partitioned by ``id_bucket`` only the buckets of this batch's ids
     are read: their set has at most ``buckets`` small integers, so it is collected and
-    becomes a partition filter (static pruning of the ever-growing store)."""
+    becomes a filter that skips files and row groups of the ever-growing store (unless the batch
+    touches so many buckets that there is little to skip)."""
     order = order or [F.col("processed_at"), F.col(key)]
     dedup = latest_per_key(batch_df, [key], order).withColumn("id_bucket", id_bucket(key, buckets))
     others = stored.where(F.col("batch_id") != batch_id)
     if "id_bucket" in stored.columns:
         touched = [r[0] for r in dedup.select("id_bucket").distinct().collect()]  # <= buckets values
-        others = others.where(F.col("id_bucket").isin(touched))
+        if len(touched) <= buckets // 8:
+            others = others.where(F.col("id_bucket").isin(touched))
         cond = [key, "id_bucket"]
     else:
         cond = [key]
@@ -108,51 +115,67 @@ def with_dt(df: DataFrame, ts_col: str) -> DataFrame:
     return df.withColumn("dt", F.to_date(F.col(ts_col)))
 
 
-def read_or_empty(spark, path: str, schema) -> DataFrame:
-    """The table at ``path``; a path that isn't there (or has no data file yet) reads as empty.
-    Any other failure, such as a damaged file, is raised."""
-    return read_if_there(spark, path) or spark.createDataFrame([], schema)
+IDS_SCHEMA = "post_id string, id_bucket int, batch_id bigint"
 
 
-IDS_SCHEMA = "post_id string, id_bucket int, batch_id bigint"
+def id_store(spark: SparkSession, out: str, fanout: int = 8) -> SegmentStore:
+    """The ids of all stored results below ``out/ids``: few compacted segments, sorted by id bucket."""
+    return SegmentStore(spark, os.path.join(out, "ids"), IDS_SCHEMA, by=["id_bucket", "post_id"], fanout=fanout)
 
 
 def sink_results(batch_df: DataFrame, batch_id: int, out: str) -> DataFrame:
     """A7 write: this batch's new rows go to ``out/results`` (partitioned by day, then
-    batch: look-back scans prune by day) and their ids to ``out/ids`` (partitioned by id
-    bucket, then batch: the next batches' dedupe reads only the buckets they touch). Returns
+    batch: look-back scans prune by day) and their ids to the id store (sorted by id
+    bucket: the next batches' dedupe skips files and row groups of buckets that they don't touch). Returns
     the inserted rows, persisted; the caller releases them."""
-    spark = batch_df.sparkSession
-    ids_path = os.path.join(out, "ids")
-    stored = read_or_empty(spark, ids_path, IDS_SCHEMA)
-    new = insert_new_only(stored, batch_df, batch_id).drop("batch_id").persist(StorageLevel.MEMORY_AND_DISK)
-    write_batch_partition(with_dt(new.drop("id_bucket"), "processed_at"), os.path.join(out, "results"), batch_id)
-    write_batch_partition(new.select("post_id", "id_bucket"), ids_path, batch_id, by=["id_bucket"])
+    ids = id_store(batch_df.sparkSession, out)
+    new = insert_new_only(ids.read(), batch_df, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        write_batch_partition(with_dt(new.drop("id_bucket", "batch_id"), "processed_at"), os.path.join(out, "results"), batch_id)
+        ids.append(new, batch_id)
+    except BaseException:
+        new.unpersist()
+        raise
     return new
 
 
-def publish_views(views: dict[str, DataFrame], out: str, batch_time) -> None:
-    """A8 write: topic aggregates are upserted by (topic, period_start) into the folder of their
-    batch's period; the other views replace the folder of ``batch_time``, also with nothing, so
-    that a re-run leaves no rows of the earlier one."""
+def batch_key(batch_time) -> str:
+    """The key of one batch's version of the views."""
+    return re.sub(r"\D", "", str(batch_time))[:14].ljust(14, "0")
+
+
+def publish_views(views: dict[str, DataFrame], out: str, batch_time,
+                  derived: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """A8 write: topic aggregates are upserted by (topic, period_start) into their batch's version; the
+    other views of ``batch_time`` are replaced, also with nothing, so that a re-run leaves no rows of the
+    earlier one. ``derived`` makes further views of those that are written but not yet published. All are
+    published at once by one manifest: whoever reads meanwhile, or after a crash at any step, has the state before. Returns the published views."""
     spark = next(iter(views.values())).sparkSession
+    store, key = ViewStore(spark, out), batch_key(batch_time)
+    after = store.manifests.newest()[0]
     ts = F.lit(batch_time).cast("timestamp")
-    for name, df in views.items():
-        path = view_path(out, name, batch_time)
-        if name == "topic_aggregates":
-            stored = read_if_there(spark, path)
-            if stored is not None:
-                # one row for each topic; checkpointed as it is written over the files it is read from
-                df = upsert_latest(stored, df, ["topic", "period_start"]).checkpoint()
-        else:
-            df = df.withColumn("batch_time", ts)
-        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-
-
-def view_path(out: str, name: str, batch_time) -> str:
-    """The folder of one batch's rows of a view; the name is that of a partition of the view's table."""
-    key = re.sub(r"\D", "", str(batch_time))[:14].ljust(14, "0")
-    return os.path.join(out, name, f"batch_key={key}")
+
+    def stage(some: dict[str, DataFrame]) -> dict[str, str]:
+        folders = {}
+        for name, df in some.items():
+            if name == "topic_aggregates":
+                stored = store.read(name, key)
+                df = df if stored is None else upsert_latest(stored, df, ["topic", "period_start"])
+            else:
+                df = df.withColumn("batch_time", ts)
+            folders[name] = store.stage(df, name, key)
+        return folders
+
+    folders = stage(views)
+    if derived is not None:
+        folders |= stage(derived({v: store.staged(f) for v, f in folders.items()}))
+    store.publish(folders, key, after)
+    return {v: store.staged(f) for v, f in folders.items()}
+
+
+def read_view(spark: SparkSession, out: str, name: str, batch_time=None) -> DataFrame | None:
+    """The published rows of a view, of one batch or of all; None if there are none."""
+    return ViewStore(spark, out).read(name, None if batch_time is None else batch_key(batch_time))
 
 
 def sink_parquet(stream_df: DataFrame, path: str, checkpoint: str, trigger_seconds: int = 30,

@@ -3,9 +3,10 @@
 One query: bus -> decode (stateless, in the stream plan; ``processed_at`` stamped
 there, once) -> ``foreachBatch``. Inside, the micro-batch is persisted once and fed
 to the same batch operators the hourly job uses: per-post scoring, the result
-store (A7: results by day, ids by id bucket), the per-topic snapshot/history store
-(D5 -> A9/A10), post alerts (F1) and the rejected records. Every target is written to
-its ``batch_id=N`` partitions (under a day or id-bucket partition) with dynamic overwrite, so a replayed batch (after a failure between the write and
+store (A7: results by day, ids in a compacted store), the per-topic snapshot/history store
+(D5 -> A9/A10), post alerts (F1), the partial states of D1-D3 and the rejected records. Every target is written to
+its ``batch_id=N`` partitions (under a day partition) with dynamic overwrite, or as the batch's own segment of a
+store, so a replayed batch (after a failure between the write and
 the checkpoint commit) rewrites the same rows instead of duplicating them.
 Errors propagate, so a failed batch is not committed (decision D-10).
 """
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import microbatch_stats
 from ..operators.alerts import post_alerts
 from ..operators.ingest import dedupe
+from ..operators.partials import partial_states, state_store
 from ..plans.scoring import score_posts
 from ..session import checkpoint_path
 from ..sources.bus import decode_posts
@@ -44,13 +46,17 @@ def process_batch(batch_df: DataFrame, batch_id: int, out: str, lexicon: DataFra
         scored = score_posts(valid, lexicon, stopwords, entity_stopwords).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             new = sink_results(scored, batch_id, out)
-            batch_time = scored.agg(F.max("processed_at")).first()[0]  # one row: the batch stamp
-            if batch_time is not None:
-                write_batch_partition(with_dt(microbatch_stats(scored, batch_time), "updated_at"),
-                                      os.path.join(out, "history"), batch_id)
-            # alerts of inserted posts only: a post that comes again alerts once
-            write_batch_partition(with_dt(post_alerts(new), "timestamp"), os.path.join(out, "alerts"), batch_id)
-            new.unpersist()
+            try:
+                # snapshots, partial states and alerts of the inserted posts only: they agree with the stored
+                # results, and a post that comes again counts and alerts once
+                batch_time = new.agg(F.max("processed_at")).first()[0]  # one row: the batch stamp
+                if batch_time is not None:
+                    write_batch_partition(with_dt(microbatch_stats(new, batch_time), "updated_at"),
+                                          os.path.join(out, "history"), batch_id)
+                write_batch_partition(with_dt(post_alerts(new), "timestamp"), os.path.join(out, "alerts"), batch_id)
+                state_store(batch_df.sparkSession, os.path.join(out, "partials")).append(partial_states(new), batch_id)
+            finally:
+                new.unpersist()
         finally:
             scored.unpersist()
     finally:
