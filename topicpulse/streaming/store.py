@@ -43,10 +43,7 @@ class Files:
         at = self.path(folder)
         if not self.fs.exists(at):
             return []
-        # one string for the whole listing instead of a call for every name
-        paths = self.jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(self.fs.listStatus(at))
-        listed = self.jvm.org.apache.commons.lang3.StringUtils.join(paths, "\n")
-        return sorted(p.rsplit("/", 1)[-1] for p in listed.split("\n") if p)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(at))
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
