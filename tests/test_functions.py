@@ -148,6 +148,26 @@ def compound(s):
     ("good????", compound(1.9 + 0.96)),
     ("least good", compound(1.9 * -0.74)),
     ("at least good", compound(1.9)),
+    # phrases and "never so", "without doubt"
+    ("kind of good", compound(1.9 - 0.293)),
+    ("kind of a good", compound(1.9 - 0.293)),                       # a one-letter word is no token
+    ("kind of the good", compound(1.9 - 0.293 * 0.95)),
+    ("Sort, of GOOD stuff", compound(1.9 + 0.733 - 0.293)),
+    ("kind good of", compound(1.9)),
+    ("never good", compound(1.9 * -0.74)),
+    ("never so good", compound((1.9 + 0.293) * 1.25)),
+    ("never this good", compound(1.9 * 1.25)),
+    ("never was so good", compound((1.9 + 0.293) * 1.25)),
+    ("never was good", compound(1.9 * -0.74)),
+    ("without doubt good", compound(1.9)),
+    ("without any doubt good", compound(1.9)),
+    ("without good", compound(1.9 * -0.74)),
+    ("not without doubt good", compound(1.9 * -0.74)),
+    ("kiss of death", compound(-1.5)),
+    ("not the kiss of death", compound(-1.5 * -0.74)),
+    ("very bad ass", compound(1.5 + 0.293)),                         # the idiom's value, not that of "bad"
+    ("bad as such", compound(-2.5)),
+    ("to die for but the bomb", compound(3 * 0.5 + 3 * 1.5)),
 ])
 def test_lexicon_modifiers(spark, text, expected):
     from topicpulse.operators.lexicon import lexicon_scores

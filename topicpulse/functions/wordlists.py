@@ -83,6 +83,27 @@ BOOSTERS_DOWN_TEXT = """
 almost barely hardly kinda kindof kind-of less little marginally occasionally
 partly scarcely slightly somewhat sorta sortof sort-of
 """
+# phrases of the method: those that boost what follows, and idioms with a valence of their own
+PHRASE_BOOSTERS_DOWN_TEXT = """
+kind of
+sort of
+just enough
+"""
+IDIOMS_TEXT = """
+the shit 3
+the bomb 3
+bad ass 1.5
+bus stop 0
+yeah right -2
+cut the mustard 2
+kiss of death -1.5
+hand to mouth -2
+to die for 3
+beating heart 3.1
+broken heart -2.9
+"""
+NEVER_INTENSIFIERS = ("so", "this")
+NEVER_SCALAR = 1.25
 BOOST_INCREMENT = 0.293
 BOOST_DECREMENT = -0.293
 QUESTION_INCREMENT, QUESTION_LIMIT = 0.18, 0.96
@@ -154,6 +175,15 @@ def phrase_lines(text: str) -> list[str]:
     return [ln.strip() for ln in text.strip().splitlines() if ln.strip()]
 
 
+def phrases() -> list[tuple[str, str, float]]:
+    """(phrase, "boost" or "idiom", value) of the method's phrases."""
+    out = [(p, "boost", BOOST_DECREMENT) for p in phrase_lines(PHRASE_BOOSTERS_DOWN_TEXT)]
+    for ln in phrase_lines(IDIOMS_TEXT):
+        p, v = ln.rsplit(" ", 1)
+        out.append((p, "idiom", float(v)))
+    return out
+
+
 def seed_lexicon() -> list[tuple[str, float]]:
     out = []
     for ln in phrase_lines(SEED_LEXICON_TEXT):

@@ -10,6 +10,13 @@ beyond that one. (Measured at sf0.1, same JVM, alternating runs: computing the n
 windows over (post_id, pos) after the explode was 2-3x slower than the array index
 arithmetic, and shifted neighbour arrays zipped and exploded ~1.6x slower.)
 
+Phrases (``Params.phrases``) are a trie of two steps: a literal map from the first word to the phrases
+that begin with it, longest first, looked up once for each token; what follows is compared in the
+post's token array. A phrase that begins inside another one doesn't count. A "boost" phrase acts
+like a booster word that stands at its last word. The words of an "idiom" lose their own
+valences, its last word has the idiom's, with the modifiers of the words before its first. "never"
+before "so" or "this" strengthens instead of negating, "without doubt" does neither.
+
 compound = s / sqrt(s^2 + alpha); pos/neg/neu are the shares of
 sum(v + 1 | v > 0), |sum(v - 1 | v < 0)| and the count of neutral tokens.
 All constants are parameters (``Params``); defaults follow the published method.
@@ -18,6 +25,8 @@ All constants are parameters (``Params``); defaults follow the published method.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +53,9 @@ class Params:
     negators: tuple = field(default_factory=lambda: tuple(W.words(W.NEGATORS_TEXT)))
     boosters_up: tuple = field(default_factory=lambda: tuple(W.words(W.BOOSTERS_UP_TEXT)))
     boosters_down: tuple = field(default_factory=lambda: tuple(W.words(W.BOOSTERS_DOWN_TEXT)))
+    phrases: tuple = field(default_factory=lambda: tuple(W.phrases()))
+    never: float = W.NEVER_SCALAR
+    never_words: tuple = W.NEVER_INTENSIFIERS
 
 
 EDGE_PUNCT = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
@@ -62,8 +74,34 @@ def _in(words: tuple, c: Column) -> Column:
     return F.coalesce(c.isin(list(words)), F.lit(False))
 
 
+def phrase_starts(lcs: Column, p: Params) -> Column:
+    """For each token the longest phrase that begins there, as struct(words, kind, value, size), or null."""
+    by_first: dict[str, list] = {}
+    for phrase, kind, value in sorted(p.phrases, key=lambda x: (-len(x[0].split()), x[0])):
+        by_first.setdefault(phrase.lower().split()[0], []).append((phrase.lower().split(), kind, float(value)))
+    trie = F.create_map(*[x for first, found in by_first.items() for x in (F.lit(first), F.array(*[
+        F.struct(F.array(*map(F.lit, w)).alias("words"), F.lit(kind).alias("kind"), F.lit(value).alias("value"),
+                 F.lit(len(w)).alias("size")) for w, kind, value in found]))])
+    return F.transform(lcs, lambda lc, i: F.try_element_at(F.filter(
+        F.when(lc.isin(list(by_first)), F.try_element_at(trie, lc)),
+        lambda c: F.slice(lcs, i + 1, c["size"]) == c["words"]), F.lit(1)))
+
+
+def phrase_marks(starts: Column, longest: int) -> Column:
+    """For each token the phrase that covers it, as struct(kind, value, size, last); null where there is none."""
+    def mark(_, i):
+        covering = None
+        for d in range(longest - 1, -1, -1):        # the phrase that begins first
+            s = F.when(i >= d, F.element_at(starts, i - d + 1))
+            covering = (covering.when if covering is not None else F.when)(
+                s["size"] > d, F.struct(s["kind"].alias("kind"), s["value"].alias("value"), s["size"].alias("size"),
+                                        (s["size"] == d + 1).alias("last")))
+        return covering
+    return F.when(F.exists(starts, lambda s: s.isNotNull()), F.transform(starts, mark))
+
+
 def token_modifiers(posts: DataFrame, p: Params, text_col: str, key: str) -> DataFrame:
-    """One row per token: (key, emphasis, pos, lc, cap, boost, negated, least, but_w); ``emphasis`` is
+    """One row per token: (key, emphasis, pos, lc, cap, boost, negated, never, least, but_w, idiom); ``emphasis`` is
     what the post's "!" and "?" add (two and three "?" count each, more are worth the limit),
     carried on every token row so no join is needed."""
     toks = score_tokens(F.col(text_col))
@@ -75,24 +113,53 @@ def token_modifiers(posts: DataFrame, p: Params, text_col: str, key: str) -> Dat
     is_cap = lambda x: (x == F.upper(x)) & (x != F.lower(x))
     t = t.withColumn("cap_diff", F.exists("toks", is_cap) & ~F.forall("toks", is_cap)) \
          .withColumn("but_at", F.array_position("lcs", "but"))
-
-    def per_token(x, i):
-        # i is 0-based; element_at is 1-based, so element_at(lcs, i - k + 1) is the k-th previous token
+    if p.phrases:
+        # most posts have no phrase: a search for the bare words spares them all that follows
+        line = F.concat_ws(" ", "lcs")
+        some = reduce(or_, [F.contains(line, F.lit(x[0].lower())) for x in p.phrases])
+        t = t.withColumn("_starts", F.when(some, phrase_starts(F.col("lcs"), p)))
+        t = t.withColumn("_marks", phrase_marks(F.col("_starts"), max(len(x[0].split()) for x in p.phrases)))
+
+    def per_token(x, at, phrases):
+        # places are 0-based; element_at is 1-based, so element_at(lcs, i - k + 1) is the k-th token before i
+        i, mark = at, None
+        if phrases:
+            mark = F.element_at(F.col("_marks"), at + 1)
+            # an idiom's last word looks back from its first
+            i = F.when(F.coalesce((mark["kind"] == "idiom") & mark["last"], F.lit(False)), at - mark["size"] + 1).otherwise(at)
         prev = [F.when(i - k >= 0, F.element_at(F.col("lcs"), i - k + 1)) for k in (1, 2, 3)]
-        lc = F.element_at(F.col("lcs"), i + 1)
-        boost = sum((F.when(_in(p.boosters_up, prev[k]), F.lit(p.boost_up))
-                     .when(_in(p.boosters_down, prev[k]), F.lit(p.boost_down)).otherwise(F.lit(0.0))
-                     * p.decay[k]) for k in range(3))
-        neg = _in(p.negators, prev[0]) | _in(p.negators, prev[1]) | _in(p.negators, prev[2]) | \
-            F.coalesce(prev[0].endswith("n't"), F.lit(False))
+        lc = F.element_at(F.col("lcs"), at + 1)
+
+        def boost_of(k):
+            word = F.when(_in(p.boosters_up, prev[k]), F.lit(p.boost_up)) \
+                .when(_in(p.boosters_down, prev[k]), F.lit(p.boost_down))
+            if phrases:
+                before = F.when(i - k >= 1, F.element_at(F.col("_marks"), i - k))
+                word = F.when((before["kind"] == "boost") & before["last"], before["value"]).otherwise(word)
+            return F.coalesce(word, F.lit(0.0)) * p.decay[k]
+        boost = sum(boost_of(k) for k in range(3))
+        is_word = lambda k, *w: F.coalesce(prev[k].isin(*w), F.lit(False))     # noqa: E731
+        near = [is_word(k, *p.never_words) for k in (0, 1)]
+        doubt = [is_word(k, "doubt") for k in (0, 1)]
+        never = (is_word(1, "never") & near[0]) | (is_word(2, "never") & (near[0] | near[1]))
+        neg = _in(p.negators, prev[0]) | F.coalesce(prev[0].endswith("n't"), F.lit(False)) \
+            | (_in(p.negators, prev[1]) & ~(is_word(1, "never") & near[0]) & ~(is_word(1, "without") & doubt[0])) \
+            | (_in(p.negators, prev[2]) & ~(is_word(2, "never") & (near[0] | near[1]))
+               & ~(is_word(2, "without") & (doubt[0] | doubt[1])))
         least = F.coalesce((prev[0] == "least") & ~F.coalesce(prev[1].isin("at", "very"), F.lit(False)), F.lit(False))
         but_w = F.when(F.col("but_at") == 0, F.lit(1.0)) \
-                 .when(i + 1 < F.col("but_at"), F.lit(p.but_before)) \
-                 .when(i + 1 > F.col("but_at"), F.lit(p.but_after)).otherwise(F.lit(1.0))
-        return F.struct((i + 1).alias("pos"), lc.alias("lc"), (is_cap(x) & F.col("cap_diff")).alias("cap"),
-                        boost.alias("boost"), neg.alias("negated"), least.alias("least"), but_w.alias("but_w"))
+                 .when(at + 1 < F.col("but_at"), F.lit(p.but_before)) \
+                 .when(at + 1 > F.col("but_at"), F.lit(p.but_after)).otherwise(F.lit(1.0))
+        idiom = F.lit(None).cast("double") if mark is None else \
+            F.when(mark["kind"] == "idiom", F.when(mark["last"], mark["value"]).otherwise(F.lit(0.0)))
+        return F.struct((at + 1).alias("pos"), lc.alias("lc"), (is_cap(x) & F.col("cap_diff")).alias("cap"),
+                        boost.alias("boost"), neg.alias("negated"), never.alias("never"), least.alias("least"),
+                        but_w.alias("but_w"), idiom.alias("idiom"))
 
-    return t.select(key, "emphasis", F.explode(F.transform("toks", per_token)).alias("t")).select(key, "emphasis", "t.*")
+    rows = F.transform("toks", lambda x, at: per_token(x, at, False))
+    if p.phrases:
+        rows = F.when(F.col("_marks").isNull(), rows).otherwise(F.transform("toks", lambda x, at: per_token(x, at, True)))
+    return t.select(key, "emphasis", F.explode(rows).alias("t")).select(key, "emphasis", "t.*")
 
 
 def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None = None,
@@ -103,12 +170,13 @@ def lexicon_scores(posts: DataFrame, lexicon: DataFrame, params: Params | None =
     toks = token_modifiers(posts, p, text_col, key)
     lex = lexicon.select(F.lower("word").alias("lc"), F.col("valence").cast("double"))
     j = toks.join(lex, "lc", "left")
-    v0 = F.col("valence")
+    v0 = F.coalesce("idiom", "valence")
     sign = F.signum(v0)
     v = v0 + F.when(F.col("cap"), sign * p.caps).otherwise(0.0)
     v = v + F.col("boost") * sign
     v = F.when(F.col("least"), v * p.negation).otherwise(v)
     v = F.when(F.col("negated"), v * p.negation).otherwise(v)
+    v = F.when(F.col("never"), v * p.never).otherwise(v)
     v = F.coalesce(v * F.col("but_w"), F.lit(0.0))
     j = j.withColumn("v", v)
     agg = j.groupBy(key).agg(

@@ -241,24 +241,39 @@ def q_scored_posts(spark, base):
 
 
 # ---------------------------------------------------------- C4 oracle (SQL form)
-def lexicon_sql(src: str, text: str) -> str:
+def lexicon_sql(src: str, text: str, p=None) -> str:
     """SQL of ``lexicon_scores`` over CTE ``src`` with columns (post_id, ``text``); needs a
     ``lexicon(lc, valence)`` CTE. Produces CTE ``lex_scores``."""
     from ..operators.lexicon import EDGE_PUNCT, Params
-    p = Params()
+    p = p or Params()
     up, down, neg = sql_list(p.boosters_up), sql_list(p.boosters_down), sql_list(p.negators)
     edge = q(EDGE_PUNCT)
     is_cap = "(x = upper(x) AND x <> lower(x))"
 
     def prev(k):
-        return f"(CASE WHEN i - 1 - {k} >= 0 THEN lcs[i - {k}] END)"
+        return f"(CASE WHEN j - 1 - {k} >= 0 THEN lcs[j - {k}] END)"
 
     def b(k):
-        return (f"(CASE WHEN coalesce(list_contains({up}, {prev(k)}), false) THEN {p.boost_up}::DOUBLE "
+        return (f"(CASE WHEN j - {k} >= 1 AND ends[j - {k}].kind = 'boost' THEN ends[j - {k}].value "
+                f"WHEN coalesce(list_contains({up}, {prev(k)}), false) THEN {p.boost_up}::DOUBLE "
                 f"WHEN coalesce(list_contains({down}, {prev(k)}), false) THEN {p.boost_down}::DOUBLE "
                 f"ELSE 0.0::DOUBLE END) * {p.decay[k - 1]}::DOUBLE")
-    negated = " OR ".join(f"coalesce(list_contains({neg}, {prev(k)}), false)" for k in (1, 2, 3)) + \
-        f" OR coalesce(suffix({prev(1)}, 'n''t'), false)"
+    so = {k: f"coalesce(list_contains({sql_list(p.never_words)}, {prev(k)}), false)" for k in (1, 2)}
+    doubt = {k: f"coalesce({prev(k)} = 'doubt', false)" for k in (1, 2)}
+    beside = {2: (so[1], doubt[1]), 3: (f"({so[1]} OR {so[2]})", f"({doubt[1]} OR {doubt[2]})")}
+    negated = f"coalesce(list_contains({neg}, {prev(1)}), false) OR coalesce(suffix({prev(1)}, 'n''t'), false)" + "".join(
+        f" OR coalesce(list_contains({neg}, {prev(k)}) AND NOT ({prev(k)} = 'never' AND {beside[k][0]})"
+        f" AND NOT ({prev(k)} = 'without' AND {beside[k][1]}), false)" for k in (2, 3))
+    never = " OR ".join(f"coalesce({prev(k)} = 'never' AND {beside[k][0]}, false)" for k in (2, 3))
+    # the longest phrase that begins at token i, and that which covers token i and begins first
+    found = "CASE " + " ".join(
+        "WHEN " + " AND ".join(f"lcs[i + {d}] = {q(w)}" for d, w in enumerate(x.split()))
+        + f" THEN {{'kind': {q(kind)}, 'value': {value}::DOUBLE, 'size': {len(x.split())}}}"
+        for x, kind, value in sorted(p.phrases, key=lambda x: -len(x[0].split()))) + " END"
+    longest = max(len(x[0].split()) for x in p.phrases)
+    cover = "CASE " + " ".join(
+        f"WHEN i > {d} AND begins[i - {d}].size > {d} THEN {{'kind': begins[i - {d}].kind, 'value': begins[i - {d}].value, "
+        f"'size': begins[i - {d}].size, 'last': begins[i - {d}].size = {d + 1}}}" for d in range(longest - 1, -1, -1)) + " END"
     return f"""
 lt0 AS (
   SELECT post_id, least(length(regexp_replace({text}, '[^!]', '', 'g')), {p.exclamation_max}) * {p.exclamation}::DOUBLE
@@ -274,23 +289,36 @@ lt1 AS (
          len(list_filter(toks, lambda x: {is_cap})) > 0 AND len(list_filter(toks, lambda x: {is_cap})) < len(toks)
            AS cap_diff
   FROM lt0),
+lt1a AS (SELECT *, list_transform(lcs, lambda x, i: {found}) AS begins FROM lt1),
+lt1b AS (SELECT *, list_transform(begins, lambda x, i: {cover}) AS covers FROM lt1a),
 lt2 AS (
-  SELECT post_id, bangs, coalesce(list_position(lcs, 'but'), 0) AS but_at, cap_diff, toks, lcs FROM lt1),
+  SELECT post_id, bangs, coalesce(list_position(lcs, 'but'), 0) AS but_at, cap_diff, toks, lcs, covers,
+         list_transform(covers, lambda c: CASE WHEN c.last THEN c END) AS ends,
+         list_transform(covers, lambda c, i: CASE WHEN c.kind = 'idiom' AND c.last THEN i - c.size + 1 ELSE i END) AS froms
+  FROM lt1b),
+lt3z AS (
+  SELECT post_id, bangs, but_at, cap_diff, lcs, covers, ends, unnest(toks) AS x, unnest(froms) AS j,
+         generate_subscripts(toks, 1) AS i
+  FROM lt2),
 lt3 AS (
-  SELECT post_id, bangs, unnest(list_transform(toks, lambda x, i: {{
+  SELECT post_id, bangs, {{
       'pos': i, 'lc': lcs[i], 'cap': {is_cap} AND cap_diff,
       'boost': 0 + {b(1)} + {b(2)} + {b(3)},
       'negated': {negated},
+      'never': {never},
+      'idiom': CASE WHEN covers[i].kind = 'idiom' THEN CASE WHEN covers[i].last THEN covers[i].value ELSE 0.0::DOUBLE END END,
       'least': coalesce({prev(1)} = 'least' AND NOT coalesce({prev(2)} IN ('at', 'very'), false), false),
       'but_w': CASE WHEN but_at = 0 THEN 1.0::DOUBLE WHEN i < but_at THEN {p.but_before}::DOUBLE
-                    WHEN i > but_at THEN {p.but_after}::DOUBLE ELSE 1.0::DOUBLE END}})) AS t
-  FROM lt2),
+                    WHEN i > but_at THEN {p.but_after}::DOUBLE ELSE 1.0::DOUBLE END}} AS t
+  FROM lt3z),
 lt4 AS (
-  SELECT post_id, bangs, t.*, lx.valence, CAST(sign(lx.valence) AS DOUBLE) AS sg
+  SELECT post_id, bangs, t.*, coalesce(t.idiom, lx.valence) AS valence,
+         CAST(sign(coalesce(t.idiom, lx.valence)) AS DOUBLE) AS sg
   FROM lt3 LEFT JOIN lexicon lx ON lx.lc = t.lc),
 lt5 AS (
   SELECT post_id, bangs,
-         coalesce(CASE WHEN least THEN {p.negation}::DOUBLE ELSE 1.0::DOUBLE END * (CASE WHEN negated
+         coalesce(CASE WHEN never THEN {p.never}::DOUBLE ELSE 1.0::DOUBLE END
+                  * CASE WHEN least THEN {p.negation}::DOUBLE ELSE 1.0::DOUBLE END * (CASE WHEN negated
                         THEN (valence + CASE WHEN cap THEN sg * {p.caps}::DOUBLE ELSE 0.0 END + boost * sg) * {p.negation}::DOUBLE
                         ELSE valence + CASE WHEN cap THEN sg * {p.caps}::DOUBLE ELSE 0.0 END + boost * sg END) * but_w,
                   0.0) AS v
@@ -318,6 +346,32 @@ SEED_LEXICON_SQL = "lexicon AS (SELECT lower(w) AS lc, CAST(v AS DOUBLE) AS vale
 ORACLE_LEXICON = with_(DOCS, SEED_LEXICON_SQL, "dclean AS (SELECT post_id, cleaned FROM clean)",
                        lexicon_sql("dclean", "cleaned")) + "SELECT * FROM lex_scores"
 
+#: The words of the test documents' prose as a dictionary, so that every rule meets many texts.
+PROSE_LEXICON = [("that", 1.9), ("with", -1.3), ("are", 2.7), ("from", -2.5), ("dans", 0.8), ("avec", -0.4)]
+
+
+def _prose_params():
+    from ..operators.lexicon import Params
+    return Params(
+        negators=("and", "never", "without", "und"), boosters_up=("to", "so"), boosters_down=("is", "les"),
+        never_words=("in", "so"), phrases=(
+            ("of the", "boost", 0.293), ("on the", "boost", -0.293), ("in the", "idiom", 1.5), ("in the of", "idiom", -2.0),
+            ("the of", "idiom", 0.7), ("de la", "idiom", -1.1), ("la de la", "boost", 0.1)))
+
+
+PROSE_LEXICON_SQL = "lexicon AS (SELECT w AS lc, CAST(v AS DOUBLE) AS valence FROM (VALUES " + ", ".join(
+    f"({q(w)}, {v})" for w, v in PROSE_LEXICON) + ") x(w, v))"
+
+
+@register("lexicon_score_phrases", with_(DOCS, PROSE_LEXICON_SQL, "dclean AS (SELECT post_id, cleaned FROM clean)",
+                                         lexicon_sql("dclean", "cleaned", _prose_params())) + "SELECT * FROM lex_scores")
+def q_lexicon_score_phrases(spark, base):
+    """C4 with a dictionary and phrases that do occur in the documents."""
+    lexicon = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(w).alias("word"), F.lit(v).alias("valence")) for w, v in PROSE_LEXICON])))
+    return lexicon_scores(by_post(_clean_docs(spark, base)), lexicon, _prose_params())
+
+
 UNI_CLEAN = f"""
 uposts AS (
   SELECT CAST(doc_id AS VARCHAR) AS post_id, lang AS topic, false AS is_comment, concat_ws(' ', '', coalesce(text, ''))
