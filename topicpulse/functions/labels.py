@@ -57,12 +57,17 @@ def scale_0_100(score) -> Column:
     return (_c(score) + 1) / 2 * 100
 
 
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def softmax(logits) -> Column:
     """Softmax of an array; the largest logit is taken off first, so no exponential overflows."""
     x = _c(logits)
-    ex = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    total = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(ex, lambda x: x / total)
+    shares = lambda ex: bound(F.aggregate(ex, F.lit(0.0), lambda a, e: a + e),                       # noqa: E731
+                              lambda total: F.transform(ex, lambda e: e / total))
+    return bound(F.array_max(x), lambda most: bound(F.transform(x, lambda v: F.exp(v - most)), shares))
 
 
 def short_text_default(pre_text, result) -> Column:
@@ -80,10 +85,13 @@ def class_probs_score(logits, weights: list[float] = CLASS_WEIGHTS, digits: int
     score = sum(p_i * w_i) over the softmax; confidence = max p; class = argmax (0-based,
     first on ties); label by C6 on the unrounded score; score and confidence rounded.
     """
-    probs = softmax(logits)
     w = F.array(*[F.lit(float(x)) for x in weights])
-    score = F.aggregate(F.zip_with(probs, w, lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x)
-    conf = F.array_max(probs)
-    return F.struct(F.round(score, digits).alias("score"), F.round(conf, digits).alias("confidence"),
-                    (F.array_position(probs, conf) - 1).cast("int").alias("predicted_class"),
-                    label5(score).alias("label"))
+
+    def scored(probs):
+        score = F.aggregate(F.zip_with(probs, w, lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x)
+        both = F.struct(score.alias("s"), F.array_max(probs).alias("c"))
+        return bound(both, lambda b: F.struct(
+            F.round(b["s"], digits).alias("score"), F.round(b["c"], digits).alias("confidence"),
+            (F.array_position(probs, b["c"]) - 1).cast("int").alias("predicted_class"), label5(b["s"]).alias("label")))
+
+    return bound(softmax(logits), scored)

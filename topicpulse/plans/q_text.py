@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import wordlists as W
-from ..functions.labels import class_probs_score
+from ..functions.labels import class_probs_score, short_text_default
 from ..operators import aggregates as A
 from ..operators.keywords import CONTRACTION, NOUN_RULES, by_post, derive_lemmas, lemma_tokens, post_keywords, \
     post_keywords_lemma, top_keywords
@@ -145,6 +145,29 @@ def q_class_probs_score(spark, base):
         .select("vec_id", "r.*")
 
 
+@register("class_probs_short_texts", with_("t AS (SELECT conv_id, turn, split_part(text, ' ', 1) AS w FROM conversations)", f"""
+pre AS (SELECT conv_id, turn, {preprocess_sql('w')} AS pre_text FROM t)""", """
+lg AS (SELECT *, [CAST((length(pre_text) * k) % 7 AS DOUBLE) FOR k IN [1, 2, 3, 4, 5]] AS logits FROM pre)""", """
+ex AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM lg)""", """
+pr AS (SELECT *, list_transform(ex, lambda x: x / list_reduce(ex, lambda a, b: a + b)) AS probs FROM ex)""", """
+sc AS (SELECT *, list_max(probs) AS c,
+              list_reduce(list_transform(probs, lambda p, i: p * [-1.0, -0.5, 0.0, 0.5, 1.0][i]), lambda a, b: a + b) AS s
+       FROM pr)""") + """
+SELECT conv_id, turn, CASE WHEN length(pre_text) < 3 THEN 0.0 ELSE round(s, 4) END AS score,
+       CASE WHEN length(pre_text) < 3 THEN 0.0 ELSE round(c, 4) END AS confidence,
+       CASE WHEN length(pre_text) >= 3 THEN CAST(list_position(probs, c) - 1 AS INTEGER) ELSE -1 END AS predicted_class,
+       CASE WHEN length(pre_text) < 3 THEN 'neutral' WHEN s <= -0.6 THEN 'very_negative' WHEN s <= -0.2 THEN 'negative'
+            WHEN s <= 0.2 THEN 'neutral' WHEN s <= 0.6 THEN 'positive' ELSE 'very_positive' END AS label
+FROM sc""")
+def q_class_probs_short_texts(spark, base):
+    """C9 with C13's default: the first word of every turn, which often has under three characters, as a text of its own."""
+    c = TB.read_table(spark, base, "conversations").select(
+        "conv_id", "turn", T.preprocess(F.split_part("text", F.lit(" "), F.lit(1))).alias("pre_text"))
+    logits = F.array(*[((F.length("pre_text") * k) % 7).cast("double") for k in range(1, 6)])
+    return c.select("conv_id", "turn", short_text_default("pre_text", class_probs_score(logits)).alias("r")) \
+        .select("conv_id", "turn", "r.*").withColumn("predicted_class", F.coalesce("predicted_class", F.lit(-1)))
+
+
 # ------------------------------------------------------------------------ C10, D4, H2
 @register("post_keywords", with_(DOCS, KW_TOKENS, KEYWORDS) +
           "SELECT post_id, array_to_string(keywords, ' ') AS keywords FROM post_kw")
