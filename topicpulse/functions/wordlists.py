@@ -47,6 +47,61 @@ wouldn't
 # --- fixed values: site words added to the English stop words (C11, C12) ---
 SITE_STOPWORDS_TEXT = "http https www com reddit post comment edit deleted removed amp"
 
+# --- fixed values: irregular nouns of English, plural and singular ---
+IRREGULAR_NOUNS_TEXT = """
+men man
+women woman
+children child
+feet foot
+teeth tooth
+geese goose
+mice mouse
+lice louse
+oxen ox
+knives knife
+wives wife
+lives life
+leaves leaf
+loaves loaf
+halves half
+dice die
+pence penny
+brethren brother
+criteria criterion
+phenomena phenomenon
+bacteria bacterium
+media medium
+data datum
+strata stratum
+errata erratum
+curricula curriculum
+memoranda memorandum
+indices index
+appendices appendix
+matrices matrix
+vertices vertex
+vortices vortex
+analyses analysis
+bases basis
+crises crisis
+theses thesis
+hypotheses hypothesis
+diagnoses diagnosis
+oases oasis
+parentheses parenthesis
+cacti cactus
+fungi fungus
+nuclei nucleus
+radii radius
+stimuli stimulus
+alumni alumnus
+foci focus
+larvae larva
+antennae antenna
+formulae formula
+nebulae nebula
+"""
+
 # --- fixed values: labels, thresholds and weights ---
 LABELS5 = ["very_negative", "negative", "neutral", "positive", "very_positive"]
 CLASS_WEIGHTS = [-1.0, -0.5, 0.0, 0.5, 1.0]

@@ -174,16 +174,16 @@ def word_cloud(scored: DataFrame) -> DataFrame:
 
 
 def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10,
-                      entities: DataFrame | None = None) -> DataFrame:
+                      entities: DataFrame | None = None, max_sources: int = 100) -> DataFrame:
     """H4: D1 plus nested columns: top keywords (array of struct, rank order),
     sentiment distribution (map label -> share) and per-source stats (map source -> struct; a null
-    source is "unknown").
+    source is "unknown") of the ``max_sources`` largest sources (ties by name; all of them, a row each: D3).
 
     One aggregate per (topic, source) feeds both the per-source map and, rolled up, the
     per-topic figures (exact: integer sums; the sample variance from sum(x) and sum(x^2)
     in DECIMAL), so the scored input is read once for them, plus once for keywords.
     With ``entities`` (``top_entities``) their first ``k`` are a column, too.
-    Nested values are bounded: k keywords, five labels, the topic's sources."""
+    Nested values are bounded: k keywords, five labels, ``max_sources`` sources."""
     e4 = _score_e4(scored)
     lab = F.col("sentiment_label")
     big = "decimal(38,0)"
@@ -194,10 +194,12 @@ def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10,
         *[F.count_if(lab == name).alias(f"{name}_count") for name in LABELS5])
     t = per_src.groupBy("topic").agg(
         F.sum("s1").alias("s1"), F.sum("n1").alias("n1"), F.sum("s2").alias("s2"),
-        F.sum("post_count").alias("total_posts"), *[F.sum(f"{n}_count").alias(f"{n}_count") for n in LABELS5],
-        F.map_from_entries(F.collect_list(F.struct(
-            "subreddit", F.struct(F.try_divide(F.col("s1").cast("double"), F.col("n1").cast("double") * E4)
-                                  .alias("avg_sentiment"), "post_count")))).alias("subreddit_breakdown"))
+        F.sum("post_count").alias("total_posts"), *[F.sum(f"{n}_count").alias(f"{n}_count") for n in LABELS5])
+    largest = Window.partitionBy("topic").orderBy(F.desc("post_count"), "subreddit")
+    entry = F.struct("subreddit", F.struct(F.try_divide(F.col("s1").cast("double"), F.col("n1").cast("double") * E4)
+                                           .alias("avg_sentiment"), "post_count"))
+    sources = per_src.withColumn("_rank", F.row_number().over(largest)).where(F.col("_rank") <= max_sources) \
+        .groupBy("topic").agg(F.map_from_entries(F.collect_list(entry)).alias("subreddit_breakdown"))
     n, s1, s2 = F.col("n1").cast(big), F.col("s1").cast(big), F.col("s2").cast(big)
     var = F.when(F.col("n1") > 1, ((n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double")))
     total = F.col("total_posts").cast("double")
@@ -210,8 +212,7 @@ def nested_aggregates(scored: DataFrame, top_keywords: DataFrame, k: int = 10,
         (share(F.col("very_negative_count") + F.col("negative_count")) * 100).alias("negative_pct"),
         (share(F.col("neutral_count")) * 100).alias("neutral_pct"),
         F.create_map(*[x for nm in LABELS5 for x in (F.lit(nm), share(F.col(f"{nm}_count")))])
-        .alias("sentiment_distribution"),
-        "subreddit_breakdown")
+        .alias("sentiment_distribution")).join(sources, "topic", "left")
     kw = (top_keywords.where(F.col("rank") <= k)
           .groupBy("topic")
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword", "count"))),

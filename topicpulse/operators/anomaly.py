@@ -33,3 +33,22 @@ def rolling_zscore(trends: DataFrame, preceding: int = 6, threshold: float = ZSC
 
 def anomalies(trends: DataFrame, **kw) -> DataFrame:
     return rolling_zscore(trends, **kw).where(F.col("is_anomaly"))
+
+
+def carry_zscores(carried: DataFrame, hours: DataFrame, preceding: int = 6, **kw) -> tuple[DataFrame, DataFrame]:
+    """E1 hour by hour, without a look-back: (z-scores of the new ``hours``, what to carry to the next call).
+
+    ``carried`` (topic, hour, avg_sentiment, ...) are each topic's last ``preceding`` points so far. New hours must be
+    closed and later than those carried (hours of a topic that aren't are recomputed points that the frame has passed: an error).
+    The z-scores are those of ``rolling_zscore`` over the whole history, as its frame reaches no further back.
+    """
+    known = carried.groupBy("topic").agg(F.max("hour").alias("_last"))
+    late = hours.join(known, "topic").where(F.col("hour") <= F.col("_last"))
+    if not late.isEmpty():
+        raise ValueError("hours that are not later than the carried ones")
+    both = carried.select(hours.columns).withColumn("_new", F.lit(False)) \
+        .unionByName(hours.withColumn("_new", F.lit(True)))
+    scored = rolling_zscore(both, preceding, **kw).where(F.col("_new")).drop("_new")
+    newest = Window.partitionBy("topic").orderBy(F.desc("hour"))
+    keep = both.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= preceding).drop("_rank", "_new")
+    return scored, keep

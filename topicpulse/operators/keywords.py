@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import wordlists as W
 from ..functions.text import keyword_tokens
 
 
@@ -70,10 +71,20 @@ NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
               ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
 
 
-def derive_lemmas(vocab: DataFrame) -> DataFrame:
+def irregular_nouns(spark) -> DataFrame:
+    """Table (word, base) of the English nouns that no suffix rule covers; a literal of known size."""
+    pairs = [line.split() for line in W.phrase_lines(W.IRREGULAR_NOUNS_TEXT)]
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(w).alias("word"), F.lit(b).alias("base")) for w, b in pairs])))
+
+
+def derive_lemmas(vocab: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """Lemma table ``(word, base)`` from a vocabulary ``(word)``: a suffix rule's output is
     accepted when it is itself a word of the vocabulary; the shortest accepted form wins
     (the word itself first, then rule order). Only words whose base differs are returned.
+    ``exceptions`` (word, base), e.g. ``irregular_nouns``, come before the rules: they need no base
+    in the vocabulary, and a word among them is under no rule. They are candidates like the rules' (with the first rank), so
+    the vocabulary is still read once.
     One pass over the distinct vocabulary: every word emits itself (a vocabulary marker)
     and its rule outputs keyed by the output string; a window over that key tells whether
     the output is itself a word (at most 1 + 9 rows per key). A self semi join would
@@ -85,12 +96,19 @@ def derive_lemmas(vocab: DataFrame) -> DataFrame:
                     F.struct(F.concat(F.expr(f"substring(word, 1, length(word) - {len(suf)})"), F.lit(rep)).alias("key"),
                              F.lit(False).alias("is_word"), F.col("word").alias("orig"), F.lit(i).alias("rule")))
              for i, (suf, rep) in enumerate(NOUN_RULES)]
+    if exceptions is not None:
+        x = exceptions.select("word", F.col("base").alias("_base")).dropDuplicates(["word"])
+        v = v.join(x, "word", "left")
+        irregular = F.struct(F.col("_base").alias("key"), F.lit(False).alias("is_word"), F.col("word").alias("orig"),
+                             F.lit(-1).alias("rule"))
+        cands = [F.when(F.col("_base").isNotNull(), irregular), *[F.when(F.col("_base").isNull(), c) for c in cands]]
     rows = v.select(F.explode(F.filter(F.array(me, *cands), lambda x: x.isNotNull())).alias("r")).select("r.*")
     known = F.max(F.col("is_word").cast("int")).over(Window.partitionBy("key")) == 1
-    ok = rows.withColumn("_known", known).where(~F.col("is_word") & F.col("_known"))
+    ok = rows.withColumn("_known", known).where(~F.col("is_word") & (F.col("_known") | (F.col("rule") == -1)))
     best = ok.groupBy(F.col("orig").alias("word")) \
         .agg(F.min_by(F.struct(F.col("key").alias("base"), "rule"), F.struct(F.length("key"), "rule")).alias("b"))
-    return best.select("word", F.col("b.base").alias("base")).where(F.length("base") < F.length("word"))
+    return best.select("word", F.col("b.base").alias("base")).where(
+        (F.length("base") < F.length("word")) | ((F.col("b.rule") == -1) & (F.col("base") != F.col("word"))))
 
 
 def lemma_tokens(posts: DataFrame, text_col: str = "pre_text", key: str = "post_id") -> DataFrame:
@@ -107,7 +125,7 @@ def post_keywords_lemma(posts: DataFrame, stopwords: DataFrame, lemmas: DataFram
     toks = posts.select(key, F.posexplode_outer(alpha_tokens(F.col(text_col))).alias("pos", "word"))
     toks = _counted(toks, stopwords, min_len)
     if lemmas is None:
-        lemmas = derive_lemmas(lemma_tokens(posts, text_col, key).select("word"))
+        lemmas = derive_lemmas(lemma_tokens(posts, text_col, key).select("word"), irregular_nouns(posts.sparkSession))
     t = toks.join(lemmas.select("word", "base"), "word", "left").select(key, "pos", F.coalesce("base", "word").alias("word"))
     return _top_words(t, n, key)
 

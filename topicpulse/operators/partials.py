@@ -105,3 +105,14 @@ def source_breakdown_of(states: DataFrame) -> DataFrame:
     return merge_states(states, ["topic", "subreddit"]).select(
         "topic", "subreddit", _avg().alias("avg_sentiment"), F.col("n").alias("post_count"),
         _reddit().alias("avg_reddit_score"))
+
+
+def corrected_trends(trends: DataFrame, states: DataFrame, late: DataFrame, ts_col: str = "processed_at") -> DataFrame:
+    """D2 after ``late`` rows: only the hours of topics that they touch are aggregated anew, from ``states`` that
+    have them; all other rows of ``trends`` stay as they are. A null topic or time is a key like any other."""
+    touched = late.select("topic", F.date_trunc("hour", F.col(ts_col)).alias("hour")).distinct()
+    by_name = touched.select(F.col("topic").alias("_topic"), F.date_format("hour", "yyyy-MM-dd HH:00:00").alias("_hour"))
+    other = trends.join(by_name, F.col("topic").eqNullSafe(F.col("_topic")) & F.col("hour").eqNullSafe(F.col("_hour")), "left_anti")
+    again = touched.select(F.col("topic").alias("_topic"), F.col("hour").alias("_hour"))
+    anew = states.join(again, F.col("topic").eqNullSafe(F.col("_topic")) & F.col("hour").eqNullSafe(F.col("_hour")), "left_semi")
+    return other.unionByName(hourly_trends_of(anew))

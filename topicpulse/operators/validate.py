@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import LABELS5
@@ -71,6 +71,25 @@ def validate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("reasons", failed).withColumn("valid", F.size("reasons") == 0)
 
 
+def observed(df: DataFrame, rules: list[tuple[str, Column]], name: str = "validation") -> tuple[DataFrame, Observation]:
+    """``validate`` whose next action also counts: rows, valid rows and the failures of each rule, in the same pass.
+
+    The observation has its values once an action on the frame is done; the first such action counts.
+    """
+    checked = validate(df, rules)
+    seen = Observation(name)
+    counts = [F.count_if(F.array_contains("reasons", rule)).alias(rule) for rule, _ in rules]
+    return checked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid"), *counts), seen
+
+
+def write_validated(df: DataFrame, rules: list[tuple[str, Column]], path: str) -> dict[str, int]:
+    """Write accepted rows to ``path/valid=true`` and rejected ones, with their reasons, to the quarantine
+    ``path/valid=false``, in one pass over ``df``; returns the counts gathered on the way."""
+    checked, seen = observed(df, rules)
+    checked.write.mode("overwrite").partitionBy("valid").parquet(path)
+    return seen.get
+
+
 def enforce_unique(df: DataFrame, key: str, order: list) -> DataFrame:
     """One row per ``key``, the first by ``order`` (ties by key: deterministic)."""
     return dedupe(df, key, order)

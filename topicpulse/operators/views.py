@@ -25,6 +25,12 @@ def _check_limit(k: int, most: int) -> None:
         raise ValueError(f"limit must be in 1..{most}")
 
 
+def _newest_first(df: DataFrame, first: str, keys: list[str]) -> Column:
+    """An order of a key's rows by ``first``, then by all their other values: of rows with one time always the same one."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    return F.struct(first, *[c for c in sorted(df.columns) if c not in [first, *keys] and kinds[c] != "map"])
+
+
 def latest_batch_view(views: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """Newest topic aggregate whose period ends within ``hours`` of ``as_of``
     (filter on ``period_end``, decision D-4). One row per topic via ``max_by``."""
@@ -33,7 +39,7 @@ def latest_batch_view(views: DataFrame, as_of, hours: int = 24) -> DataFrame:
     cutoff = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS")
     cols = [c for c in views.columns if c != "topic"]
     latest = views.where(F.col("period_end") >= cutoff).groupBy("topic") \
-        .agg(F.max_by(F.struct(*cols), "period_start").alias("v"))
+        .agg(F.max_by(F.struct(*cols), _newest_first(views, "period_start", ["topic"])).alias("v"))
     return latest.select("topic", "v.*")
 
 
@@ -53,7 +59,8 @@ def trends_view(trend_rows: DataFrame, as_of, hours: int = 24) -> DataFrame:
     cutoff = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS")
     rows = trend_rows.where(F.col("batch_time") >= cutoff)
     cols = [c for c in rows.columns if c not in ("topic", "hour")]
-    latest = rows.groupBy("topic", "hour").agg(F.max_by(F.struct(*cols), "batch_time").alias("v")) \
+    newest = _newest_first(rows, "batch_time", ["topic", "hour"])
+    latest = rows.groupBy("topic", "hour").agg(F.max_by(F.struct(*cols), newest).alias("v")) \
         .select("topic", "hour", "v.*")
     return _topk(latest, ["topic"], [F.desc("hour")], int(hours))
 
@@ -167,9 +174,12 @@ def apply_topic_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
         F.coalesce("n.last_at", "o.updated_at").alias("updated_at"))
 
 
-def trend_pivot(trends: DataFrame, topics: list[str]) -> DataFrame:
+def trend_pivot(trends: DataFrame, topics: list[str] | DataFrame) -> DataFrame:
     """One row per ``HH:mm``, one column per listed topic; the last point wins
-    when days collapse onto one time; missing score -> 0."""
+    when days collapse onto one time; missing score -> 0. ``topics`` may be the registry, whose names (one for
+    each column of the result) are then listed in order, so that a new topic gets its column."""
+    if isinstance(topics, DataFrame):
+        topics = [r[0] for r in topics.select("name").distinct().orderBy("name").collect()]
     t = trends.withColumn("ts", F.to_timestamp("hour")).withColumn("time", F.date_format("ts", "HH:mm"))
     p = t.groupBy("time").pivot("topic", topics).agg(F.max_by(F.coalesce("avg_sentiment", F.lit(0.0)), "ts"))
     return p

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import aggregates as A
 from ..operators import alerts as AL
 from ..operators import partials as P
+from ..operators import validate as V
 from ..operators.anomaly import anomalies, rolling_zscore
 from ..session import new_folder
 from ..sources.tables import AS_OF
@@ -74,6 +77,42 @@ def q_incremental_source_breakdown(spark, base):
     return P.source_breakdown_of(P.lookback_states(_states(spark, base), as_of, 240, _scored(spark, base)))
 
 
+@register("corrected_trends", with_(SCORED, HOURLY) + "SELECT * FROM hourly")
+def q_corrected_trends(spark, base):
+    """Trends of the rows on time, corrected by the rows that came when their windows were closed (a topic's first ten days)."""
+    from ..streaming.stream import split_late
+    s = _scored(spark, base)
+    old, late = split_late(s, "2024-01-11 00:00:00")
+    came_late = F.col("topic") == "error"
+    first = s.where(~came_late).unionByName(s.where(came_late & (F.col("processed_at") >= F.to_timestamp(F.lit("2024-01-11 00:00:00")))))
+    return P.corrected_trends(A.hourly_trends(first), _states(spark, base), late.where(came_late))
+
+
+@register("carried_zscores", with_(SCORED, HOURLY, ZSCORES) + "SELECT * FROM zscores")
+def q_carried_zscores(spark, base):
+    """E1 in four batches of hours, each from the points carried by the one before it."""
+    from ..streaming.stream import anomaly_step
+    hours, out = A.hourly_trends(_scored(spark, base)), new_folder(spark, "zscores")
+    days = ["2000-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "2100-01-01"]
+    parts = [anomaly_step(hours.where((F.col("hour") >= a) & (F.col("hour") < b)), n, out)
+             for n, (a, b) in enumerate(zip(days, days[1:]))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("validation_counts", with_(SCORED) + """
+SELECT rule, count(*) FILTER (WHERE bad) AS failures FROM (
+  SELECT 'score_range' AS rule, NOT coalesce(score BETWEEN 0 AND 50, false) AS bad FROM scored
+  UNION ALL SELECT 'topic_known', topic NOT IN ('click', 'view', 'signup') FROM scored
+  UNION ALL SELECT 'tone_range', NOT sentiment_e4 BETWEEN -5000 AND 5000 FROM scored) GROUP BY rule""")
+def q_validation_counts(spark, base):
+    """Failures of each rule, counted while accepted and rejected rows are written."""
+    rules = [("score_range", F.col("score").between(0, 50)), ("topic_known", F.col("topic").isin("click", "view", "signup")),
+             ("tone_range", F.col("sentiment_e4").between(-5000, 5000))]
+    counts = V.write_validated(_scored(spark, base), rules, new_folder(spark, "validated"))
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(counts[rule]).cast("bigint").alias("failures")) for rule, _ in rules])))
+
+
 @register("rolling_zscore", with_(SCORED, HOURLY, ZSCORES) + "SELECT * FROM zscores")
 def q_rolling_zscore(spark, base):
     return rolling_zscore(A.hourly_trends(_scored(spark, base)))
@@ -299,19 +338,26 @@ SELECT topic, count(*) AS points, arg_min(avg_sentiment, hour) AS first_value,
        CASE WHEN arg_max(avg_sentiment, hour) - arg_min(avg_sentiment, hour) > 0.05 THEN 'up'
             WHEN arg_max(avg_sentiment, hour) - arg_min(avg_sentiment, hour) < -0.05 THEN 'down'
             ELSE 'stable' END AS direction,
-       string_agg(hour || '=' || CAST(post_count AS VARCHAR), ',' ORDER BY hour) AS time_series
+       string_agg(hour || '=' || CAST(post_count AS VARCHAR) || '@' || CAST(CAST(round(avg_sentiment * 1000000) AS BIGINT) AS VARCHAR),
+                  ',' ORDER BY hour) AS time_series
 FROM hourly GROUP BY topic""")
 def q_trend_summary(spark, base):
     t = A.trend_summary(A.hourly_trends(_scored(spark, base)))
     return t.withColumn("time_series", F.array_join(F.transform(
-        "time_series", lambda p: F.concat(p["hour"], F.lit("="), p["post_count"].cast("string"))), ","))
+        "time_series", lambda p: F.concat(
+            p["hour"], F.lit("="), p["post_count"].cast("string"), F.lit("@"),
+            F.round(p["avg_sentiment"] * 1000000).cast("bigint").cast("string"))), ","))
 
 
 @register("chart_points", with_(SCORED, HOURLY) + """
-SELECT topic, hour, strftime(CAST(hour AS TIMESTAMP), '%H:%M') AS time, coalesce(avg_sentiment, 0.0) AS score,
-       coalesce(post_count, 0) AS "count" FROM hourly""")
+SELECT topic, hour, strftime(CAST(hour AS TIMESTAMP), '%H:%M') AS time,
+       CASE WHEN topic = 'error' THEN 0.0 ELSE avg_sentiment END AS score,
+       CASE WHEN topic = 'signup' THEN 0 ELSE post_count END AS "count" FROM hourly""")
 def q_chart_points(spark, base):
-    return A.chart_points(A.hourly_trends(_scored(spark, base)))
+    """With a topic whose hours have no score and one whose hours have no count."""
+    t = A.hourly_trends(_scored(spark, base))
+    return A.chart_points(t.withColumn("avg_sentiment", F.when(F.col("topic") != "error", F.col("avg_sentiment")))
+                          .withColumn("post_count", F.when(F.col("topic") != "signup", F.col("post_count"))))
 
 
 # ------------------------------------------------ I5 window operator (batch execution)

@@ -8,7 +8,8 @@ from ..functions import text as T
 from ..functions import wordlists as W
 from ..functions.labels import class_probs_score, short_text_default
 from ..operators import aggregates as A
-from ..operators.keywords import CONTRACTION, NOUN_RULES, by_post, derive_lemmas, lemma_tokens, post_keywords, \
+from ..operators.keywords import CONTRACTION, NOUN_RULES, by_post, derive_lemmas, irregular_nouns, lemma_tokens, \
+    post_keywords, \
     post_keywords_lemma, top_keywords
 from ..operators.lexicon import lexicon_scores
 from ..sources import tables as TB
@@ -16,7 +17,7 @@ from ..sources.testdata import comments_from_conversations, html_texts, logits_f
     posts_from_documents
 from .catalog import register
 from .scoring import score_posts
-from .sql import AVG_E4, with_
+from .sql import AVG_E4, STD_E4, with_
 
 
 def q(s: str) -> str:
@@ -203,18 +204,20 @@ vocab AS (SELECT DISTINCT word FROM ltok),
 cand AS (
   SELECT v.word, r.rule, left(v.word, length(v.word) - length(r.suf)) || r.rep AS base
   FROM vocab v JOIN {LEMMA_RULES_SQL} ON suffix(v.word, r.suf) AND length(v.word) > length(r.suf)),
+irregular AS (SELECT * FROM (VALUES {", ".join(f"({q(w)}, {q(b)})" for w, b in map(str.split, W.phrase_lines(W.IRREGULAR_NOUNS_TEXT)))}) x(word, base)),
 lemmas AS (
   SELECT word, base FROM (
     SELECT word, arg_min(base, length(base) * 100 + rule) AS base FROM cand
-    WHERE base IN (SELECT word FROM vocab) GROUP BY word)
-  WHERE length(base) < length(word))
+    WHERE base IN (SELECT word FROM vocab) AND word NOT IN (SELECT word FROM irregular) GROUP BY word)
+  WHERE length(base) < length(word)
+  UNION ALL SELECT word, base FROM irregular WHERE word IN (SELECT word FROM vocab))
 """
 
 
 @register("lemma_table", with_(DOCS, LEMMA_TOKENS) + "SELECT * FROM lemmas")
 def q_lemma_table(spark, base):
     d = _docs(spark, base).select("post_id", T.preprocess(T.full_text("title", "content")).alias("pre_text"))
-    return derive_lemmas(lemma_tokens(d).select("word"))
+    return derive_lemmas(lemma_tokens(d).select("word"), irregular_nouns(spark))
 
 
 @register("post_keywords_lemma", with_(DOCS, LEMMA_TOKENS) + f""",
@@ -491,7 +494,8 @@ def q_top_entities(spark, base):
 
 @register("nested_aggregates", with_(*SCORED_DOCS_CTES) + f"""
 , agg AS (
-  SELECT topic, {AVG_E4.format(c='sentiment_e4')} AS avg_sentiment, count(*) AS total_posts,
+  SELECT topic, {AVG_E4.format(c='sentiment_e4')} AS avg_sentiment, {STD_E4.format(c='sentiment_e4')} AS std_sentiment,
+         count(*) AS total_posts,
          count(*) FILTER (WHERE sentiment_label = 'positive') AS positive_count,
          count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral_count,
          count(*) FILTER (WHERE sentiment_label = 'negative') AS negative_count
@@ -504,9 +508,10 @@ tk AS (
          string_agg(CAST(cnt AS VARCHAR), ',' ORDER BY rank) AS top_keyword_counts
   FROM kr WHERE rank <= 10 GROUP BY topic),
 src AS (
-  SELECT topic, string_agg(subreddit, ',' ORDER BY subreddit) AS sources, CAST(sum(n) AS BIGINT) AS source_posts FROM (
-    SELECT topic, subreddit, count(*) AS n FROM sdocs GROUP BY 1, 2) GROUP BY topic)
-SELECT a.topic, a.avg_sentiment, a.total_posts, t.top_keywords, t.top_keyword_counts,
+  SELECT topic, string_agg(subreddit, ',' ORDER BY subreddit) AS sources, CAST(sum(n) AS BIGINT) AS source_posts,
+         string_agg(CAST(CAST(round(m * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY subreddit) AS source_averages FROM (
+    SELECT topic, subreddit, count(*) AS n, {AVG_E4.format(c='sentiment_e4')} AS m FROM sdocs GROUP BY 1, 2) GROUP BY topic)
+SELECT a.topic, a.avg_sentiment, a.std_sentiment, s.source_averages, a.total_posts, t.top_keywords, t.top_keyword_counts,
        CAST(a.positive_count AS DOUBLE) / CAST(a.total_posts AS DOUBLE) AS dist_positive,
        CAST(a.neutral_count AS DOUBLE) / CAST(a.total_posts AS DOUBLE) AS dist_neutral,
        CAST(a.negative_count AS DOUBLE) / CAST(a.total_posts AS DOUBLE) AS dist_negative,
@@ -516,7 +521,11 @@ def q_nested_aggregates(spark, base):
     sd = scored_documents(spark, base)
     n = A.nested_aggregates(sd, top_keywords(sd, 20), 10)
     return n.select(
-        "topic", "avg_sentiment", "total_posts",
+        "topic", "avg_sentiment", "std_sentiment",
+        F.array_join(F.transform(
+            F.array_sort(F.map_keys("subreddit_breakdown")),
+            lambda k: F.round(F.element_at("subreddit_breakdown", k)["avg_sentiment"] * 1000000).cast("bigint").cast("string")),
+            ",").alias("source_averages"), "total_posts",
         F.array_join(F.transform("top_keywords", lambda k: k["keyword"]), ",").alias("top_keywords"),
         F.array_join(F.transform("top_keywords", lambda k: k["count"].cast("string")), ",").alias("top_keyword_counts"),
         F.element_at("sentiment_distribution", F.lit("positive")).alias("dist_positive"),

@@ -314,7 +314,7 @@ def q_topic_registry(spark, base):
               f"arg_max(coalesce(avg_sentiment, 0.0), ts) FILTER (WHERE topic = '{t}') AS {t}" for t in EVENT_TOPICS)
           + " FROM pts GROUP BY time")
 def q_trend_pivot(spark, base):
-    return G.trend_pivot(A.hourly_trends(_scored(spark, base)), EVENT_TOPICS)
+    return G.trend_pivot(A.hourly_trends(_scored(spark, base)), topics_from_events(spark, base))
 
 
 @register("topic_comparison", with_(SCORED) + f"""

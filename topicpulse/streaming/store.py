@@ -226,14 +226,21 @@ class ViewStore:
     def staged(self, folder: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{folder}")
 
-    def publish(self, folders: dict[str, str], key: str, after: int) -> None:
-        """Make the staged folders (view -> folder) the versions of ``key``, in place of those in manifest ``after``."""
+    def keys(self, view: str) -> list[str]:
+        return sorted(self.manifests.newest()[1].get("views", {}).get(view, {}))
+
+    def publish(self, folders: dict[str, str], key: str, after: int, forget: dict[str, list[str]] | None = None) -> None:
+        """Make the staged folders (view -> folder) the versions of ``key``, in place of those in manifest ``after``;
+        the keys to ``forget`` (view -> keys) go at the same moment."""
         number, content = self.manifests.newest()
         if number != after:
             raise Conflict(f"{self.root}: the views changed since manifest {after} was read")
         views = {v: dict(k) for v, k in content.get("views", {}).items()}
         for view, folder in folders.items():
             views.setdefault(view, {})[key] = folder
+        for view, keys in (forget or {}).items():
+            for old in keys:
+                views.get(view, {}).pop(old, None)
         self.manifests.commit({"views": views}, after)
         self.manifests.vacuum()
 

@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import microbatch_stats
 from ..operators.alerts import post_alerts
+from ..operators.anomaly import carry_zscores
 from ..operators.ingest import dedupe
 from ..operators.partials import partial_states, state_store
 from ..plans.scoring import score_posts
 from ..session import checkpoint_path
 from ..sources.bus import decode_posts
+from ..sources.tables import as_timestamp
 from .sinks import sink_results, with_dt, write_batch_partition
+from .store import ViewStore
 
 
 def decoded_stream(bus: DataFrame) -> DataFrame:
@@ -63,6 +66,30 @@ def process_batch(batch_df: DataFrame, batch_id: int, out: str, lexicon: DataFra
         batch_df.unpersist()
 
 
+def anomaly_step(hours: DataFrame, batch_id: int, out: str, preceding: int = 6) -> DataFrame:
+    """E1 in the stream: z-scores of a micro-batch's closed ``hours``, from the points carried since the last batch.
+
+    The carried points (``preceding`` for each topic) and the z-scores are published together, by batch. A
+    replayed batch starts from the state before it and gives the same rows; older states than that are let go.
+    Returns the batch's published z-scores.
+    """
+    store = ViewStore(hours.sparkSession, os.path.join(out, "anomalies"))
+    after = store.manifests.newest()[0]
+    key = f"{batch_id:012d}"
+    before = [k for k in store.keys("carried") if k < key]
+    carried = store.read("carried", before[-1]) if before else hours.limit(0)
+    scored, keep = carry_zscores(carried, hours, preceding)
+    folders = {"zscores": store.stage(scored, "zscores", key), "carried": store.stage(keep, "carried", key)}
+    store.publish(folders, key, after, {"carried": before[:-1]})
+    return store.staged(folders["zscores"])
+
+
+def split_late(df: DataFrame, closed_until, ts_col: str = "processed_at") -> tuple[DataFrame, DataFrame]:
+    """I5's side output: (rows on time, rows of windows that closed before ``closed_until``). A row without a time is on time."""
+    late = F.coalesce(F.col(ts_col) < as_timestamp(closed_until), F.lit(False))
+    return df.where(~late), df.where(late)
+
+
 def run_stream(spark: SparkSession, bus: DataFrame, out: str, lexicon: DataFrame, stopwords: DataFrame,
                entity_stopwords: list[str] | None = None, checkpoint: str | None = None,
                trigger_seconds: int | None = None, available_now: bool = False, name: str = "topicpulse"):
