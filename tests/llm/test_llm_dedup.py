@@ -189,6 +189,14 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch, hot, chunk):
     assert collected(S.remove_repeats(frame(spark, rows), with_bytes=False)) == brute_bytes(rows)
 
 
+def test_long_runs_of_one_byte_go_past_one_task(spark, monkeypatch):
+    """Groups are bounded by bytes: few phrases of many bytes each are dealt out, too."""
+    monkeypatch.setattr(S, "HOT", 100_000)
+    rng = random.Random(14)
+    rows = [(i, words(rng, 10) + " " * (20_000 + 300 * i) + words(rng, 10)) for i in range(8)]
+    assert collected(S.remove_repeats(frame(spark, rows), with_bytes=False)) == brute_bytes(rows)
+
+
 def test_repeated_bytes_of_all_documents(spark):
     rows = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()]
     out = S.remove_repeats(documents(spark))

@@ -32,10 +32,13 @@ LENGTH, GRAM = 200, 50
 SPAN = LENGTH - GRAM + 1
 #: Bytes hashed at a time. A phrase is cut there, which makes a phrase more but changes no result.
 CHUNK = 1 << 20
-#: A group of more dictionary phrases is dealt out by the strings' hashes instead of sorted in one task.
-HOT = 2000
+#: A group with more bytes of dictionary phrases is dealt out by the strings' hashes instead of sorted in one task
+#: (sorting takes some 55 bytes of memory for each of them).
+HOT = 8 << 20
 #: Bytes of phrases sorted at a time, at least one group.
 SORTED = 4 << 20
+#: Strings of a hot phrase hashed at a time.
+STRINGS = 50_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -182,9 +185,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     dictionary = written(parse.groupBy("p", "h").agg(
         F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"),
         F.min(F.struct("k", "first", "size")).alias("at")), "dictionary")
-    group = written(dictionary.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"),
-                                                F.max("twice").alias("t"))
-                    .where(((F.col("c") > 1) | F.col("t")) & (F.col("least") == 1)).select("p", "c"), "groups")
+    group = written(dictionary.groupBy("p").agg(F.count(F.lit(1)).alias("phrases"), F.min("n").alias("least"),
+                                                F.max("twice").alias("t"),
+                                                F.sum(F.col("at.size") + LENGTH - 1).alias("c"))
+                    .where(((F.col("phrases") > 1) | F.col("t")) & (F.col("least") == 1)).select("p", "c"), "groups")
     asked = dictionary.join(group, "p").select("p", "n", "c", "at.*") \
         .groupBy("k").agg(F.collect_list(F.struct("p", "n", "c", "first", "size")).alias("asked"))
 
@@ -209,11 +213,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         import xxhash
         for batch in batches:
             for n, k, first, data in zip(*(c.to_pylist() for c in batch.columns)):
-                s = range(len(data) - LENGTH + 1)
-                h = np.array([xxhash.xxh3_64_intdigest(data[i:i + LENGTH]) for i in s], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array([n] * len(h), pa.int64()), pa.array([k] * len(h), pa.int64()),
-                     pa.array([first + i for i in s], pa.int64())], names=["s", "n", "k", "a"])
+                places = range(len(data) - LENGTH + 1)
+                for s in (places[i:i + STRINGS] for i in range(0, len(places), STRINGS)):
+                    h = np.array([xxhash.xxh3_64_intdigest(data[i:i + LENGTH]) for i in s], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h), pa.array([n] * len(h), pa.int64()), pa.array([k] * len(h), pa.int64()),
+                         pa.array([first + i for i in s], pa.int64())], names=["s", "n", "k", "a"])
 
     dealt = phrases.where(F.col("c") > HOT).select("n", "k", "first", "data") \
         .mapInArrow(strings, "s bigint, n bigint, k bigint, a bigint")
@@ -246,7 +251,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bytes stay whole; rows that repeat count as further places, so both are removed;
     ids may be null. Other columns are ignored; an empty table gives an empty result.
     Phrases are compared by 64-bit hashes of their bytes, strings of phrases by the
-    bytes themselves (by such hashes in groups of more than ``HOT`` phrases).
+    bytes themselves (by such hashes in groups of more than ``HOT`` bytes).
     """
     docs = id_and_text(df, id_col, text_col).withColumn("k", F.xxhash64("doc_id", "text"))
     found = repeats(docs.select("k", "text")).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("found"))
