@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import wordlists as W
 from ..functions.labels import class_probs_score, short_text_default
 from ..operators import aggregates as A
+from ..operators.heavy import frequent_keywords, keyword_summary, merge_summaries
 from ..operators.keywords import CONTRACTION, NOUN_RULES, by_post, derive_lemmas, irregular_nouns, lemma_tokens, \
     post_keywords, \
     post_keywords_lemma, top_keywords
@@ -189,6 +190,63 @@ def q_top_keywords(spark, base):
     return top_keywords(d.select("post_id", "topic").join(kw, "post_id"), 20)
 
 
+# ------------------------------------------------------ D4, H2 from mergeable summaries
+HEAVY = 64      # keywords a summary holds
+SOURCE_KEYWORDS = """
+skc AS (SELECT d.topic, d.subreddit, k.keyword, count(*) AS n
+        FROM docs d JOIN (SELECT post_id, unnest(keywords) AS keyword FROM post_kw) k USING (post_id) GROUP BY 1, 2, 3)
+"""
+SUMMARIES = f"""
+sr AS (SELECT *, row_number() OVER (PARTITION BY topic, subreddit ORDER BY n DESC, keyword) AS r FROM skc),
+sl AS (SELECT topic, subreddit, coalesce(max(n) FILTER (r = {HEAVY + 1}), 0) AS less FROM sr GROUP BY 1, 2),
+mc AS (SELECT topic, keyword, sum(n - less) AS n FROM sr JOIN sl USING (topic, subreddit)
+       WHERE r <= {HEAVY} AND n > less GROUP BY 1, 2),
+mr AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, keyword) AS r FROM mc),
+ml AS (SELECT topic, coalesce(max(n) FILTER (r = {HEAVY + 1}), 0) AS less FROM mr GROUP BY 1),
+me AS (SELECT topic, ml.less, ml.less + sum(sl.less) AS error FROM ml JOIN sl USING (topic) GROUP BY 1, 2),
+ms AS (SELECT topic, keyword, n - less AS n, error FROM mr JOIN me USING (topic) WHERE r <= {HEAVY} AND n > less)
+"""
+
+
+def _source_keywords(spark, base):
+    d = by_post(_docs(spark, base).select("post_id", "topic", "subreddit",
+                                          T.strip_urls(T.full_text("title", "content")).alias("cleaned_text")))
+    kw = post_keywords(d, TB.keyword_stopwords(spark))
+    return d.select("post_id", "topic", "subreddit").join(kw, "post_id")
+
+
+def _merged_summary(scored):
+    """Summaries of every topic and source, merged to one of each topic."""
+    by_source = keyword_summary(scored.withColumn("topic", F.concat_ws("|", "topic", "subreddit")), HEAVY)
+    return merge_summaries(by_source.withColumn("topic", F.split_part("topic", F.lit("|"), F.lit(1))), HEAVY)
+
+
+@register("frequent_keywords", with_(DOCS, KW_TOKENS, KEYWORDS, SOURCE_KEYWORDS, SUMMARIES) + """
+SELECT topic, keyword, CAST(n AS BIGINT) AS least, CAST(n + error AS BIGINT) AS most,
+       n >= beyond + error AS certain, CAST(r AS INTEGER) AS rank
+FROM (SELECT *, coalesce(lead(n, 21 - CAST(r AS INTEGER)) OVER w, 0) AS beyond
+      FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, keyword) AS r FROM ms)
+      WINDOW w AS (PARTITION BY topic ORDER BY r)) WHERE r <= 20""")
+def q_frequent_keywords(spark, base):
+    return frequent_keywords(_merged_summary(_source_keywords(spark, base)), 20)
+
+
+@register("frequent_keywords_bounds", with_(DOCS, KW_TOKENS, KEYWORDS, SOURCE_KEYWORDS) + """
+SELECT topic, keyword, CAST(sum(n) AS BIGINT) AS "count", true AS within, true AS bounded FROM skc GROUP BY 1, 2""")
+def q_frequent_keywords_bounds(spark, base):
+    """Every keyword's exact count against the merged summary: within its bounds, and the error as small as it is said to be."""
+    scored = _source_keywords(spark, base)
+    summary = _merged_summary(scored)
+    exact = scored.select("topic", F.explode("keywords").alias("keyword")).groupBy("topic", "keyword").agg(
+        F.count(F.lit(1)).alias("count"))
+    errors = summary.where("keyword IS NULL").select("topic", "error", "total")
+    least = summary.where("keyword IS NOT NULL").select("topic", "keyword", F.col("count").alias("least"))
+    e = exact.join(errors, "topic", "left").join(least, ["topic", "keyword"], "left")
+    low = F.coalesce("least", F.lit(0))
+    return e.select("topic", "keyword", "count", F.col("count").between(low, low + F.col("error")).alias("within"),
+                    (F.col("error") * (HEAVY + 1) <= F.col("total")).alias("bounded"))
+
+
 # -------------------------------------------------------------------------- C11
 LEMMA_RULES_SQL = "(VALUES " + ", ".join(f"({i}, {q(s)}, {q(r)})" for i, (s, r) in enumerate(NOUN_RULES)) + \
     ") r(rule, suf, rep)"

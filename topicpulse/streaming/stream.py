@@ -4,7 +4,8 @@ One query: bus -> decode (stateless, in the stream plan; ``processed_at`` stampe
 there, once) -> ``foreachBatch``. Inside, the micro-batch is persisted once and fed
 to the same batch operators the hourly job uses: per-post scoring, the result
 store (A7: results by day, ids in a compacted store), the per-topic snapshot/history store
-(D5 -> A9/A10), post alerts (F1), the partial states of D1-D3 and the rejected records. Every target is written to
+(D5 -> A9/A10), post alerts (F1), the partial states of D1-D3,
+the keyword summaries of D4/H2 and the rejected records. Every target is written to
 its ``batch_id=N`` partitions (under a day partition) with dynamic overwrite, or as the batch's own segment of a
 store, so a replayed batch (after a failure between the write and
 the checkpoint commit) rewrites the same rows instead of duplicating them.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import microbatch_stats
 from ..operators.alerts import post_alerts
 from ..operators.anomaly import carry_zscores
+from ..operators.heavy import keyword_summary, summary_store
 from ..operators.ingest import dedupe
 from ..operators.partials import partial_states, state_store
 from ..plans.scoring import score_posts
@@ -58,6 +60,7 @@ def process_batch(batch_df: DataFrame, batch_id: int, out: str, lexicon: DataFra
                                           os.path.join(out, "history"), batch_id)
                 write_batch_partition(with_dt(post_alerts(new), "timestamp"), os.path.join(out, "alerts"), batch_id)
                 state_store(batch_df.sparkSession, os.path.join(out, "partials")).append(partial_states(new), batch_id)
+                summary_store(batch_df.sparkSession, os.path.join(out, "keywords")).append(keyword_summary(new), batch_id)
             finally:
                 new.unpersist()
         finally:
