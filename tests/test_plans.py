@@ -52,3 +52,29 @@ def test_post_keywords_shuffles_text_once(spark):
 def test_no_cross_join(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+@pytest.mark.parametrize("name", ["post_keywords", "top_keywords", "frequent_keywords", "frequent_keywords_bounds"])
+def test_keywords_are_counted_in_the_posts_row(spark, name):
+    # no row for each token, grouped by post or shuffled with its text
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    assert "keys=[post_id" not in p and "hashpartitioning(post_id" not in p
+
+
+@pytest.mark.parametrize("name", ["lexicon_score", "lexicon_score_phrases"])
+def test_lexicon_tokens_are_made_once(spark, name):
+    # the edge punctuation's pattern stands once in the plan, and not below a filter that tells posts without tokens
+    from topicpulse.operators.lexicon import EDGE_PUNCT
+    p = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count(EDGE_PUNCT) == 1
+
+
+def test_word_cloud_does_not_shuffle_texts(spark):
+    p = plan(E.queries()["word_cloud"](spark, SF_SMALL))
+    above = [line for line in p.splitlines() if "Exchange hashpartitioning(post_id" in line]
+    assert len(above) == 2      # the posts with their keywords, and the scores
+
+
+def test_lemmas_are_looked_up_without_shuffling_words(spark):
+    p = plan(E.queries()["post_keywords_lemma"](spark, SF_SMALL))
+    assert "BroadcastHashJoin [word" in p and "hashpartitioning(word" not in p

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..streaming.store import SegmentStore
+from .keywords import keyword_rows
 
 SUMMARY = "topic string, keyword string, count long, error long, total long"
 
@@ -48,7 +49,7 @@ def _cut(counts: DataFrame, known: DataFrame, capacity: int) -> DataFrame:
 
 def keyword_summary(scored: DataFrame, capacity: int = 256) -> DataFrame:
     """Summary of the keyword arrays of (topic, keywords). Null arrays and null keywords count nothing; a topic may be null."""
-    k = scored.select("topic", F.explode("keywords").alias("keyword")).where(F.col("keyword").isNotNull())
+    k = keyword_rows(scored.select("topic", "keywords")).where(F.col("keyword").isNotNull())
     counts = k.groupBy("topic", "keyword").agg(F.count(F.lit(1)).alias("count"))
     known = counts.groupBy("topic").agg(F.lit(0).cast("long").alias("error"), F.sum("count").alias("total"))
     return _cut(counts, known, capacity)
