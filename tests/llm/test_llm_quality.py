@@ -105,6 +105,25 @@ def test_every_license_line_of_the_documents_is_found(spark):
     assert {(r["doc_id"], r["paragraph"]) for r in scan(docs).collect()} == want
 
 
+def test_license_model_is_of_all_rows_in_any_order(spark):
+    rng = random.Random(8)
+    german, english = "der die das und mit von haus baum weg jahr".split(), "the of and to in house tree way year day".split()
+    quoted = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    guests = "Permission is hereby granted to all guests free of charge."
+    rows = [(i, " ".join(rng.choice(german) for _ in range(12))) for i in range(320)]
+    for i in range(320, 640):
+        rows.append((i, " ".join(rng.choice(english) for _ in range(12)) + i % 8 // 7 * f"\n{guests}"
+                     + i % 40 // 39 * f"\n{quoted}"))
+    models = [train(spark.createDataFrame(r, "doc_id long, text string").coalesce(1)) for r in (rows, rows[::-1])]
+    a, b = models
+    # words in half of the rows are no cues, wherever these rows stand; nor is a quoted notice an example of none
+    assert not {"the", "of", "and", "to", "in", "granted"} & set(a.cues) and "redistribution" in a.cues
+    assert a.cues == b.cues and abs(a.threshold - b.threshold) < 1e-6
+    assert np.allclose(a.regression.coefficientMatrix.toArray(), b.regression.coefficientMatrix.toArray(), atol=1e-6)
+    got = {(r["doc_id"], r["family"], r["confirmed"]) for r in scan(frame(spark, rows), a).collect()}
+    assert got == {(i, "BSD-3-Clause", True) for i in range(320, 640) if i % 40 == 39}
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(4)
     terms = [f"t{i}" for i in range(60)]

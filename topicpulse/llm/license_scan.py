@@ -3,9 +3,9 @@
 Built of DataFrame and SQL functions and the JVM's feature and regression classes
 only. The classifier (multinomial logistic regression with an L1 penalty, so that
 it stays sparse) is trained on the notices below, on windows of them, and on
-paragraphs of no license: a bounded sample of the corpus and sentences that
+paragraphs of no license: all those of the corpus and sentences that
 use the same words for other things. Every n-gram of the vocabulary holds a cue,
-a word of the notices that is rare in the sample. A paragraph without a cue
+a word of the notices that is rare in the corpus. A paragraph without a cue
 therefore has no features at all, is of class "none" by its intercept, and needn't
 be scored.
 """
@@ -23,6 +23,9 @@ from .common import id_and_text
 
 NONE, UNKNOWN = "none", "unknown"
 
+#: Different feature vectors of a training task.
+VECTORS = 50_000
+
 # Names and notices of license families, as their publishers word them.
 FAMILIES = {
     "Apache-2.0": ("Apache License, Version 2.0", [
@@ -92,6 +95,8 @@ OTHERS = [
     "The band released under a different name and the record was licensed to a film.",
     "A copy of the law is available at the office, and a license costs ten dollars.",
 ]
+# What is in no paragraph that stands for "none".
+SPEAKING = ["license", "licence", "copyright", "spdx", "creative commons"]
 
 
 def words(text: Column) -> Column:
@@ -110,6 +115,27 @@ def all_grams(w: Column) -> Column:
     return F.concat(w, grams(w, 2), grams(w, 3))
 
 
+def licensed(text: Column, w: Column, n: int = 8) -> Column:
+    """True if the text (``w``: its words) speaks of licenses, or holds a statement or n words in a row of a notice."""
+    runs: dict[int, set[str]] = {}
+    for t in (t.split() for family in FAMILIES for t in _templates(family)):
+        k = min(n, len(t))
+        for run in (" ".join(t[i:i + k]) for i in range(len(t) - k + 1)):
+            if not any(x in run for x in SPEAKING):
+                runs.setdefault(k, set()).add(run)
+
+    # a text without any run's longest word has no run; few runs of the others start with the right word
+    longest = {max(run.split(), key=len) for some in runs.values() for run in some}
+    starts = {run.split()[0] for some in runs.values() for run in some}
+
+    def run_at(i: Column) -> Column:
+        return F.get(w, i).isin(sorted(starts)) & reduce(Column.__or__, [
+            F.array_join(F.slice(w, i + 1, k), " ").isin(sorted(some)) for k, some in sorted(runs.items())])
+    return F.exists(F.array(F.lower(text)), lambda t: reduce(Column.__or__, [t.contains(x) for x in SPEAKING])) \
+        | (F.arrays_overlap(w, F.lit(sorted(longest)))
+           & F.exists(F.sequence(F.lit(0), F.size(w) - 1), run_at))
+
+
 def rows(spark: SparkSession, values: list[tuple], names: list[str]) -> DataFrame:
     """A small fixed table as a literal."""
     return spark.range(1).select(F.inline(F.array(*[
@@ -136,12 +162,16 @@ class LicenseModel:
             "grams", "features", "rawPrediction", "probability", "prediction")
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 300,
-          background_share: float = 0.01, false_alarms: float = 0.005) -> LicenseModel:
-    """Fits the classifier; of the corpus it sees the paragraphs of at most ``sample`` documents.
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", background_share: float = 0.01,
+          false_alarms: float = 0.005, background_weight: float = 2.0) -> LicenseModel:
+    """Fits the classifier on all paragraphs of the table, which is read twice.
 
-    A word of the notices is a cue if at most ``background_share`` of the sampled
-    paragraphs have it. The unknown class is calibrated on paragraphs held out: the
+    Paragraphs that speak of licenses or quote a notice are no examples of "none";
+    all others are, and stand as numbers of equal feature vectors. A word of the
+    notices is a cue if at most ``background_share`` of these paragraphs have it.
+    Together they weigh at most ``background_weight`` times the notices and their
+    windows, so that the penalty means the same for small and large tables. The
+    unknown class is calibrated on paragraphs held out, a fifth of all: the
     probability from which on a paragraph counts as a license is the one that at
     most ``false_alarms`` of those without a license reach, 0.5 at least.
     """
@@ -159,38 +189,48 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     others = rows(spark, [(0, x) for x in OTHERS], ["label", "text"]).select("label", words(F.col("text")).alias("w"))
     others = others.unionByName(others.select("label", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1)), F.lit(2)), lambda i: F.slice("w", i, 6))).alias("w")))
-    licensed = F.lit(False)
-    for cue in ("licen[cs]e", "copyright", "spdx", "creative commons"):
-        licensed = licensed | F.lower("text").rlike(cue)
-    background = paragraphs(df.limit(sample), id_col, text_col).where(~licensed) \
-        .select(F.lit(0).alias("label"), words(F.col("text")).alias("w")).where(F.size("w") > 0).cache()
+    # generated, so that a filter on the words doesn't split the text again at each mention of them
+    background = paragraphs(df, id_col, text_col).select("text", F.explode(F.array(words(F.col("text")))).alias("w")) \
+        .where((F.size("w") > 0) & ~licensed(F.col("text"), F.col("w"))).select("w")
+    noted = sorted(r["x"] for r in known.select(F.explode("w").alias("x")).distinct().collect())
+    # of each paragraph its different words of the notices, and "" for itself
+    having = {r["x"]: r["n"] for r in background.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(
+        F.filter("w", lambda x: x.isin(noted))))).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cues = [x for x in noted if having.get(x, 0) <= background_share * having.get("", 0) and not x.isdigit()]
+    has_cue = lambda g: F.arrays_overlap(F.split(g, " "), F.lit(cues))      # noqa: E731
+    vocabulary = sorted(r["g"] for r in known.select(
+        F.explode(all_grams(F.col("w"))).alias("g")).distinct().where(has_cue(F.col("g"))).collect())
+    vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
+    vectorizer.setBinary(True)
+    held_out = (F.pmod(F.xxhash64("w"), F.lit(5)) == 0) & (F.col("label") == 0)
+    # a cue alone makes no license
+    alone = rows(spark, [(0, x) for x in cues], ["label", "text"]).select("label", F.array("text").alias("w"))
+    fixed = vectorizer.transform(reduce(DataFrame.unionByName, [known, windows, others, alone]).select(
+        "label", held_out.alias("held_out"), all_grams(F.col("w")).alias("grams"))) \
+        .select("label", "held_out", F.lit(False).alias("corpus"), "features", F.lit(1).cast("long").alias("n"))
+    counted = vectorizer.transform(background.withColumn("label", F.lit(0)).select(
+        "label", held_out.alias("held_out"), F.when(F.arrays_overlap("w", F.lit(cues)), all_grams(F.col("w")))
+        .otherwise(F.array().cast("array<string>")).alias("grams"))) \
+        .groupBy("label", "held_out", "features").agg(F.count(F.lit(1)).alias("n"))
+    data = fixed.unionByName(counted.withColumn("corpus", F.lit(True))).cache()
     try:
-        n = background.count()
-        common = {r["x"] for r in background.select(F.explode(F.array_distinct("w")).alias("x")).join(
-            known.select(F.explode("w").alias("x")).distinct(), "x", "left_semi").groupBy("x")
-            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > background_share * n).collect()}
-        cues = sorted(r["x"] for r in known.select(F.explode("w").alias("x")).distinct().collect()
-                      if r["x"] not in common and not r["x"].isdigit())
-        has_cue = lambda g: F.arrays_overlap(F.split(g, " "), F.lit(cues))      # noqa: E731
-        vocabulary = sorted(r["g"] for r in known.select(
-            F.explode(all_grams(F.col("w"))).alias("g")).distinct().where(has_cue(F.col("g"))).collect())
-        vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
-        vectorizer.setBinary(True)
-        # a cue alone makes no license
-        alone = rows(spark, [(0, x) for x in cues], ["label", "text"]).select("label", F.array("text").alias("w"))
-        data = reduce(DataFrame.unionByName, [known, windows, others, alone, background]).withColumn(
-            "held_out", (F.pmod(F.xxhash64("w"), F.lit(5)) == 0) & (F.col("label") == 0))
-        features = vectorizer.transform(data.where("not held_out").withColumn("grams", all_grams(F.col("w")))) \
-            .select(F.col("label").cast("double").alias("label"), "features").coalesce(2)
+        sums = data.where("not held_out").agg(
+            F.sum(F.when(F.col("label") > 0, F.col("n"))).alias("licenses"),
+            F.sum(F.when(F.col("corpus"), F.col("n"))).alias("background"), F.count(F.lit(1)).alias("vectors")).first()
+        share = min(1.0, background_weight * sums["licenses"] / max(1, sums["background"] or 0))
+        features = data.where("not held_out").select(
+            F.col("label").cast("double").alias("label"), "features",
+            (F.col("n") * F.when(F.col("corpus"), share).otherwise(1.0)).alias("weight")) \
+            .coalesce(max(2, sums["vectors"] // VECTORS)).sortWithinPartitions("label", "features", "weight")
         regression = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.0005, maxIter=40,
-                                        standardization=False).fit(features)
-        model = LicenseModel(vectorizer, regression, labels, cues, 0.5)
-        alarm = model.probabilities(data.where("held_out")).agg(
-            F.expr(f"percentile(1 - p[0], {1 - false_alarms})")).first()[0]
-        model.threshold = max(0.5, min(0.95, alarm or 0.0))
-        return model
+                                        standardization=False, weightCol="weight").fit(features)
+        # values outside the limits count as the limits, so the percentile holds few of them at any size
+        alarm = regression.transform(data.where("held_out")).select(F.least(F.lit(0.95), F.greatest(
+            F.lit(0.5), F.round(1 - F.get(vector_to_array("probability"), 0), 6))).alias("x"), "n") \
+            .agg(F.expr(f"percentile(x, {1 - false_alarms}, n)")).first()[0]
+        return LicenseModel(vectorizer, regression, labels, cues, alarm or 0.5)
     finally:
-        background.unpersist()
+        data.unpersist()
 
 
 def scan(df: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text",
